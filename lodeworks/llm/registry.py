@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import fingerprints, pii, token_counts, toxicity, url_filters, vector_search
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op3_topk": vector_search.op3_topk,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_url_filters": url_filters.op7_url_filters,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": vector_search.SQL,
+    "op7_url_filters": url_filters.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
