@@ -38,8 +38,8 @@ def corpus(seed, n):
         for _ in range(r.randrange(6)):
             v = list(w)
             for _ in range(r.randrange(0, 3)):
-                k = r.randrange(len(v))
-                v[k : k + 1] = r.choice([[], ["zz"], [v[k], f"w{r.randrange(60)}"]])
+                k = r.randrange(max(1, len(v)))
+                v[k : k + 1] = r.choice([[], ["zz"], [*v[k : k + 1], f"w{r.randrange(60)}"]])
             rows.append("  ".join(v).upper() if r.random() < 0.2 else " ".join(v))
     rows += ["", None, " \t", "é", "É", rows[0], rows[0]]
     r.shuffle(rows)
