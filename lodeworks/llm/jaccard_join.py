@@ -50,34 +50,76 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random 64-bit value for each byte, one for both cases of A-Z, and which bytes part words."""
+    value = _stir(np.arange(1, 257, dtype=np.uint64) * _M1)
+    value[65:91] = value[97:123]
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    return value, blank
+
+
+_VALUE, _BLANK = _tables()
+#: Bytes that are hashed at a time.
+_AT_ONCE = 2_000_000
+
+
+def _chain(x: np.ndarray, n: int, first: int, count: int) -> np.ndarray:
+    """Hashes of the n words from each of `count` places on."""
+    h = np.full(count, n, np.uint64)
+    for k in range(n):
+        h = _stir(h * _M1 + x[first + k : first + k + count])
+    return h
+
+
 class Shingler:
-    """Text -> sorted array of 64-bit hashes of its distinct shingles."""
-
-    def __init__(self, words: int, keep: int = 400_000):
-        self.words, self.keep, self.known = words, keep, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        # bytes.split() parts at exactly the six characters in question; bytes.lower() changes A-Z alone
-        parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not parts:
-            return np.zeros(0, np.uint64)
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.keep:
-            known.clear()
-        code = []
-        for w in parts:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            code.append(h)
-        x = np.array(code, np.uint64)
-        n = min(self.words, len(x))
-        h = np.full(len(x) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = _stir(h * _M1 + x[k : len(x) - n + 1 + k])
-        return np.unique(h)
+    """Texts -> for each a sorted array of 64-bit hashes of its distinct shingles."""
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def __call__(self, texts):
+        held, size = [], 0
+        for t in texts:
+            b = (t or "").encode("utf-8", "surrogatepass")
+            held.append(b)
+            size += len(b) + 1
+            if size >= _AT_ONCE:
+                yield from self._sets(held)
+                held, size = [], 0
+        if held:
+            yield from self._sets(held)
+
+    def _sets(self, texts: list[bytes]):
+        b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        inside = ~_BLANK[b]
+        at = np.nonzero(inside)[0]
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1] + 1
+        first = np.nonzero(new)[0]
+        x = np.zeros(0, np.uint64)
+        if len(first):
+            # a word's hash: the sum of its bytes' values times powers by place
+            length = np.diff(np.append(first, len(at)))
+            place = np.arange(len(at)) - np.repeat(first, length)
+            power = np.cumprod(np.full(int(length.max()), _M1))
+            x = _stir(np.add.reduceat(_VALUE[b[at]] * power[place], first) + length.astype(np.uint64))
+        last = np.searchsorted(at[first], ends) if len(first) else np.zeros(len(ends), np.int64)
+        n = self.words
+        h = _chain(x, n, 0, len(x) - n + 1) if len(x) >= n else x[:0]
+        begin = 0
+        for end in last.tolist():
+            if end - begin >= n:
+                s = np.sort(h[begin : end - n + 1])
+                keep = np.ones(len(s), bool)
+                keep[1:] = s[1:] != s[:-1]
+                yield s[keep]
+            elif end > begin:
+                yield _chain(x, end - begin, begin, 1)
+            else:
+                yield x[:0]
+            begin = end
 
 
 class Bands:
@@ -154,8 +196,7 @@ def _thinner(words: int, bands: Bands, ranges: int):
             held, names, size, sets = [], [], 0, {}
 
         for pdf in batches:
-            for node, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                x = shingler(text)
+            for node, x in zip(pdf["doc_id"].tolist(), shingler(pdf["text"].tolist())):
                 if not len(x):
                     continue
                 # equal sets give equal digests: the first stands for all in this task
@@ -296,8 +337,9 @@ def _sizer(words: int):
     def size(batches):
         shingler = Shingler(words)
         for pdf in batches:
-            sets = [shingler(t) for t in pdf["text"].tolist()]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(x) for x in sets], "content": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]})
+            sets = shingler(pdf["text"].tolist())
+            sets = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None) for x in sets]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [n for n, _ in sets], "content": [c for _, c in sets]})
 
     return size
 
@@ -368,7 +410,7 @@ def _links(docs: DataFrame, known: DataFrame, groups: DataFrame, words: int, num
     def shingled(batches):
         shingler = Shingler(words)
         for pdf in batches:
-            pdf["blob"] = [shingler(t).tobytes() for t in pdf["text"].tolist()]
+            pdf["blob"] = [x.tobytes() for x in shingler(pdf["text"].tolist())]
             yield pdf[["k", "alone", "doc_id", "side", "blob"]][pdf["blob"].str.len() > 0]
 
     rows = held.mapInPandas(shingled, "k long, alone boolean, doc_id long, side int, blob binary")
