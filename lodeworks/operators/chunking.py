@@ -83,9 +83,12 @@ def chunk_text(text: str | None) -> list[str]:
     return [x for x in out if len(x.strip()) >= LEAST]
 
 
-@F.pandas_udf("array<string>")
-def chunks_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([chunk_text(t) for t in texts])
+def chunks_of(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunk_text(t) for t in texts])
+
+    return split(text)
 
 
 def chunk_table(docs: DataFrame, text: Column, source_key: Column, doc_id: Column, keep: list[str] = ()) -> DataFrame:

@@ -58,7 +58,7 @@ class ChunkStore:
 
     def upsert(self, new: DataFrame, key: list[str], version: str) -> None:
         old = self.read()
-        self.write(new if old is None else upsert(old, new, key, version))
+        self.write(upsert(new.limit(0) if old is None else old, new, key, version))
 
     def delete(self, doomed: Column) -> None:
         old = self.read()

@@ -1,6 +1,366 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's own operators and their SQL, each over its whole table."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodeworks.functions import text as T
+from lodeworks.functions.html import html_udf
+from lodeworks.operators import agent, chunking, memory, metrics, retrieval, store
+from lodeworks.session import table
+from lodeworks.sources import catalog, exports
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_COS = "round(coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6)"
+
+
+@query(f"SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT 20")
+def dense_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    q = v.filter("vec_id = 0").select("embedding").first()[0]
+    return retrieval.top_k(v, F.lit(q))
+
+
+@query(f"SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT 5")
+def single_shot_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return retrieval.top_k(v, F.lit(v.filter("vec_id = 0").select("embedding").first()[0]), retrieval.SINGLE_SHOT)
+
+
+@query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id)::INT AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 20")
+def dense_topk_batch(spark, sf):
+    v = table(spark, sf, "embeddings")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return retrieval.top_k_batch(q, v).select("query_id", "vec_id", "score", "rank")
+
+
+_TOKENS = "SELECT DISTINCT {id}, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM {t}"
+_OVERLAP = f"WITH q AS ({_TOKENS.format(id='item_id AS query_id', t='benchmark')}), d AS ({_TOKENS.format(id='doc_id', t='documents')}), s AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN d USING (token) WHERE length(token) >= 1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)"
+
+
+def _overlap(spark, sf, k):
+    q = retrieval.tokens(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
+    return retrieval.term_overlap(q, retrieval.tokens(table(spark, sf, "documents"), "doc_id", "text"), k)
+
+
+@query(f"{_OVERLAP} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 20")
+def sparse_topk(spark, sf):
+    return _overlap(spark, sf, 20).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"{_OVERLAP}, t AS (SELECT r.*, length(d.text) AS n FROM r JOIN documents d USING (doc_id) WHERE rank <= 20), z AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, rank)::INT AS rerank FROM t) SELECT * FROM z WHERE rerank <= 3")
+def rerank_topn(spark, sf):
+    hits = _overlap(spark, sf, 20).join(table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    return retrieval.rerank(hits, F.col("n")).select("query_id", "doc_id", "rank", "rerank")
+
+
+@query(f"{_OVERLAP}, b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INT AS rank FROM r WHERE r.rank <= 20), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT * FROM b) GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) SELECT * FROM z WHERE rank <= 10")
+def rank_fusion(spark, sf):
+    one = _overlap(spark, sf, 20)
+    two = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    return retrieval.reciprocal_rank_fusion(one, two, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"{_OVERLAP} SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY query_id")
+def context_assembly(spark, sf):
+    return retrieval.assemble_context(_overlap(spark, sf, 3).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def _lookup_sql(least):
+    return f"SELECT probe_id, entry_id, score, answer FROM (SELECT q.vec_id AS probe_id, e.vec_id AS entry_id, {_COS} AS score, 'a' || e.vec_id AS answer, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id % 10 = 1 AND e.vec_id % 10 = 0 WHERE {_COS} >= {least} AND {_COS} > 0) WHERE r = 1"
+
+
+def _lookup(spark, sf, least):
+    v = table(spark, sf, "embeddings")
+    entries = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"))
+    return memory.cache_lookup(v.filter("vec_id % 10 = 1").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("vec")), entries, least)
+
+
+@query(_lookup_sql(0.95))
+def cache_lookup(spark, sf):
+    return _lookup(spark, sf, memory.SIMILARITY)
+
+
+@query(_lookup_sql(0.35))
+def cache_lookup_loose(spark, sf):
+    return _lookup(spark, sf, 0.35)
+
+
+def _puts(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", "ts", F.when(F.col("event_id") % 2 == 0, memory.CACHE_TTL_STATIC_S).otherwise(memory.CACHE_TTL_DYNAMIC_S).alias("ttl_s"))
+
+
+_PUTS = "SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN 86400 ELSE 1800 END AS ttl_s FROM events"
+_NOW = "2024-01-15 12:00:00"
+
+
+@query(f"SELECT event_id, ttl_s FROM ({_PUTS}) WHERE epoch(ts)::BIGINT + ttl_s > epoch(TIMESTAMP '{_NOW}') AND ts <= TIMESTAMP '{_NOW}'")
+def cache_expiry(spark, sf):
+    return memory.live(_puts(spark, sf), F.lit(_NOW).cast("timestamp")).filter(F.col("ts") <= F.lit(_NOW).cast("timestamp_ntz")).select("event_id", "ttl_s")
+
+
+@query(f"SELECT ttl_s, count(*) AS live FROM ({_PUTS}) WHERE epoch(ts)::BIGINT + ttl_s > epoch(TIMESTAMP '{_NOW}') AND ts <= TIMESTAMP '{_NOW}' GROUP BY ttl_s")
+def cache_stats(spark, sf):
+    return cache_expiry(spark, sf).groupBy("ttl_s").agg(F.count("*").alias("live"))
+
+
+@query(r"SELECT conv_id, turn, 'cache:' || md5(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS cache_key FROM conversations WHERE role = 'user'")
+def cache_key(spark, sf):
+    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", T.cache_key(F.col("text")).alias("cache_key"))
+
+
+@query("WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || ':' || doc_id || ':0')) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(to_hex(((('0x' || h[17:17])::INT & 3) | 8)::INT)) || h[18:20] || '-' || h[21:32] AS point_id FROM h")
+def point_id(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.point_id(F.col("source"), F.col("doc_id"), F.lit(0)).alias("point_id"))
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer FROM conversations")
+def clean_answer(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", T.clean_answer(F.concat(F.lit("<think>a\nb</think> "), F.col("text"), F.lit("\n"))).alias("answer"))
+
+
+_STARTS = " OR ".join(f"starts_with(q, '{k}')" for k in T.CONTEXT_KEYWORDS)
+
+
+@query(rf"SELECT conv_id, turn, length(q) >= 10 AND NOT ({_STARTS}) AS cacheable FROM (SELECT *, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS q FROM conversations WHERE role = 'user')")
+def should_cache(spark, sf):
+    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", T.should_cache(F.col("text")).alias("cacheable"))
+
+
+@query(r"SELECT conv_id, turn, turn > 0 AND len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) <= 6 AS rewrite FROM conversations WHERE role = 'user'")
+def rewrite_gate(spark, sf):
+    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", T.rewrite_gate(F.col("text"), F.col("turn")).alias("rewrite"))
+
+
+def _history_sql(n):
+    return f"SELECT conv_id, count(*) AS messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= {n} GROUP BY conv_id"
+
+
+def _history(spark, sf, n):
+    h = memory.history(table(spark, sf, "conversations"), n)
+    return h.select("conv_id", F.size("history").cast("long").alias("messages"), F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("history"))
+
+
+@query(_history_sql(20))
+def session_history(spark, sf):
+    return _history(spark, sf, memory.HISTORY_MAX)
+
+
+@query(_history_sql(4))
+def session_history_last4(spark, sf):
+    return _history(spark, sf, memory.PROMPT_LAST)
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || substring(text, 1, 150), chr(10) ORDER BY turn) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 GROUP BY conv_id")
+def history_prompt(spark, sf):
+    return memory.history_prompt(table(spark, sf, "conversations"))
+
+
+@query("SELECT conv_id, count(*) AS message_count, count(*) FILTER (role = 'user') AS user_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def session_summary(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max("turn").alias("last_turn"))
+
+
+@query("WITH g AS (SELECT *, epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS gap FROM events) SELECT event_id, user_id, sum(CASE WHEN gap IS NULL OR gap > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM g")
+def sessionize_ttl(spark, sf):
+    return memory.sessionize(table(spark, sf, "events")).select("event_id", "user_id", "session_no")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id > 100")
+def delta_scan(spark, sf):
+    return catalog.delta(table(spark, sf, "pages"), "page_id", 100)[0].select("page_id", "url")
+
+
+@query("SELECT coalesce(max(page_id), 0) AS max_id FROM pages")
+def max_watermark(spark, sf):
+    return catalog.max_watermark(table(spark, sf, "pages"), "page_id")
+
+
+@query("SELECT page_id, url FROM pages ORDER BY page_id DESC LIMIT 20")
+def newest_first(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url").orderBy(F.desc("page_id")).limit(20)
+
+
+@query("SELECT page_id // 20 AS page, min(page_id) AS min_id, max(page_id) AS max_id, count(*) AS n FROM pages GROUP BY 1")
+def page_id_range(spark, sf):
+    return catalog.page_ranges(table(spark, sf, "pages"), "page_id", 20)
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content FROM documents GROUP BY text")
+def dedup_first_seen(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def upsert_latest(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("v"), "o_orderkey", "o_totalprice")
+    return store.upsert(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "v").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src1'")
+def delete_by_key(spark, sf):
+    return store.delete_where(table(spark, sf, "documents").select("doc_id", "source"), F.col("source") == "src1")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_linenumber <= (SELECT count(*) FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_quantity > 10)")
+def prune_stale(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.lit("k").alias("source_key"), F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("chunk_index"), "l_quantity")
+    now = li.groupBy("source_key", "doc_id").agg(F.count_if(F.col("l_quantity") > 10).alias("total_chunks"))
+    return store.prune_stale(li, now).select(F.col("doc_id").alias("l_orderkey"), (F.col("chunk_index") + 1).alias("l_linenumber"))
+
+
+@query("SELECT count(*) AS points, count(embedding) AS vectors FROM embeddings")
+def collection_info(spark, sf):
+    return store.info(table(spark, sf, "embeddings"), "embedding")
+
+
+@query(r"SELECT doc_id, length(text) AS n FROM documents WHERE length(text) <= 1000 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 80 AND NOT starts_with(text, '#') AND NOT contains(text, chr(10) || '#')")
+def chunk_short_docs(spark, sf):
+    return chunking.short_chunks(table(spark, sf, "documents")).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query()
+def chunk_documents(spark, sf):
+    return chunking.chunk_table(table(spark, sf, "documents"), F.col("text"), F.col("source"), F.col("doc_id"))
+
+
+@query()
+def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html_udf("https://example.com")("html").alias("h")).select("page_id", "h.text", F.size("h.pdf_links").alias("n_pdf"))
+
+
+@query("SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS n_links FROM pages")
+def distinct_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)))).cast("long").alias("n_links"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT doc_id, coalesce(nullif(text, ''), '') AS picked FROM documents WHERE NOT starts_with(text, '[') AND NOT starts_with(text, '{')")
+def json_field_pick(spark, sf):
+    d = table(spark, sf, "documents").filter(~F.col("text").startswith("[") & ~F.col("text").startswith("{"))
+    return d.select("doc_id", T.json_field_pick(F.to_json(F.struct(F.lit("").alias("text"), F.col("text").alias("content")))).alias("picked"))
+
+
+@query("SELECT c_custkey, concat_ws(' | ', c_name, c_mktsegment, n_name, 'Görev: ' || r_name, 'Tel: ' || c_nationkey) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def staff_to_text(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.select("c_custkey", T.staff_line(F.col("c_name"), F.col("c_mktsegment"), F.col("n_name"), F.col("r_name"), F.lit(""), F.col("c_nationkey").cast("string")).alias("line"))
+
+
+_SKIP = " AND ".join(f"NOT contains(url, '{s}')" for s in T.SKIPPED_LINKS)
+
+
+@query(f"SELECT page_id, starts_with(url, 'http') AND {_SKIP} AS admissible FROM pages")
+def link_filter(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.link_admissible(F.col("url")).alias("admissible"))
+
+
+@query(f"WITH u AS (SELECT page_id % 50 AS grp, url, min(page_id) AS first FROM pages WHERE starts_with(url, 'http') AND {_SKIP} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY first) AS r FROM u) SELECT grp, string_agg(url, ' ' ORDER BY first) AS links FROM r WHERE r <= 3 GROUP BY grp")
+def source_links(spark, sf):
+    p = table(spark, sf, "pages").groupBy((F.col("page_id") % 50).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("u"))
+    return p.select("grp", F.array_join(retrieval.source_links(F.transform("u", lambda x: x["url"])), " ").alias("links"))
+
+
+_GREET = " OR ".join(f"starts_with(q, '{g}')" for g in agent.GREETINGS)
+_WORDS = "len(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> ''))"
+
+
+@query(rf"SELECT conv_id, turn, CASE WHEN ({_GREET}) AND NOT regexp_matches(q, '\b(what|who|when|where|why|how|which)\b') AND {_WORDS} <= 4 THEN 'direct' ELSE 'rag' END AS route FROM (SELECT *, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS q FROM conversations WHERE role = 'user')")
+def route_questions(spark, sf):
+    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", agent.route(F.col("text")).alias("route"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'useful' ELSE 'not_useful' END AS grade FROM documents JOIN labels USING (doc_id)")
+def grade_quality(spark, sf):
+    reply = F.when(F.col("quality") == 1, " Useful\n").otherwise("not_useful")
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id").select("doc_id", agent.grade(reply).alias("grade"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 OR doc_id % 3 >= 2 THEN 'end' ELSE 'retry' END AS decision FROM labels")
+def grade_decision(spark, sf):
+    verdict = F.when(F.col("quality") == 1, "useful").otherwise("not_useful")
+    return table(spark, sf, "labels").select("doc_id", agent.decide(verdict, F.col("doc_id") % 3).alias("decision"))
+
+
+@query("SELECT event_type, user_id, count(*) AS value FROM events GROUP BY ALL")
+def metric_counter(spark, sf):
+    return metrics.counter(table(spark, sf, "events"), ["event_type", "user_id"])
+
+
+@query("SELECT event_type, " + ", ".join(f"sum(CASE WHEN value / 10 <= {b} THEN 1 ELSE 0 END)::BIGINT AS le_{str(b).replace('.', '_')}" for b in metrics.BUCKETS) + ", count(value) AS le_inf, round(sum(value / 10), 4) AS sum, count(value) AS count FROM events GROUP BY event_type")
+def metric_histogram(spark, sf):
+    return metrics.histogram(table(spark, sf, "events"), ["event_type"], F.col("value") / 10)
+
+
+@query("SELECT event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def metric_gauge(spark, sf):
+    return metrics.gauge(table(spark, sf, "events"), ["event_type"], "value", "ts", "event_id")
+
+
+@query("WITH t AS (SELECT event_id, timezone('Europe/Istanbul', timezone('UTC', ts)) AS z FROM events) SELECT event_id, 'daily' AS frequency FROM t WHERE hour(z) = 2 UNION ALL SELECT event_id, 'weekly' FROM t WHERE hour(z) = 3 AND isodow(z) = 1 UNION ALL SELECT event_id, 'monthly' FROM t WHERE hour(z) = 4 AND day(z) = 1")
+def due_targets(spark, sf):
+    return catalog.due(table(spark, sf, "events").select("event_id", "ts")).select("event_id", "frequency")
+
+
+@query(r"SELECT page_id, CASE WHEN f = '' THEN 'document' ELSE f END AS name FROM (SELECT page_id, regexp_replace(split_part(list_last(string_split(url, '/')), '?', 1), '[^\w.\-]', '_', 'g') AS f FROM pages)")
+def safe_filename(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT conv_id, turn, text AS instruction, '' AS input, output FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS output FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'")
+def to_alpaca(spark, sf):
+    return exports.alpaca(table(spark, sf, "conversations"))
+
+
+@query()
+def to_sharegpt(spark, sf):
+    return exports.sharegpt(table(spark, sf, "conversations"))
+
+
+@query(r"SELECT doc_id, count(*) AS n_terms, sum(n)::BIGINT AS n_words FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL) GROUP BY doc_id")
+def sparse_terms(spark, sf):
+    """Lexical weights of each text, summed up: an inverted list with one row a term and text."""
+    words = F.explode(F.array_remove(F.split(F.lower(F.col("text")), r"[^\p{L}0-9]+"), ""))
+    each = table(spark, sf, "documents").select("doc_id", words.alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_words"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS attachments FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def listing_detail_join(spark, sf):
+    """Listing items with the number of their attachments: details are summed up before the join."""
+    d = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").join(d, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("attachments"))
+
+
+@query()
+def agent_answers(spark, sf):
+    """The whole question loop over every benchmark question, with extractive answers."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = retrieval.term_overlap(
+        retrieval.tokens(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id"), retrieval.tokens(docs, "doc_id", "text"), 3
+    )
+    context = retrieval.assemble_context(found.join(docs, "doc_id")).withColumnRenamed("query_id", "question_id")
+    retrieve = lambda q: q.join(context, "question_id", "left")
+    generate = lambda q: q.withColumn("answer", F.substring_index("context", ". ", 1))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return agent.answer(asked, retrieve, generate).select("question_id", "route", "grade", "iterations", "answer")
