@@ -36,9 +36,9 @@ from .graph import components
 
 SPARE = 2
 #: Elements of sets that one tile holds about; digests in one range of hashes.
-TILE, RANGE = 2_000_000, 1_500_000
+TILE, RANGE = 2_000_000, 500_000
 #: Documents' digests that a map task thins at a time.
-THIN = 3_000_000
+THIN = 1_000_000
 BITS = 1024
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -61,7 +61,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 _VALUE, _BLANK = _tables()
 #: Bytes that are hashed at a time.
-_AT_ONCE = 2_000_000
+_AT_ONCE = 1_000_000
+#: Bytes of shingles that a task hands on at a time; bitmaps that are spread out at a time.
+_HANDED, _SPREAD = 8_000_000, 4096
 
 
 def _chain(x: np.ndarray, n: int, first: int, count: int) -> np.ndarray:
@@ -215,25 +217,32 @@ def _thinner(words: int, bands: Bands, ranges: int):
     return thin
 
 
+def _array(column, i: int, kind) -> np.ndarray:
+    """A binary value as numbers, without a copy."""
+    found = column[i].as_buffer()
+    return np.frombuffer(found, kind) if found is not None and found.size else np.zeros(0, kind)
+
+
 def _pairer(batches):
     """Rows of one range after another become candidate pairs."""
 
     def out(held):
-        pairs = [np.frombuffer(n, np.int64).reshape(-1, 2) for d, n in held if not len(d)]
-        digests = [np.frombuffer(d, np.uint64) for d, _ in held if len(d)]
+        pairs = [n.reshape(-1, 2) for d, n in held if not len(d)]
+        digests = [d for d, _ in held if len(d)]
         if digests:
-            pairs.append(_stars(np.concatenate(digests), np.concatenate([np.frombuffer(n, np.int64) for d, n in held if len(d)]))[2])
+            pairs.append(_stars(np.concatenate(digests), np.concatenate([n for d, n in held if len(d)]))[2])
         found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     key, held = None, []
-    for pdf in batches:
-        for part, d, n in zip(pdf["part"].tolist(), pdf["digests"].tolist(), pdf["nodes"].tolist()):
+    for batch in batches:
+        parts, digests, nodes = (batch.column(i) for i in range(3))
+        for i, part in enumerate(parts.to_pylist()):
             if part != key and held:
                 yield out(held)
                 held = []
             key = part
-            held.append((d, n))
+            held.append((_array(digests, i, np.uint64), _array(nodes, i, np.int64)))
     if held:
         yield out(held)
 
@@ -245,11 +254,15 @@ class Tile:
         order = np.argsort([len(x) for x in arrays], kind="stable")
         self.nodes, self.arrays = [nodes[i] for i in order], [arrays[i] for i in order]
         self.size = np.array([len(x) for x in self.arrays], np.int64)
-        bits = np.zeros((len(arrays), BITS), np.uint8)
-        for i, x in enumerate(self.arrays):
-            bits[i, (x >> np.uint64(20)).astype(np.int64) % BITS] = 1
-        self.maps = np.packbits(bits, axis=1).view(np.uint64)
-        self.count = bits.sum(1).astype(np.int64)
+        self.maps = np.zeros((len(arrays), BITS // 64), np.uint64)
+        self.count = np.zeros(len(arrays), np.int64)
+        for a in range(0, len(arrays), _SPREAD):
+            some = self.arrays[a : a + _SPREAD]
+            bits = np.zeros((len(some), BITS), np.uint8)
+            for i, x in enumerate(some):
+                bits[i, (x >> np.uint64(20)).astype(np.int64) % BITS] = 1
+            self.maps[a : a + _SPREAD] = np.packbits(bits, axis=1).view(np.uint64)
+            self.count[a : a + _SPREAD] = bits.sum(1)
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -317,13 +330,14 @@ def _decider(num: int, den: int):
     def decide(batches):
         key, held = None, []
         for batch in batches:
-            for k, alone, node, side, blob in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            blobs = batch.column(4)
+            for i, (k, alone, node, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
                 if k != key and held:
                     if held_alone or {s for _, s, _ in held} == {0, 1}:
                         yield pa.RecordBatch.from_pandas(out(held), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]), preserve_index=False)
                     held = []
                 key, held_alone = k, alone
-                held.append((node, side, np.frombuffer(blob, np.uint64)))
+                held.append((node, side, _array(blobs, i, np.uint64)))
         if held and (held_alone or {s for _, s, _ in held} == {0, 1}):
             yield pa.RecordBatch.from_pandas(out(held), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]), preserve_index=False)
 
@@ -359,7 +373,7 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
     ranges = max(shuffles, math.ceil(total * each / RANGE))
     usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     digests = usable.mapInPandas(_thinner(words, bands, ranges), "part long, digests binary, nodes binary")
-    pairs = digests.repartition(ranges, "part").sortWithinPartitions("part").mapInPandas(_pairer, "a long, b long")
+    pairs = digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairer, "a long, b long")
     pairs = cut(pairs)
     groups = components(pairs) if not pairs.isEmpty() else None
     links = None
@@ -381,8 +395,10 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
 
 def _links(docs: DataFrame, known: DataFrame, groups: DataFrame, words: int, num: int, den: int, bands: Bands) -> DataFrame:
     band = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bands.low)}), x -> x <= n)) - 1")
-    member = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp")).join(known.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id").withColumn("band", band)
-    member = cut(member)
+    # Of equal sets, which are all in one group, the smallest document stands for the others.
+    member = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp")).join(known.select("doc_id", "n", "content"), "doc_id")
+    member = member.groupBy("content").agg(F.min(F.struct("doc_id", "grp", "n")).alias("m")).groupBy("m.doc_id", "m.grp").agg(F.max("m.n").alias("n"))
+    member = cut(member.withColumn("band", band))
     shape = member.groupBy("grp", "band").agg(F.sum("n").alias("n"))
     whole = shape.groupBy("grp").agg(F.sum("n").alias("all"))
     shape = cut(shape.join(whole, "grp").withColumn("tiles", F.when(F.col("all") <= TILE, 0).otherwise(F.ceil(F.col("n") / TILE).cast("int"))).select("grp", "band", "tiles"))
@@ -408,10 +424,16 @@ def _links(docs: DataFrame, known: DataFrame, groups: DataFrame, words: int, num
     held = docs.join(ids, "doc_id")
 
     def shingled(batches):
-        shingler = Shingler(words)
+        shingler, names = Shingler(words), ["k", "alone", "doc_id", "side"]
         for pdf in batches:
-            pdf["blob"] = [x.tobytes() for x in shingler(pdf["text"].tolist())]
-            yield pdf[["k", "alone", "doc_id", "side", "blob"]][pdf["blob"].str.len() > 0]
+            first, blobs, size = 0, [], 0
+            for i, x in enumerate(shingler(pdf["text"].tolist())):
+                blobs.append(x.tobytes())
+                size += len(blobs[-1])
+                if size >= _HANDED or i == len(pdf) - 1:
+                    part = pdf[names].iloc[first : i + 1].assign(blob=blobs)
+                    yield part[part["blob"].str.len() > 0]
+                    first, blobs, size = i + 1, [], 0
 
     rows = held.mapInPandas(shingled, "k long, alone boolean, doc_id long, side int, blob binary")
     return rows.repartition("k").sortWithinPartitions("k").mapInArrow(_decider(num, den), "a long, b long")
