@@ -9,12 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple] = []
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get rows in batches of at most so many bytes and rows, unless the session says otherwise: texts vary from one word to books."""
+    for key, most in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

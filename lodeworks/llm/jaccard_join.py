@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_batches, cut, table
 from .graph import components
 
 SPARE = 2
@@ -360,6 +360,7 @@ def _sizer(words: int):
 
 def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets are linked at num / den or more."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     slim = cut(docs.mapInPandas(_sizer(words), "doc_id long, n long, content binary"))
     known = slim.filter("doc_id IS NOT NULL AND n > 0")

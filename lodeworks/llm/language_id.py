@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 SAMPLE, BUCKETS, DIM, SIZES = 2000, 1 << 15, 12, (2, 3)
 PIECE = 500_000
@@ -166,6 +166,7 @@ def train(docs: DataFrame, held: Column) -> LanguageModel:
 
 def identifier(model: LanguageModel):
     """A column function of a text: struct<lang, score, rejected>."""
+    bounded_batches(SparkSession.getActiveSession())
     shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, rejected boolean")

@@ -29,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 SEED, DROPOUT, VARIANTS = 20, 0.1, 8
-LONGEST, CHARS_AT_ONCE = 48, 8_000_000
+LONGEST, CHARS_AT_ONCE = 48, 3_000_000
 _BITS = 20
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -375,6 +375,7 @@ def decoder(path: str):
 
 def encode_documents(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, text: str = "text", out: str = "pieces") -> DataFrame:
     """docs with the pieces of each text."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(out, encoder(path, seed, dropout)(F.col(text), F.col("doc_id").cast("long")))
 
 

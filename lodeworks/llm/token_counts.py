@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import bounded_batches, shared_dir, table
 
 CACHE_CONF = "spark.lodeworks.tokenCache"
 LIMIT = 1024
@@ -96,6 +96,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, fast: str | None =
     cache: a folder that driver and executors share; made if missing. tokenizer: a file that every machine has.
     """
     spark, version = docs.sparkSession, version_of(tokenizer)
+    bounded_batches(spark)
     held = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(body, 256))
