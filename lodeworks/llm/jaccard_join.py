@@ -3,9 +3,12 @@
 1. A document's set: hashes (64 bits) of its distinct word shingles. Rows with equal sets are one class.
 2. Candidates without a miss. Two sets of sizes a <= b with intersection >= t * union differ in at most
    D = (a + b) * (1 - t) / (1 + t) elements. Sizes fall into bands, a tile holds two neighbouring
-   bands. In a tile the universe of shingles is cut by hash into D + 1 + SPARE parts: similar sets
-   agree on at least 1 + SPARE whole parts, so they share the digest of a part that isn't empty (a
-   set with more than SPARE empty parts gives those digests too). Digests go to the machines in
+   bands. In a tile the universe of shingles is cut by hash into D + 1 + S parts: similar sets agree on
+   at least 1 + S whole parts. Each set leaves out the digests of its S most frequent parts. In any one
+   order of all digests the first that both sets share has S shared ones behind it, so neither leaves
+   it out. Passages that many documents hold, and empty parts, are what is left out, and don't chain
+   documents to each other. The order is by counts of all digests of all documents in SKETCH counters
+   (a fixed size), then by digest; collisions there cost time, never a link. Digests go to the machines in
    hash ranges; equal digests are thinned to one row a map task before that, so a digest that a third
    of all documents share costs a row for each task. Members of a digest are joined to its smallest.
 3. Components of these pairs are groups. A group is laid out in tiles by size band, large bands in
@@ -34,7 +37,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, table
 from .graph import components
 
-SPARE = 2
+#: Parts beyond D + 1: SPARE, and one for each D / SPARE_SHARE.
+SPARE, SPARE_SHARE = 2, 3
+#: Counters of digests, and how many of them are a row when they are summed up.
+SKETCH_BITS, SKETCH_ROW = 22, 4096
 #: Elements of sets that one tile holds about; digests in one range of hashes.
 TILE, RANGE = 2_000_000, 500_000
 #: Documents' digests that a map task thins at a time.
@@ -139,13 +145,18 @@ class Bands:
 
     def parts(self, tile: int) -> int:
         """Parts in a tile of bands tile and tile + 1."""
+        return self.differ(tile) + 1 + self.spare(tile)
+
+    def differ(self, tile: int) -> int:
         top = self.low[min(tile + 2, len(self.low) - 1)] - 1
-        return (2 * top * (self.den - self.num)) // (self.den + self.num) + 1 + SPARE
+        return (2 * top * (self.den - self.num)) // (self.den + self.num)
 
+    def spare(self, tile: int) -> int:
+        return SPARE + self.differ(tile) // SPARE_SHARE
 
-def part_digests(x: np.ndarray, bands: Bands) -> np.ndarray:
-    """Digests of a set's parts in its two tiles."""
-    out = []
+
+def _tile_digests(x: np.ndarray, bands: Bands):
+    """For each of a set's two tiles: the digests of all parts, and how many of them may be left out."""
     band = int(bands.of(len(x)))
     for tile in (band - 1, band):
         if tile < 0:
@@ -154,9 +165,19 @@ def part_digests(x: np.ndarray, bands: Bands) -> np.ndarray:
         place = (_stir(x + np.uint64(tile + 1)) % np.uint64(k)).astype(np.int64)
         sums = np.zeros(k, np.uint64)
         np.add.at(sums, place, _stir(x * _M1 + np.uint64(7)))
-        filled = np.bincount(place, minlength=k) > 0
-        d = _stir(sums * _M2 + np.arange(k, dtype=np.uint64) + np.uint64(tile << 32))
-        out.append(d[filled] if (~filled).sum() <= SPARE else d)
+        yield _stir(sums * _M2 + np.arange(k, dtype=np.uint64) + np.uint64(tile << 32)), bands.spare(tile)
+
+
+def _counter(digests: np.ndarray) -> np.ndarray:
+    return (digests >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def part_digests(x: np.ndarray, bands: Bands, counts: np.ndarray | None = None) -> np.ndarray:
+    """Digests of a set's parts in its two tiles, without each tile's most frequent ones."""
+    out = []
+    for d, spare in _tile_digests(x, bands):
+        order = np.lexsort((d, counts[_counter(d)])) if counts is not None else np.argsort(d)
+        out.append(d[order[: len(d) - spare]])
     return np.concatenate(out)
 
 
@@ -177,7 +198,7 @@ def _rows(part, digests, nodes) -> pd.DataFrame:
     return pd.DataFrame({"part": part, "digests": [x.tobytes() for x in digests], "nodes": [x.tobytes() for x in nodes]})
 
 
-def _thinner(words: int, bands: Bands, ranges: int):
+def _thinner(words: int, bands: Bands, ranges: int, counts=None):
     """Documents become digests by range, and pairs found on the way."""
 
     def thin(batches):
@@ -206,7 +227,7 @@ def _thinner(words: int, bands: Bands, ranges: int):
                 if key in sets:
                     continue
                 sets[key] = node
-                d = part_digests(x, bands)
+                d = part_digests(x, bands, counts.value if counts is not None else None)
                 held.append(d)
                 names.append(node)
                 size += len(d)
@@ -344,36 +365,76 @@ def _decider(num: int, den: int):
     return decide
 
 
-def _sizer(words: int):
-    """Size and 128-bit digest of each document's set."""
+_SIZED = "doc_id long, n long, content binary, row int, places binary, counts binary"
+
+
+def _sizer(words: int, bands: Bands):
+    """Size and 128-bit digest of each document's set; at the end of a task, rows of its counts of part digests."""
     import hashlib
 
     def size(batches):
         shingler = Shingler(words)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for pdf in batches:
-            sets = shingler(pdf["text"].tolist())
-            sets = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None) for x in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [n for n, _ in sets], "content": [c for _, c in sets]})
+            sizes, contents = [], []
+            for x in shingler(pdf["text"].tolist()):
+                sizes.append(len(x))
+                contents.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                if len(x):
+                    for d, _ in _tile_digests(x, bands):
+                        np.add.at(counts, _counter(d), np.uint32(1))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": sizes, "content": contents, "row": None, "places": None, "counts": None})
+        for row, part in enumerate(counts.reshape(-1, SKETCH_ROW)):
+            at = np.nonzero(part)[0]
+            if len(at):
+                yield pd.DataFrame({"doc_id": [None], "n": [None], "content": [None], "row": [row], "places": [at.astype(np.uint16).tobytes()], "counts": [part[at].tobytes()]})
 
     return size
 
 
+def _summer(batches):
+    """Rows sorted by `row` become one row of sums each."""
+    key, sums = None, np.zeros(SKETCH_ROW, np.int64)
+    done = lambda: pd.DataFrame({"row": [key], "sums": [sums.tobytes()]})
+    for pdf in batches:
+        for row, at, n in zip(pdf["row"].tolist(), pdf["places"].tolist(), pdf["counts"].tolist()):
+            if row != key:
+                if key is not None:
+                    yield done()
+                key, sums = row, np.zeros(SKETCH_ROW, np.int64)
+            sums[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+    if key is not None:
+        yield done()
+
+
+def _digest_counts(sized: DataFrame) -> np.ndarray:
+    """The counters over all documents: 2^SKETCH_BITS numbers, however many documents there are."""
+    rows = sized.filter("row IS NOT NULL").select("row", "places", "counts").repartition("row").sortWithinPartitions("row")
+    out = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, np.uint32).reshape(-1, SKETCH_ROW)
+    for r in rows.mapInPandas(_summer, "row int, sums binary").collect():
+        out[r["row"]] = np.minimum(np.frombuffer(r["sums"], np.int64), 0xFFFFFFFF)
+    return out.ravel()
+
+
 def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets are linked at num / den or more."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slim = cut(docs.mapInPandas(_sizer(words), "doc_id long, n long, content binary"))
+    wide = Bands(num, den, 1 << 40)
+    sized = cut(docs.mapInPandas(_sizer(words, wide), _SIZED))
+    slim = sized.filter("row IS NULL").select("doc_id", "n", "content")
     known = slim.filter("doc_id IS NOT NULL AND n > 0")
     total, largest = known.agg(F.sum("n"), F.max("n")).first()
     heads = known.groupBy("content").agg(F.min("doc_id").alias("head"))
     if total is None:
         return slim.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     bands = Bands(num, den, largest)
+    counts = docs.sparkSession.sparkContext.broadcast(_digest_counts(sized))
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = 4.5 * (den - num) / (den + num)  # digests for each element, about: two tiles, each as wide as two bands
     ranges = max(shuffles, math.ceil(total * each / RANGE))
     usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    digests = usable.mapInPandas(_thinner(words, bands, ranges), "part long, digests binary, nodes binary")
+    digests = usable.mapInPandas(_thinner(words, wide, ranges, counts), "part long, digests binary, nodes binary")
     pairs = digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairer, "a long, b long")
     pairs = cut(pairs)
     groups = components(pairs) if not pairs.isEmpty() else None
