@@ -38,11 +38,11 @@ from .common import bounded_batches, cut, table
 from .graph import components
 
 #: Parts beyond D + 1: SPARE, and one for each D / SPARE_SHARE.
-SPARE, SPARE_SHARE = 2, 3
+SPARE, SPARE_SHARE = 2, 1
 #: Counters of digests, and how many of them are a row when they are summed up.
 SKETCH_BITS, SKETCH_ROW = 22, 4096
 #: Elements of sets that one tile holds about; digests in one range of hashes.
-TILE, RANGE = 2_000_000, 500_000
+TILE, RANGE = 4_000_000, 500_000
 #: Documents' digests that a map task thins at a time.
 THIN = 1_000_000
 BITS = 1024
