@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple] = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 
 
@@ -36,7 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")  # for this write alone: its shuffles are read by nothing later
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
