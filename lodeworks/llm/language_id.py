@@ -1,10 +1,11 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
-Features are character n-grams (2 and 3 letters, with and without a word's end) of the lower-cased letters of the
-whole text, hashed into BUCKETS rows of an embedding; a text's vector is their mean. Embedding and
-softmax are trained together by stochastic gradient descent in numpy, on chunks of the texts, so that
-short texts are known too. A temperature fitted on chunks kept out of training calibrates the score,
-and texts whose score is under the threshold found there count as rejected.
+Features are character n-grams (2 and 3 letters, with and without a word's end, and words of one letter)
+of the lower-cased letters of the whole text, so that every text with a letter has one, hashed into
+BUCKETS rows of an embedding; a text's vector is their mean. Embedding and softmax are trained together
+by stochastic gradient descent in numpy, on chunks of the texts, so that short texts are known too. A
+temperature fitted on chunks kept out of training calibrates the score, and texts whose score is under
+the threshold found there count as rejected.
 
 For prediction, embedding times softmax is one table of BUCKETS x languages: no text is truncated, and
 a text's time is linear in its length, in pieces of PIECE characters.
@@ -60,7 +61,8 @@ def grams(x: np.ndarray):
             if size == n and n > 1:
                 inner &= (x[: len(h)] != 0) & (x[size - 1 :] != 0)
             elif size > 1:
-                inner &= (x[: len(h)] == 0) ^ (x[size - 1 :] == 0)
+                ends = np.logical_or if size == 3 else np.logical_xor  # a word of one letter has both its ends
+                inner &= ends(x[: len(h)] == 0, x[size - 1 :] == 0)
             at = np.nonzero(inner)[0]
             yield at, (h[at] >> np.uint64(40)) % np.uint64(BUCKETS)
 
