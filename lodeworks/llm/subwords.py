@@ -2,15 +2,14 @@
 
 A BPE model merges, again and again, the adjacent pair whose union is the best piece; the agenda holds
 the candidate pairs. Under dropout a candidate that comes up is skipped with probability `dropout`,
-and stays out until a merge next to it makes a new candidate. The draw is a keyed hash of seed, variant,
-word, the candidate's place in it and the piece it would make: the same call gives the same pieces on
-any machine and after any retry, and each of the VARIANTS of a word has its own segmentation. Which
-variant an occurrence takes is a keyed hash of seed, doc_id and its place in the text. With dropout 0
-the pieces are the library's own.
+and stays out until a merge next to it makes a new candidate. The draw is a keyed hash of seed, doc_id,
+the occurrence's place in the text, the candidate's place in the word and the piece it would make: the
+same call gives the same pieces on any machine and after any retry, and every occurrence of a word draws
+for itself. With dropout 0 the pieces are the library's own.
 
 No piece of the model reaches over the start of a word (that is checked), so texts are cut into words.
-Each batch encodes its distinct (word, variant) pairs, many at once in numpy; words over LONGEST
-characters take a heap. Characters without a piece become bytes, and so does a literal U+2581, which is
+Each batch merges its words many at once in numpy; occurrences of a word share the work as long as their
+draws are alike. Words over LONGEST characters take a heap, one by one. Characters without a piece become bytes, and so does a literal U+2581, which is
 why decoding gives the text again, whatever it holds.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows repeat
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
-SEED, DROPOUT, VARIANTS = 20, 0.1, 8
+SEED, DROPOUT = 20, 0.1
 LONGEST, CHARS_AT_ONCE = 48, 3_000_000
 _BITS = 20
 SPACE = "▁"
@@ -65,20 +64,6 @@ def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(lengths) - lengths
 
 
-def _names(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word: the sum of its characters' hashes by place."""
-    code, first = _coded(words)
-    if not len(code):
-        return np.zeros(len(words), np.uint64)
-    lengths = np.diff(np.append(first, len(code)))
-    place = np.arange(len(code)) - np.repeat(first, lengths)
-    return np.add.reduceat(_mix(code.astype(np.uint64), place), first)
-
-
-def _name(word: str) -> int:
-    return int(_names([word])[0])
-
-
 class Subwords:
     def __init__(self, path: str):
         import sentencepiece
@@ -152,10 +137,7 @@ class Subwords:
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes_of[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def _drawn(self, limit: int, *parts):
-        return (_mix(*parts) >> (40 if isinstance(parts[1], int) else np.uint64(40))) < (limit if isinstance(parts[1], int) else np.uint64(limit))
-
-    def slow(self, chars: list[str], name: int, variant: int, seed: int, limit: int) -> list[int]:
+    def slow(self, chars: list[str], key: int, limit: int) -> list[int]:
         """One word by a heap; an entry is (rank, place, right, piece), stale if either part has changed since."""
         sym = [self.ids.get(c, self.none) for c in chars]
         n = len(sym)
@@ -175,7 +157,7 @@ class Subwords:
             _, i, j, piece, a, b = heapq.heappop(agenda)
             if size[i] != a or j >= n or size[j] != b or right[i] != j:
                 continue
-            if limit and self._drawn(limit, seed, variant, name, i, piece):
+            if limit and _mix(key, _mix(i, piece)) >> 40 < limit:
                 continue
             sym[i], size[i], right[i] = piece, a + b, right[j]
             size[j] = 0
@@ -191,101 +173,135 @@ class Subwords:
             i = right[i]
         return out
 
-    def fast(self, words: list[str], names: np.ndarray, variants: np.ndarray, seed: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words of about one length at once, as linked rows in flat arrays. Returns their symbols, -1 where one was merged into its left."""
+    def fast(self, words: list[str], of: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of about one length at once, as linked rows in arrays. `of` is the word of each occurrence, `keys` its hash.
+
+        A row stands for all occurrences of a word whose draws have been alike so far; where they differ,
+        those that skip the merge go on in a row of their own. Returns the rows' symbols, -1 where one was
+        merged into its left, each row's word and each occurrence's row.
+        """
         n, width = len(words), max(map(len, words)) + 1
         code, first = _coded(words)
         lengths = np.diff(np.append(first, len(code)))
         sym = np.full((n, width), -1, np.int32)
         row = np.repeat(np.arange(n), lengths)
         sym[row, np.arange(len(code)) - np.repeat(first, lengths)] = self.char[code]
-        flat = sym.ravel()
-        right = np.arange(1, n * width + 1, dtype=np.int64)
-        left = right - 2
-        rank = np.full(n * width, _BIG, np.int32)
-        rank[:-1] = self._pair(flat[:-1], flat[1:])
-        rank[flat < 0] = _BIG
-        grid, rows = rank.reshape(n, width), np.arange(n)
+        # right and left are columns; the last column of a row is always empty, so a right part there ends the word
+        right = np.tile(np.minimum(np.arange(1, width + 1), width - 1).astype(np.int8), (n, 1))
+        left = np.tile(np.arange(-1, width - 1).astype(np.int8), (n, 1))
+        rank = np.full((n, width), _BIG, np.int32)
+        rank[:, :-1] = self._pair(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1)
+        rank[sym < 0] = _BIG
+        whose, at_row = np.arange(n), of.copy()
+        state = [sym, right, left, rank]
+        rows, live = np.arange(n), np.arange(len(of)) if limit else np.zeros(0, np.int64)  # rows and occurrences still at work
         while len(rows):
-            p = (grid if len(rows) == n else grid[rows]).argmin(1)
-            at = rows * width + p
-            r = rank[at]
-            live = r < _BIG
-            rows, at, r, p = rows[live], at[live], r[live], p[live]
-            if limit and len(rows):
-                keep = ~self._drawn(limit, seed, variants[rows], names[rows], p, self.best[r])
-                rank[at[~keep]] = _BIG
-                at, r, p = at[keep], r[keep], p[keep]
-            gone = right[at]
-            flat[at], flat[gone] = self.best[r], -1
-            rank[gone] = _BIG
-            nxt = right[gone]
-            right[at] = nxt
-            left[np.minimum(nxt, len(left) - 1)] = np.where(nxt < len(left), at, left[-1])
-            # the last column of a row is always empty, so a right part of -1 ends the word
-            rank[at] = self._pair(flat[at], np.where(nxt < len(flat), flat[np.minimum(nxt, len(flat) - 1)], -1))
+            sym, right, left, rank = state
+            p = (rank if len(rows) == len(rank) else rank[rows]).argmin(1)
+            r = rank[rows, p]
+            going = r < _BIG
+            rows, r, p = rows[going], r[going], p[going]
+            if not len(rows):
+                break
+            if limit:
+                where = np.full(len(rank), -1, np.int64)
+                where[rows] = np.arange(len(rows))
+                mine = where[at_row[live]]
+                live, mine = live[mine >= 0], mine[mine >= 0]
+                skips = (_mix(keys[live], _mix(p, self.best[r])[mine]) >> np.uint64(40)) < np.uint64(limit)
+                some, all_ = np.bincount(mine, weights=skips, minlength=len(rows)), np.bincount(mine, minlength=len(rows))
+                never, split = some == all_, (some > 0) & (some < all_)
+                fresh = np.zeros(0, np.int64)
+                if split.any():
+                    at = np.nonzero(split)[0]
+                    fresh = np.arange(len(rank), len(rank) + len(at))
+                    state = [np.concatenate([x, x[rows[at]]]) for x in state]
+                    sym, right, left, rank = state
+                    whose = np.concatenate([whose, whose[rows[at]]])
+                    rank[fresh, p[at]] = _BIG
+                    where = np.full(len(rows), -1, np.int64)
+                    where[at] = fresh
+                    gone = skips & split[mine]
+                    at_row[live[gone]] = where[mine[gone]]
+                rank[rows[never], p[never]] = _BIG
+                still = rows
+                at, r, p = rows[~never], r[~never], p[~never]
+                rows = np.concatenate([still, fresh])
+            else:
+                at = rows
+            gone = right[at, p].astype(np.int64)
+            sym[at, p], sym[at, gone] = self.best[r], -1
+            rank[at, gone] = _BIG
+            nxt = right[at, gone].astype(np.int64)
+            right[at, p] = nxt
+            left[at, nxt] = p
+            rank[at, p] = self._pair(sym[at, p], sym[at, nxt])
             inner = p > 0
-            at = at[inner]
-            before = left[at]
-            rank[before] = self._pair(flat[before], flat[at])
-        return sym
-
-    def encode_words(self, words: list[str], variants: np.ndarray, seed: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Flat pieces of all words, and how many each has."""
-        names = _names(words)
+            at, p = at[inner], p[inner]
+            before = left[at, p].astype(np.int64)
+            rank[at, before] = self._pair(sym[at, before], sym[at, p])
+        return state[0], whose, at_row
+
+    def encode_words(self, words: list[str], token: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat pieces of all segmentations that occur, how many each has, and which one each occurrence takes."""
         lengths = np.array([len(w) for w in words])
-        parts: list = [None] * len(words)
+        which = np.zeros(len(token), np.int64)
         edges = [0, 4, 7, 10, 13, 17, 24, LONGEST]
-        counts = np.zeros(len(words), np.int64)
-        pieces = []  # (word numbers, flat pieces, counts)
+        flats, counts, total = [], [], 0
         for lo, hi in zip(edges, edges[1:]):
-            at = np.nonzero((lengths > lo) & (lengths <= hi))[0]
-            if not len(at):
+            known = np.nonzero((lengths > lo) & (lengths <= hi))[0]
+            if not len(known):
                 continue
-            sym = self.fast([words[i] for i in at.tolist()], names[at], variants[at], seed, limit)
+            number = np.full(len(words), -1, np.int64)
+            number[known] = np.arange(len(known))
+            here = np.nonzero(number[token] >= 0)[0]
+            some = [words[i] for i in known.tolist()]
+            sym, whose, row = self.fast(some, number[token[here]], keys[here], limit)
             odd = (sym == self.none).any(1)
-            for r in np.nonzero(odd)[0]:
-                w, out = words[at[r]], []
+            fine = np.nonzero(~odd)[0]
+            ok = sym[fine] >= 0
+            order = np.empty(len(sym), np.int64)
+            order[fine] = np.arange(len(fine))
+            flats.append(sym[fine][ok])
+            counts.append(ok.sum(1))
+            for k, r in enumerate(np.nonzero(odd)[0].tolist()):
+                w, out = some[whose[r]], []
                 for c, s in enumerate(sym[r].tolist()):
                     if s >= 0:
                         out += [s] if s != self.none else self._bytes(w[c])
-                parts[at[r]] = np.array(out, np.int32)
-            fine = np.nonzero(~odd)[0]
-            ok = sym[fine] >= 0
-            counts[at[fine]] = ok.sum(1)
-            pieces.append((at[fine], sym[fine][ok]))
-        for i in np.nonzero(lengths > LONGEST)[0]:
-            parts[i] = np.array(self.slow(list(words[i]), int(names[i]), int(variants[i]), seed, limit), np.int32)
-        for i, x in enumerate(parts):
-            if x is not None:
-                counts[i] = len(x)
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        flat = np.empty(offsets[-1], np.int32)
-        for at, x in pieces:
-            c = counts[at]
-            flat[np.repeat(offsets[at] - (np.cumsum(c) - c), c) + np.arange(len(x))] = x
-        for i, x in enumerate(parts):
-            if x is not None:
-                flat[offsets[i] : offsets[i + 1]] = x
-        return flat, counts
-
-    def encode(self, texts: list, keys: list[int], seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> list[np.ndarray]:
+                order[r] = len(fine) + k
+                flats.append(np.array(out, np.int32))
+                counts.append(np.array([len(out)]))
+            which[here] = total + order[row]
+            total += len(sym)
+        whole: dict[int, int] = {}  # without dropout all occurrences of a long word are alike
+        for i in np.nonzero(lengths[token] > LONGEST)[0].tolist() if len(words) else ():
+            t = int(token[i])
+            if limit or t not in whole:
+                x = np.array(self.slow(list(words[t]), int(keys[i]), limit), np.int32)
+                flats.append(x)
+                counts.append(np.array([len(x)]))
+                whole[t] = total
+                total += 1
+            which[i] = whole[t]
+        return np.concatenate([np.zeros(0, np.int32), *flats]), np.concatenate([np.zeros(0, np.int64), *counts]), which
+
+    def encode(self, texts: list, keys: list[int], seed: int = SEED, dropout: float = DROPOUT) -> list[np.ndarray]:
         limit = int(dropout * (1 << 24))
         known: dict[str, int] = defaultdict(count().__next__)  # words are numbered as they come
         streams, special = [], {}
         for i, t in enumerate(texts):
             t = t or ""
             if SPACE in t:
-                special[i] = self._literal(t, keys[i], seed, limit, variants)
+                special[i] = self._literal(t, keys[i], seed, limit)
                 t = ""
             streams.append(np.fromiter(map(known.__getitem__, _WORD.findall(SPACE + t.replace(" ", SPACE)) if t else ()), np.int64))
         sizes = np.array([len(s) for s in streams])
         words = list(known)
         token = np.concatenate(streams) if streams else np.zeros(0, np.int64)
         place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        drawn = (_mix(seed, np.repeat(np.array(keys, np.int64), sizes), place) >> np.uint64(20)) % np.uint64(variants) if limit else np.zeros(len(token), np.uint64)
-        pair, which = np.unique(token * variants + drawn.astype(np.int64), return_inverse=True)
-        flat, counts = self.encode_words([words[i] for i in (pair // variants).tolist()], (pair % variants).astype(np.uint64), seed, limit)
+        drawn = _mix(seed, np.repeat(np.array(keys, np.int64), sizes), place) if limit else np.zeros(len(token), np.uint64)
+        flat, counts, which = self.encode_words(words, token, drawn, limit)
         offsets = np.cumsum(counts) - counts
         c = counts[which]
         ends = np.cumsum(c)
@@ -296,7 +312,7 @@ class Subwords:
             out[i] = x
         return out
 
-    def _literal(self, text: str, key: int, seed: int, limit: int, variants: int) -> np.ndarray:
+    def _literal(self, text: str, key: int, seed: int, limit: int) -> np.ndarray:
         """A text with U+2581 in it: that character stands for itself, as bytes, and starts no word."""
         marked = [SPACE] + [SPACE if c == " " else "" if c == SPACE else c for c in text]
         out: list[int] = []
@@ -304,18 +320,17 @@ class Subwords:
         place = 0
         for c in [*marked, None]:
             if c is None or (c == SPACE and word and word[-1] != SPACE):
-                variant = int(_mix(seed, key & _MASK, place) >> 20) % variants if limit else 0
-                out += self._marked(word, variant, seed, limit)
+                out += self._marked(word, _mix(seed, key & _MASK, place), limit)
                 word, place = [], place + 1
             word.append(c)
         return np.array(out, np.int32)
 
-    def _marked(self, word: list[str], variant: int, seed: int, limit: int) -> list[int]:
+    def _marked(self, word: list[str], key: int, limit: int) -> list[int]:
         out, run = [], []
         for c in [*word, ""]:
             if c == "":
                 if run:
-                    out += self.slow(run, _name("".join(run)), variant, seed, limit)
+                    out += self.slow(run, _mix(key, len(out)), limit)
                 run = []
                 out += self._bytes(SPACE)
             else:
@@ -348,7 +363,7 @@ def _slices(texts: list, most: int = CHARS_AT_ONCE):
         yield a, len(texts)
 
 
-def encoder(path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+def encoder(path: str, seed: int = SEED, dropout: float = DROPOUT):
     """A column function of (text, id): array<int> of pieces."""
 
     @F.pandas_udf("array<int>")
@@ -356,7 +371,7 @@ def encoder(path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int
         model, out = model_at(path), []
         texts, keys = texts.tolist(), keys.fillna(0).astype("int64").tolist()
         for a, b in _slices(texts):
-            out += model.encode(texts[a:b], keys[a:b], seed, dropout, variants)
+            out += model.encode(texts[a:b], keys[a:b], seed, dropout)
         return pd.Series(out)
 
     return encode
