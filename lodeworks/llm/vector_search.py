@@ -15,14 +15,15 @@ exact results. What comes to the driver: pivots, and a row for each annulus (PIV
 
 Defined results: vectors null, empty or holding null or non-finite components take no part; of vectors
 of different lengths the missing components count as 0; ties go to the smaller id; components saturate
-at +-2^40; repeated ids are separate candidates, and each repeated query is answered once.
+at +-2^40; repeated ids are separate candidates, and all query rows of one id, equal or not, are one
+query: its result is the k highest scores of any of them, a candidate counting once for each row, as in SQL.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -232,7 +233,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
     ring = f"pivot * {ANNULI} + ring"
     first_of = lambda i: _looked_up([x[i] for x in starts], ring) + F.pmod(F.xxhash64(F.lit(5), "vec_id"), _looked_up([x[i + 1] for x in starts], ring))
     blocks = _packed(index.withColumn("block", first_of(0).cast("long")), dim)
-    queries = _packed(index.filter(asked).dropDuplicates(["vec_id"]).withColumn("block", first_of(2).cast("long")), dim)
+    # Every query row is answered, as in SQL; of equal rows more than k can't change the k highest.
+    alike = index.filter(asked).groupBy("vec_id", "v").agg(F.min(F.struct("pivot", "dist", "ring")).alias("at"), F.count("*").alias("n"))
+    alike = alike.select("vec_id", "v", "at.*", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")).drop("copy")
+    queries = _packed(alike.withColumn("block", first_of(2).cast("long")), dim)
     queries = queries.withColumn("n", (F.length("ids") / 8).cast("int"))
     state, first = None, 0
     for until in ROUNDS:
@@ -252,7 +256,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
                 ok = i != _NONE
                 yield pd.DataFrame({"query_id": np.repeat(qids, ok.sum(1)), "rank": (np.nonzero(ok)[1] + 1).astype(np.int32), "vec_id": i[ok], "score": s[ok]})
 
-    return state.join(queries.select(F.col("block").alias("qb"), "ids"), "qb").mapInPandas(answer, schema)
+    found = state.join(queries.select(F.col("block").alias("qb"), "ids"), "qb").mapInPandas(answer, schema)
+    # Rows of one id are one query: the k highest of them all.
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

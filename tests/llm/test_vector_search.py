@@ -32,3 +32,17 @@ def test_few_rows_and_none(spark):
     got = sorted(tuple(r) for r in vs.exact_topk(df, F.col("vec_id") % 20 == 0, 20).collect())
     assert got == [(0, 1, 1, 8192), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0)]
     assert vs.exact_topk(df.limit(0), F.lit(True), 3).count() == 0
+
+
+def test_repeated_query_ids_equal_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(1, 60)]
+    rows += [(20, rng.normal(size=4).astype(np.float32).tolist()), (20, [1.0, 0.0, 0.0, 0.0]), (40, [0.5] * 4), (40, [0.5] * 4)]  # other vectors, equal vectors
+    rows += [(60, [0.25, 0.0, 0.5, 0.0])] * 30  # more copies than k
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    want = sorted(duckdb.connect().execute(vs.SQL.replace("FROM embeddings", f"FROM read_parquet('{path}/*.parquet')")).fetchall())
+    assert sorted(tuple(r) for r in vs.op3_topk(spark, str(tmp_path)).collect()) == want
+    assert len(want) == 60
