@@ -1,4 +1,4 @@
-"""The question loop as set-oriented stages: route, gate, retrieve, answer, grade, retry."""
+"""The question loop as set-oriented stages: route, gate, rewrite, retrieve, answer, grade, retry, links."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import strip, word_count
+from lodeworks.functions.text import rewrite_gate, rewrite_or_original, strip, word_count
+from lodeworks.operators.retrieval import source_links
 
 MAX_ITERATIONS = 2
 NO_INFORMATION = "No information on this was found."
+DIRECT_REPLY = "Hello, how can I help you?"
 GREETINGS = ["hello", "hi", "thanks", "thank you", "bye", "merhaba", "selam", "teşekkürler"]
 QUESTION_WORDS = r"\b(what|who|when|where|why|how|which)\b"
 
@@ -34,27 +36,64 @@ def decide(verdict: Column, iterations: Column) -> Column:
     return F.when((verdict == "useful") | (iterations >= MAX_ITERATIONS), "end").otherwise("retry")
 
 
+def _words(x: Column) -> Column:
+    return F.array_remove(F.split(F.lower(x), r"[^\p{L}0-9]+"), "")
+
+
 def overlap_grade(question: Column, answer: Column) -> Column:
     """The stand-in judge: an answer that isn't empty or the fixed phrase and shares a word with the question."""
-    words = lambda x: F.array_remove(F.split(F.lower(x), r"[^\p{L}0-9]+"), "")
     some = (F.length(strip(F.coalesce(answer, F.lit("")))) > 0) & (answer != NO_INFORMATION)
-    return F.when(some & F.arrays_overlap(words(question), words(answer)), "useful").otherwise("not_useful")
+    return F.when(some & F.arrays_overlap(_words(question), _words(answer)), "useful").otherwise("not_useful")
+
+
+def _sentences(question: Column, text: Column) -> Column:
+    """struct<n, at, sentence> of each sentence: the question's words in it, and its place counted backwards."""
+    asked = _words(question)
+    each = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: F.length(strip(x)) > 0)
+    return F.transform(each, lambda x, i: F.struct(F.size(F.array_intersect(asked, _words(x))).alias("n"), (-i).alias("at"), strip(x).alias("sentence")))
+
+
+def best_overlap(question: Column, text: Column) -> Column:
+    """The most words that one sentence shares with the question: the stand-in for a re-ranker's score."""
+    return F.array_max(_sentences(question, text))["n"]
+
+
+def best_sentence(question: Column, context: Column) -> Column:
+    """The sentence of the numbered context that shares most words with the question, the first of equal ones."""
+    return F.array_max(_sentences(question, F.regexp_replace(context, r"(?m)^\[\d+\] ", "")))["sentence"]
+
+
+def searched(questions: DataFrame, hyde: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds `search`, the text to retrieve by. Where the gate passes, the last user message goes before the question.
+
+    A history is in `history_size` and `previous`, the last user message; hyde may turn the text into a made-up answer.
+    """
+    search = F.col("question")
+    if {"history_size", "previous"} <= set(questions.columns):
+        both = F.concat_ws(" ", "previous", "question")
+        search = F.when(rewrite_gate(search, F.col("history_size")), rewrite_or_original(both, search)).otherwise(search)
+    return questions.withColumn("search", hyde(search) if hyde else search)
 
 
-def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """questions: question_id, question. retrieve adds `context`, generate adds `answer`.
+def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], hyde: Callable[[Column], Column] | None = None) -> DataFrame:
+    """questions: question_id, question and perhaps a history (see searched). retrieve adds `context` and perhaps
+    `links` by the column `search`, generate adds `answer`; a direct question without one gets a fixed reply, and
+    the first admissible links follow an answer from a context.
 
     Each pass works only on rows that still need one; a direct route ends after its pass. With functions
     that give the same result twice, a retry changes nothing, so at most MAX_ITERATIONS passes are planned.
     """
-    todo = questions.withColumn("route", route(F.col("question")))
+    todo = searched(questions, hyde).withColumn("route", route(F.col("question")))
     direct = todo.filter("route = 'direct'").withColumn("context", F.lit(None).cast("string"))
-    done = generate(direct).withColumn("iterations", F.lit(1)).withColumn("grade", overlap_grade(F.col("question"), F.col("answer")))
+    done = generate(direct).withColumn("answer", F.coalesce("answer", F.lit(DIRECT_REPLY))).withColumn("iterations", F.lit(1)).withColumn("grade", overlap_grade(F.col("question"), F.col("answer")))
     left = todo.filter("route = 'rag'")
     for n in range(1, MAX_ITERATIONS + 1):
         tried = generate(retrieve(left)).withColumn("iterations", F.lit(n))
         tried = tried.withColumn("answer", F.when(F.col("context").isNull(), NO_INFORMATION).otherwise(F.col("answer"))).withColumn("grade", overlap_grade(F.col("question"), F.col("answer")))
+        if "links" in tried.columns:
+            links = source_links(F.col("links"))
+            tried = tried.withColumn("answer", F.when(F.col("context").isNotNull() & (F.size(links) > 0), F.concat_ws("\n", "answer", F.array_join(links, "\n"))).otherwise(F.col("answer")))
         end = decide(F.col("grade"), F.col("iterations"))
         done = done.unionByName(tried.filter(end == "end"), allowMissingColumns=True)
-        left = tried.filter(end == "retry").select(*questions.columns, "route")
+        left = tried.filter(end == "retry").select(*questions.columns, "search", "route")
     return done
