@@ -13,7 +13,8 @@ draws are alike. Words over LONGEST characters take a heap, one by one. Characte
 why decoding gives the text again, whatever it holds.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows repeat
-results; rows without doc_id count as doc_id 0.
+results; rows without doc_id count as doc_id 0; texts of any length are encoded whole; an empty table
+gives an empty one; an input column that has the output's name is replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from collections import defaultdict
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
 SEED, DROPOUT = 20, 0.1
-LONGEST, CHARS_AT_ONCE = 48, 3_000_000
+LONGEST, CHARS_AT_ONCE = 48, 500_000
 _BITS = 20
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -173,19 +174,22 @@ class Subwords:
             i = right[i]
         return out
 
-    def fast(self, words: list[str], of: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def fast(self, words: list[str], of: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words of about one length at once, as linked rows in arrays. `of` is the word of each occurrence, `keys` its hash.
 
         A row stands for all occurrences of a word whose draws have been alike so far; where they differ,
         those that skip the merge go on in a row of their own. Returns the rows' symbols, -1 where one was
-        merged into its left, each row's word and each occurrence's row.
+        merged into its left, each row's word, each occurrence's row and the characters by word and column.
         """
         n, width = len(words), max(map(len, words)) + 1
         code, first = _coded(words)
         lengths = np.diff(np.append(first, len(code)))
         sym = np.full((n, width), -1, np.int32)
         row = np.repeat(np.arange(n), lengths)
-        sym[row, np.arange(len(code)) - np.repeat(first, lengths)] = self.char[code]
+        column = np.arange(len(code)) - np.repeat(first, lengths)
+        sym[row, column] = self.char[code]
+        chars = np.zeros((n, width), np.uint32)
+        chars[row, column] = code
         # right and left are columns; the last column of a row is always empty, so a right part there ends the word
         right = np.tile(np.minimum(np.arange(1, width + 1), width - 1).astype(np.int8), (n, 1))
         left = np.tile(np.arange(-1, width - 1).astype(np.int8), (n, 1))
@@ -240,7 +244,26 @@ class Subwords:
             at, p = at[inner], p[inner]
             before = left[at, p].astype(np.int64)
             rank[at, before] = self._pair(sym[at, before], sym[at, p])
-        return state[0], whose, at_row
+        return state[0], whose, at_row, chars
+
+    def _spelt(self, sym: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all rows in a row, and each row's number of them; characters without a piece become bytes."""
+        held = sym >= 0
+        flat = sym[held]
+        odd = flat == self.none
+        if not odd.any():
+            return flat, held.sum(1)
+        which, of = np.unique(chars[held][odd], return_inverse=True)
+        spelt = [self._bytes(chr(c)) for c in which.tolist()]
+        size = np.ones(len(flat), np.int64)
+        size[odd] = np.array([len(x) for x in spelt])[of]
+        first = np.cumsum(size) - size
+        out = np.repeat(flat, size)
+        for k in range(max(map(len, spelt))):
+            some = size[odd] > k
+            out[first[odd][some] + k] = np.array([x[k] if len(x) > k else 0 for x in spelt], np.int32)[of[some]]
+        row = np.repeat(np.arange(len(sym)), held.sum(1))
+        return out, np.bincount(row, weights=size, minlength=len(sym)).astype(np.int64)
 
     def encode_words(self, words: list[str], token: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat pieces of all segmentations that occur, how many each has, and which one each occurrence takes."""
@@ -256,23 +279,11 @@ class Subwords:
             number[known] = np.arange(len(known))
             here = np.nonzero(number[token] >= 0)[0]
             some = [words[i] for i in known.tolist()]
-            sym, whose, row = self.fast(some, number[token[here]], keys[here], limit)
-            odd = (sym == self.none).any(1)
-            fine = np.nonzero(~odd)[0]
-            ok = sym[fine] >= 0
-            order = np.empty(len(sym), np.int64)
-            order[fine] = np.arange(len(fine))
-            flats.append(sym[fine][ok])
-            counts.append(ok.sum(1))
-            for k, r in enumerate(np.nonzero(odd)[0].tolist()):
-                w, out = some[whose[r]], []
-                for c, s in enumerate(sym[r].tolist()):
-                    if s >= 0:
-                        out += [s] if s != self.none else self._bytes(w[c])
-                order[r] = len(fine) + k
-                flats.append(np.array(out, np.int32))
-                counts.append(np.array([len(out)]))
-            which[here] = total + order[row]
+            sym, whose, row, chars = self.fast(some, number[token[here]], keys[here], limit)
+            flat, size = self._spelt(sym, chars[whose])
+            flats.append(flat)
+            counts.append(size)
+            which[here] = total + row
             total += len(sym)
         whole: dict[int, int] = {}  # without dropout all occurrences of a long word are alike
         for i in np.nonzero(lengths[token] > LONGEST)[0].tolist() if len(words) else ():
@@ -287,6 +298,11 @@ class Subwords:
         return np.concatenate([np.zeros(0, np.int32), *flats]), np.concatenate([np.zeros(0, np.int64), *counts]), which
 
     def encode(self, texts: list, keys: list[int], seed: int = SEED, dropout: float = DROPOUT) -> list[np.ndarray]:
+        ids, starts = self.flat(texts, keys, seed, dropout)
+        return [ids[a:b] for a, b in zip(starts, starts[1:])]
+
+    def flat(self, texts: list, keys: list[int], seed: int = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts in a row, and where each text's begin, with the end of the last."""
         limit = int(dropout * (1 << 24))
         known: dict[str, int] = defaultdict(count().__next__)  # words are numbered as they come
         streams, special = [], {}
@@ -306,11 +322,11 @@ class Subwords:
         c = counts[which]
         ends = np.cumsum(c)
         ids = flat[np.repeat(offsets[which] - (ends - c), c) + np.arange(ends[-1] if len(ends) else 0)]
-        per = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        out = [ids[a:b] for a, b in zip(per, per[1:])]
-        for i, x in special.items():
-            out[i] = x
-        return out
+        starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        if special:
+            each = [special.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(starts, starts[1:]))]
+            ids, starts = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return ids, starts
 
     def _literal(self, text: str, key: int, seed: int, limit: int) -> np.ndarray:
         """A text with U+2581 in it: that character stands for itself, as bytes, and starts no word."""
@@ -338,8 +354,7 @@ class Subwords:
         return out[: -len(self._bytes(SPACE))]
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 _loaded: dict[str, Subwords] = {}
@@ -363,31 +378,60 @@ def _slices(texts: list, most: int = CHARS_AT_ONCE):
         yield a, len(texts)
 
 
+def _encoded(model: Subwords, texts: pa.Array, keys: pa.Array, seed: int, dropout: float):
+    """For some rows at a time: their pieces in a row, and where each row's begin."""
+    texts, keys = texts.to_pylist(), keys.fill_null(0).to_pylist()
+    for a, b in _slices(texts):
+        yield model.flat(texts[a:b], keys[a:b], seed, dropout)
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    starts, total = [np.zeros(1, np.int64)], 0
+    for ids, at in parts:
+        starts.append(total + at[1:])
+        total += len(ids)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in parts)]), pa.int32()))
+
+
+def _texts(model: Subwords, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+    ids, starts = ids.tolist(), starts.tolist()
+    return [model.decode(ids[a:b]) for a, b in zip(starts, starts[1:])]
+
+
 def encoder(path: str, seed: int = SEED, dropout: float = DROPOUT):
     """A column function of (text, id): array<int> of pieces."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        model, out = model_at(path), []
-        texts, keys = texts.tolist(), keys.fillna(0).astype("int64").tolist()
-        for a, b in _slices(texts):
-            out += model.encode(texts[a:b], keys[a:b], seed, dropout)
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return _lists(list(_encoded(model_at(path), texts, keys, seed, dropout)))
 
     return encode
 
 
 def decoder(path: str):
-    """A column function of array<int>: the text."""
+    """A column function of array<int>: the text; a null array is the empty text."""
 
-    @F.pandas_udf("string")
-    def decode(pieces: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(pieces: pa.Array) -> pa.Array:
         model = model_at(path)
-        return pd.Series([model.decode(x.tolist()) if x is not None and len(x) else "" for x in pieces], dtype=object)
+        return pa.array([model.decode(x or ()) for x in pieces.to_pylist()], pa.string())
 
     return decode
 
 
+def round_trip(path: str, seed: int = SEED, dropout: float = DROPOUT):
+    """A column function of (text, id): the pieces, and the text decoded from them, in one pass of a worker."""
+
+    @F.arrow_udf("pieces array<int>, decoded string")
+    def both(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        model = model_at(path)
+        parts = list(_encoded(model, texts, keys, seed, dropout))
+        decoded = pa.array([t for ids, at in parts for t in _texts(model, ids, at)], pa.string())
+        return pa.StructArray.from_arrays([_lists(parts), decoded], ["pieces", "decoded"])
+
+    return both
+
+
 def encode_documents(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, text: str = "text", out: str = "pieces") -> DataFrame:
     """docs with the pieces of each text."""
     bounded_batches(docs.sparkSession)
@@ -400,7 +444,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    done = encode_documents(docs, path).withColumn("decoded", decoder(path)("pieces"))
+    bounded_batches(spark)
+    done = docs.select("doc_id", "text", round_trip(path)("text", F.col("doc_id").cast("long")).alias("r")).select("doc_id", "text", "r.*")
     return done.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
