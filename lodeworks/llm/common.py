@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple] = []
+#: A key is hot with more than one in so many of all rows.
+HOT_SHARE = 1000
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 
@@ -47,6 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows left join classes, which has one row a key; its column `size`, which is dropped, counts the rows of the key.
+
+    A key with more than a thousandth of all rows is met by a broadcast: there can't be a thousand of them.
+    So no key, and no null, gathers its rows in one task.
+    """
+    from pyspark.sql import functions as F
+
+    hot = F.col(size) > total // HOT_SHARE
+    large, small = F.broadcast(classes.filter(hot).drop(size)), classes.filter(~hot).drop(size)
+    more = [f for f in classes.schema.fields if f.name not in (key, size)]
+    alone = rows.filter(F.col(key).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in more})
+    rest = rows.filter(F.col(key).isNotNull())
+    return rest.join(large, key).unionByName(rest.join(large.select(key), key, "left_anti").join(small, key, "left")).unionByName(alone)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a cut() whose rows no later step reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -1,31 +1,38 @@
 """N-gram Jaccard join: all documents whose shingle sets are alike, as components of the links.
 
-1. A document's set: hashes (64 bits) of its distinct word shingles. Rows with equal sets are one class.
+1. A document's set: hashes (64 bits) of its distinct word shingles. Rows with equal sets are one class,
+   one node of all that follows, named by a hash of the set.
 2. Candidates without a miss. Two sets of sizes a <= b with intersection >= t * union differ in at most
    D = (a + b) * (1 - t) / (1 + t) elements. Sizes fall into bands, a tile holds two neighbouring
    bands. In a tile the universe of shingles is cut by hash into D + 1 + S parts: similar sets agree on
    at least 1 + S whole parts. Each set leaves out the digests of its S most frequent parts. In any one
    order of all digests the first that both sets share has S shared ones behind it, so neither leaves
-   it out. Passages that many documents hold, and empty parts, are what is left out, and don't chain
-   documents to each other. The order is by counts of all digests of all documents in SKETCH counters
-   (a fixed size), then by digest; collisions there cost time, never a link. Digests go to the machines in
-   hash ranges; equal digests are thinned to one row a map task before that, so a digest that a third
-   of all documents share costs a row for each task. Members of a digest are joined to its smallest.
-3. Components of these pairs are groups. A group is laid out in tiles by size band, large bands in
+   it out. The order is by counts of all digests of all documents in SKETCH counters (a fixed size),
+   then by digest; collisions there cost time, never a link. Digests go to the machines in hash ranges.
+3. A digest that up to NEAR nodes share gives each of their pairs, so at most NEAR - 1 a node, and such a
+   pair goes on only if the two bitmap signatures allow a link: bits of one side that the other lacks
+   are elements that it lacks. Most pairs are strangers with one passage in common; were they kept, they
+   would chain nearly all documents into one group. A digest that more share keeps them all together,
+   and of what a range keeps together only a spanning forest is handed on. A map task thins digests that
+   many of its documents share to NEAR + 1 nodes, so one that a third of all documents share costs few rows.
+4. Components of these pairs are groups. A group is laid out in tiles by size band, large bands in
    several by hash. Tiles of bands that can hold links meet in pairs. In a pair of tiles, bitmap
    signatures (hash -> bit) bound the overlap from above: |A & B| <= |A| - bits of A that B lacks. What
    passes is decided by intersecting the sorted arrays. Sets already known to be connected in this pair
    of tiles need no decision: they can't change the components.
-4. Components of the links, with equal sets joined in.
+5. Components of the links, with equal sets joined in.
 
 No pair of documents is ever a row unless it is a candidate or a link; tiles are bounded by TILE
 elements. Defined results: null text, empty text and texts without words have no set, are linked with
 nothing and are their own component; texts with fewer words than a shingle are one shingle; rows that
-repeat a doc_id are one node with all the links of its rows; a null doc_id has a null component.
+repeat a doc_id are one document with all the links of its rows; a null doc_id has a null component; an
+empty table gives an empty one; texts of any length are shingled whole; columns beyond doc_id and text
+are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, drop_cut, join_class, table
 from .graph import components
 
 #: Parts beyond D + 1: SPARE, and one for each D / SPARE_SHARE.
@@ -42,10 +49,15 @@ SPARE, SPARE_SHARE = 2, 1
 #: Counters of digests, and how many of them are a row when they are summed up.
 SKETCH_BITS, SKETCH_ROW = 22, 4096
 #: Elements of sets that one tile holds about; digests in one range of hashes.
-TILE, RANGE = 4_000_000, 500_000
+TILE, RANGE = 4_000_000, 2_000_000
+#: Nodes of a digest whose pairs are looked at one by one.
+NEAR = 8
 #: Documents' digests that a map task thins at a time.
 THIN = 1_000_000
-BITS = 1024
+#: Bits of a signature for each element of the largest set, and at most, in a pair of tiles.
+BITS_EACH, BITS_MOST = 2, 1 << 14
+#: Bytes of words that are hashed by place; longer ones by a digest of their own.
+LONG_WORD = 64
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -56,6 +68,9 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """A random 64-bit value for each byte, one for both cases of A-Z, and which bytes part words."""
     value = _stir(np.arange(1, 257, dtype=np.uint64) * _M1)
@@ -68,8 +83,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _VALUE, _BLANK = _tables()
 #: Bytes that are hashed at a time.
 _AT_ONCE = 1_000_000
-#: Bytes of shingles that a task hands on at a time; bitmaps that are spread out at a time.
-_HANDED, _SPREAD = 8_000_000, 4096
+#: Bytes of shingles that a task hands on at a time; bits that are spread out at a time.
+_HANDED, _SPREAD = 8_000_000, 1 << 24
 
 
 def _chain(x: np.ndarray, n: int, first: int, count: int) -> np.ndarray:
@@ -108,11 +123,14 @@ class Shingler:
         first = np.nonzero(new)[0]
         x = np.zeros(0, np.uint64)
         if len(first):
-            # a word's hash: the sum of its bytes' values times powers by place
+            # a word's hash: the sum of its bytes' values times powers by place, which over long words would be weak
             length = np.diff(np.append(first, len(at)))
-            place = np.arange(len(at)) - np.repeat(first, length)
-            power = np.cumprod(np.full(int(length.max()), _M1))
+            place = np.minimum(np.arange(len(at)) - np.repeat(first, length), LONG_WORD)
+            power = np.cumprod(np.full(LONG_WORD + 1, _M1))
             x = _stir(np.add.reduceat(_VALUE[b[at]] * power[place], first) + length.astype(np.uint64))
+            for k in np.nonzero(length > LONG_WORD)[0].tolist():
+                word = b[at[first[k]] : at[first[k]] + length[k]].tobytes().translate(_LOWER)
+                x[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         last = np.searchsorted(at[first], ends) if len(first) else np.zeros(len(ends), np.int64)
         n = self.words
         h = _chain(x, n, 0, len(x) - n + 1) if len(x) >= n else x[:0]
@@ -181,55 +199,105 @@ def part_digests(x: np.ndarray, bands: Bands, counts: np.ndarray | None = None)
     return np.concatenate(out)
 
 
-def _stars(digests: np.ndarray, nodes: np.ndarray):
-    """By digest: its smallest node, and the distinct (smallest, other) pairs."""
+def node_of(x: np.ndarray) -> int:
+    """A set's name: equal sets have equal ones. Different sets that share one cost time, never a link."""
+    return int(_stir(np.bitwise_xor.reduce(_stir(x ^ np.uint64(5)))[None] + np.uint64(len(x))).view(np.int64)[0])
+
+
+def signature(x: np.ndarray) -> bytes:
+    """A bitmap of a set, of BITS_EACH bits an element or more, a power of two; it folds to any smaller one."""
+    bits = np.zeros(max(64, 1 << (BITS_EACH * len(x) - 1).bit_length()), np.uint8)
+    bits[(x >> np.uint64(20)).astype(np.int64) & (len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_link(na: int, nb: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets of these sizes and signatures (arrays of 64-bit words) can be linked."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    both = a & b
+    bound = min(na - int(np.bitwise_count(a ^ both).sum()), nb - int(np.bitwise_count(b ^ both).sum()))
+    return (num + den) * bound >= num * (na + nb)
+
+
+def _by_digest(digests: np.ndarray, nodes: np.ndarray):
+    """Distinct (digest, node) in order, each one's first place in its digest and the digest's number of nodes."""
     order = np.lexsort((nodes, digests))
     d, n = digests[order], nodes[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (n[1:] != n[:-1])
+    d, n = d[new], n[new]
     first = np.ones(len(d), bool)
     first[1:] = d[1:] != d[:-1]
-    head = n[first][np.cumsum(first) - 1]
-    other = ~first & (n != head)
-    pairs = np.unique(np.stack([head[other], n[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return d[first], n[first], pairs
+    start = np.nonzero(first)[0]
+    size = np.diff(np.append(start, len(d)))
+    return d, n, np.repeat(start, size), np.repeat(size, size)
+
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    return np.unique(pairs, axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
 
-def _rows(part, digests, nodes) -> pd.DataFrame:
-    """Digests by range; range -1 - k holds pairs."""
-    return pd.DataFrame({"part": part, "digests": [x.tobytes() for x in digests], "nodes": [x.tobytes() for x in nodes]})
+
+def _forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of pairs, in order, and the smallest node each is connected to."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
 
 
 def _thinner(words: int, bands: Bands, ranges: int, counts=None):
-    """Documents become digests by range, and pairs found on the way."""
+    """Documents become digests by range, and, as rows without digests, pairs that stay together."""
 
     def thin(batches):
         shingler = Shingler(words)
-        held, names, size, sets = [], [], 0, {}
+        held, names, size = [], {}, 0
 
         def flush():
-            nonlocal held, names, size, sets
+            nonlocal held, names, size
             if held:
-                d, n, pairs = _stars(np.concatenate(held), np.repeat(np.array(names, np.int64), [len(h) for h in held]))
+                d, n, first, many = _by_digest(np.concatenate(held), np.repeat(np.array(list(names), np.int64), [len(h) for h in held]))
+                nth = np.arange(len(d)) - first
+                over = nth > NEAR
+                kept = _distinct(np.stack([n[first[over]], n[over]], 1))
+                d, n = d[~over], n[~over]
                 part = (d >> np.uint64(32)).astype(np.int64) % ranges
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(ranges + 1))
+                order = np.lexsort((n, part))
+                part, n, d = part[order], n[order], d[order].astype(np.uint32)
+                cuts = np.searchsorted(part, np.arange(ranges + 1))
                 at = np.nonzero(np.diff(cuts))[0]
-                yield _rows(at, [d[order[cuts[i] : cuts[i + 1]]] for i in at], [n[order[cuts[i] : cuts[i + 1]]] for i in at])
-                if len(pairs):
-                    yield _rows([int(pairs[0, 0] % ranges)], [np.zeros(0, np.uint64)], [pairs.ravel()])
-            held, names, size, sets = [], [], 0, {}
+                rows = []
+                for i in at.tolist():
+                    mine = n[cuts[i] : cuts[i + 1]]
+                    start = np.nonzero(np.append(True, mine[1:] != mine[:-1]))[0]
+                    rows.append((i, d[cuts[i] : cuts[i + 1]].tobytes(), mine[start].tobytes(), np.diff(np.append(start, len(mine))).astype(np.uint32).tobytes()))
+                if len(kept):
+                    rows.append((int(kept[0, 0] % ranges), b"", kept.tobytes(), b""))
+                yield pd.DataFrame(rows, columns=["part", "digests", "nodes", "counts"])
+            held, names, size = [], {}, 0
 
         for pdf in batches:
-            for node, x in zip(pdf["doc_id"].tolist(), shingler(pdf["text"].tolist())):
+            for x in shingler(pdf["text"].tolist()):
                 if not len(x):
                     continue
-                # equal sets give equal digests: the first stands for all in this task
-                key = x.tobytes() if len(x) < 32 else (len(x), int(x[0]), int(np.bitwise_xor.reduce(_stir(x))))
-                if key in sets:
+                node = node_of(x)
+                if node in names:
                     continue
-                sets[key] = node
+                names[node] = None
                 d = part_digests(x, bands, counts.value if counts is not None else None)
                 held.append(d)
-                names.append(node)
                 size += len(d)
                 if size >= THIN:
                     yield from flush()
@@ -244,46 +312,86 @@ def _array(column, i: int, kind) -> np.ndarray:
     return np.frombuffer(found, kind) if found is not None and found.size else np.zeros(0, kind)
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kept", pa.bool_())])
+
+
+def _pairs_of(digests: np.ndarray, nodes: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one range: a forest of what stays together, and the pairs of digests that few nodes share."""
+    d, n, first, many = _by_digest(digests, nodes)
+    large = (many > NEAR) & (first != np.arange(len(d)))
+    kept = _distinct(np.concatenate([kept, np.stack([n[first[large]], n[large]], 1)]))
+    few = np.nonzero((many > 1) & (many <= NEAR))[0]
+    last = first + many
+    near = [np.zeros((0, 2), np.int64)]
+    for k in range(1, NEAR):
+        i = few[few + k < last[few]]
+        near.append(np.stack([n[i], n[i + k]], 1))
+    near = _distinct(np.concatenate(near))
+    if len(kept):
+        known, root = _forest(kept)
+        kept = np.stack([root, known], 1)[root != known]
+        if len(near):
+            at = np.minimum(np.searchsorted(known, near), len(known) - 1)
+            together = (known[at] == near).all(1) & (root[at[:, 0]] == root[at[:, 1]])
+            near = near[~together]
+    return kept, near
+
+
 def _pairer(batches):
     """Rows of one range after another become candidate pairs."""
 
     def out(held):
-        pairs = [n.reshape(-1, 2) for d, n in held if not len(d)]
-        digests = [d for d, _ in held if len(d)]
-        if digests:
-            pairs.append(_stars(np.concatenate(digests), np.concatenate([n for d, n in held if len(d)]))[2])
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        none = np.zeros(0, np.int64)
+        kept = np.concatenate([none, *(n for d, n, _ in held if not len(d))]).reshape(-1, 2)
+        digests = np.concatenate([np.zeros(0, np.uint32), *(d for d, _, _ in held)])
+        nodes = np.concatenate([none, *(np.repeat(n, c) for d, n, c in held if len(d))])
+        kept, near = _pairs_of(digests, nodes, kept)
+        both = np.concatenate([kept, near])
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(kept))], schema=_PAIRS)
 
     key, held = None, []
     for batch in batches:
-        parts, digests, nodes = (batch.column(i) for i in range(3))
+        parts, digests, nodes, counts = (batch.column(i) for i in range(4))
         for i, part in enumerate(parts.to_pylist()):
             if part != key and held:
                 yield out(held)
                 held = []
             key = part
-            held.append((_array(digests, i, np.uint64), _array(nodes, i, np.int64)))
+            held.append((_array(digests, i, np.uint32), _array(nodes, i, np.int64), _array(counts, i, np.uint32)))
     if held:
         yield out(held)
 
 
+def _allowed(num: int, den: int):
+    """Rows a, b, n, m, x, y (nodes, sizes, signatures) -> a, b where the signatures allow a link."""
+
+    def check(batches):
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_pylist() for i in range(4))
+            x, y = batch.column(4), batch.column(5)
+            may = [_may_link(n[i], m[i], _array(x, i, np.uint64), _array(y, i, np.uint64), num, den) for i in range(len(a))]
+            yield pa.RecordBatch.from_pydict({"a": [i for i, k in zip(a, may) if k], "b": [i for i, k in zip(b, may) if k]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return check
+
+
 class Tile:
     """Sets of one side of a pair of tiles, with bitmaps."""
 
-    def __init__(self, nodes, arrays):
+    def __init__(self, nodes, arrays, width: int):
         order = np.argsort([len(x) for x in arrays], kind="stable")
         self.nodes, self.arrays = [nodes[i] for i in order], [arrays[i] for i in order]
         self.size = np.array([len(x) for x in self.arrays], np.int64)
-        self.maps = np.zeros((len(arrays), BITS // 64), np.uint64)
+        self.maps = np.zeros((len(arrays), width // 64), np.uint64)
         self.count = np.zeros(len(arrays), np.int64)
-        for a in range(0, len(arrays), _SPREAD):
-            some = self.arrays[a : a + _SPREAD]
-            bits = np.zeros((len(some), BITS), np.uint8)
+        each = max(1, _SPREAD // width)
+        for a in range(0, len(arrays), each):
+            some = self.arrays[a : a + each]
+            bits = np.zeros((len(some), width), np.uint8)
             for i, x in enumerate(some):
-                bits[i, (x >> np.uint64(20)).astype(np.int64) % BITS] = 1
-            self.maps[a : a + _SPREAD] = np.packbits(bits, axis=1).view(np.uint64)
-            self.count[a : a + _SPREAD] = bits.sum(1)
+                bits[i, (x >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
+            self.maps[a : a + each] = np.packbits(bits, axis=1).view(np.uint64)
+            self.count[a : a + each] = bits.sum(1)
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -342,7 +450,9 @@ def _decider(num: int, den: int):
     """Rows sorted by pair of tiles become links."""
 
     def out(held):
-        sides = [Tile([n for n, s, _ in held if s == k], [x for _, s, x in held if s == k]) if any(s == k for _, s, _ in held) else None for k in (0, 1)]
+        largest = max(len(x) for _, _, x in held)
+        width = min(BITS_MOST, max(64, 1 << (BITS_EACH * largest - 1).bit_length()))
+        sides = [Tile([n for n, s, _ in held if s == k], [x for _, s, x in held if s == k], width) if any(s == k for _, s, _ in held) else None for k in (0, 1)]
         if sides[0] is None:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         found = links_of_tiles(sides[0], sides[1], num, den) if sides[1] is not None or held[0][1] == 0 else []
@@ -365,29 +475,35 @@ def _decider(num: int, den: int):
     return decide
 
 
-_SIZED = "doc_id long, n long, content binary, row int, places binary, counts binary"
+_SIZED = "doc_id long, n long, node long, content binary, bits binary, row int, places binary, counts binary"
 
 
 def _sizer(words: int, bands: Bands):
-    """Size and 128-bit digest of each document's set; at the end of a task, rows of its counts of part digests."""
-    import hashlib
+    """Size, node, 128-bit digest and signature of each document's set; at the end of a task, rows of its counts of part digests."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _SIZED.split(", "))])
+
+    def rows_of(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_pydict({f.name: columns.get(f.name, [None] * n) for f in schema}, schema=schema)
 
     def size(batches):
         shingler = Shingler(words)
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for pdf in batches:
-            sizes, contents = [], []
-            for x in shingler(pdf["text"].tolist()):
+        for batch in batches:
+            sizes, nodes, contents, bits = [], [], [], []
+            for x in shingler(batch.column("text").to_pylist()):
                 sizes.append(len(x))
+                nodes.append(node_of(x) if len(x) else None)
                 contents.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                if len(x):
-                    for d, _ in _tile_digests(x, bands):
-                        np.add.at(counts, _counter(d), np.uint32(1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": sizes, "content": contents, "row": None, "places": None, "counts": None})
+                bits.append(signature(x) if len(x) else None)
+                for d, _ in _tile_digests(x, bands) if len(x) else ():
+                    np.add.at(counts, _counter(d), np.uint32(1))
+            yield rows_of(doc_id=batch.column("doc_id"), n=sizes, node=nodes, content=contents, bits=bits)
         for row, part in enumerate(counts.reshape(-1, SKETCH_ROW)):
             at = np.nonzero(part)[0]
             if len(at):
-                yield pd.DataFrame({"doc_id": [None], "n": [None], "content": [None], "row": [row], "places": [at.astype(np.uint16).tobytes()], "counts": [part[at].tobytes()]})
+                yield rows_of(row=[row], places=[at.astype(np.uint16).tobytes()], counts=[part[at].tobytes()])
 
     return size
 
@@ -418,48 +534,54 @@ def _digest_counts(sized: DataFrame) -> np.ndarray:
 
 def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets are linked at num / den or more."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wide = Bands(num, den, 1 << 40)
-    sized = cut(docs.mapInPandas(_sizer(words, wide), _SIZED))
+    sized = cut(docs.mapInArrow(_sizer(words, wide), _SIZED))
     slim = sized.filter("row IS NULL").select("doc_id", "n", "content")
-    known = slim.filter("doc_id IS NOT NULL AND n > 0")
-    total, largest = known.agg(F.sum("n"), F.max("n")).first()
-    heads = known.groupBy("content").agg(F.min("doc_id").alias("head"))
+    known = sized.filter("doc_id IS NOT NULL AND n > 0")
+    total, largest, rows = known.agg(F.sum("n"), F.max("n"), F.count("*")).first()
     if total is None:
         return slim.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    # A class: all rows with one set, by its smallest document.
+    classes = cut(known.groupBy("node", "content").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows")))
     bands = Bands(num, den, largest)
-    counts = docs.sparkSession.sparkContext.broadcast(_digest_counts(sized))
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = spark.sparkContext.broadcast(_digest_counts(sized))
     each = 4.5 * (den - num) / (den + num)  # digests for each element, about: two tiles, each as wide as two bands
-    ranges = max(shuffles, math.ceil(total * each / RANGE))
+    ranges = max(spark.sparkContext.defaultParallelism, math.ceil(total * each / RANGE))
     usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    digests = usable.mapInPandas(_thinner(words, wide, ranges, counts), "part long, digests binary, nodes binary")
-    pairs = digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairer, "a long, b long")
-    pairs = cut(pairs)
-    groups = components(pairs) if not pairs.isEmpty() else None
+    digests = usable.mapInPandas(_thinner(words, wide, ranges, counts), "part long, digests binary, nodes binary, counts binary")
+    pairs = cut(digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairer, "a long, b long, kept boolean"))
+    side = lambda node, n, bits: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
+    near = pairs.filter("NOT kept").select("a", "b").distinct().join(side("a", "na", "xa"), "a").join(side("b", "nb", "xb"), "b")
+    near = near.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb", "xa", "xb")
+    edges = cut(pairs.filter("kept").select("a", "b").unionByName(near.mapInArrow(_allowed(num, den), "a long, b long")))
+    drop_cut(pairs)
+    groups = components(edges) if not edges.isEmpty() else None
     links = None
     if groups is not None:
-        links = cut(_links(usable, known, groups, words, num, den, bands))
-    # Rows of one doc_id may have several sets, and sets several rows: heads join both to the links.
-    joined = known.join(heads, "content").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    if links is None:
-        links = pairs
-    touched = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
-    more = joined.join(touched.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    twice = known.groupBy("doc_id").agg(F.min("content").alias("x"), F.max("content").alias("y")).filter("x <> y").select(F.col("doc_id").alias("a"))
-    more = more.unionByName(joined.join(twice, "a", "left_semi"))
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "head")
-    out = slim.join(heads, "content", "left").join(roots, "head", "left")
-    own = F.coalesce("root", "head", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-
-
-def _links(docs: DataFrame, known: DataFrame, groups: DataFrame, words: int, num: int, den: int, bands: Bands) -> DataFrame:
+        links = cut(_links(usable, classes, groups, words, num, den, bands))
+        drop_cut(groups)
+    drop_cut(edges)
+    heads = classes.select("content", "head", "rows")
+    # Rows of one doc_id may have several sets: their classes hang together.
+    twice = known.groupBy("doc_id").agg(F.min("content").alias("x"), F.max("content").alias("y")).filter("x <> y").select("doc_id")
+    more = known.select("doc_id", "content").join(twice, "doc_id", "left_semi").join(heads, "content").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    roots = components(more if links is None else links.unionByName(more)).withColumnRenamed("node", "head")
+    if links is not None:
+        drop_cut(links)
+    # No document is in two classes unless it hangs them together, so the head's root is each row's.
+    heads = heads.join(roots, "head", "left").select("content", F.coalesce("root", "head").alias("root"), "rows")
+    out = join_class(slim, heads, "content", "rows", rows)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, num: int, den: int, bands: Bands) -> DataFrame:
     band = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bands.low)}), x -> x <= n)) - 1")
-    # Of equal sets, which are all in one group, the smallest document stands for the others.
-    member = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp")).join(known.select("doc_id", "n", "content"), "doc_id")
-    member = member.groupBy("content").agg(F.min(F.struct("doc_id", "grp", "n")).alias("m")).groupBy("m.doc_id", "m.grp").agg(F.max("m.n").alias("n"))
+    # Of equal sets the smallest document stands for the others.
+    member = groups.select("node", F.col("root").alias("grp")).join(classes.select("node", F.col("head").alias("doc_id"), "n"), "node")
+    member = member.groupBy("doc_id", "grp").agg(F.max("n").alias("n"))
     member = cut(member.withColumn("band", band))
     shape = member.groupBy("grp", "band").agg(F.sum("n").alias("n"))
     whole = shape.groupBy("grp").agg(F.sum("n").alias("all"))

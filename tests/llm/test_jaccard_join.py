@@ -46,9 +46,11 @@ def corpus(seed, n):
     return [(i * 3 % 10007, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("words,num,den,tile", [(3, 9, 10, 2_000_000), (5, 4, 5, 300)])
-def test_equals_brute_force(spark, monkeypatch, words, num, den, tile):
+@pytest.mark.parametrize("words,num,den,tile,near,thin", [(3, 9, 10, 2_000_000, 8, 1_000_000), (5, 4, 5, 300, 2, 200), (2, 3, 5, 300, 3, 1_000_000)])
+def test_equals_brute_force(spark, monkeypatch, words, num, den, tile, near, thin):
     monkeypatch.setattr(jj, "TILE", tile)
+    monkeypatch.setattr(jj, "NEAR", near)
+    monkeypatch.setattr(jj, "THIN", thin)
     rows = corpus(words, 60)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(3)
     got = sorted(tuple(r) for r in jj.jaccard_components(df, words, num, den).collect())
@@ -78,3 +80,60 @@ def test_linked_sets_share_a_digest():
             i, u = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             if 10 * i >= 9 * u:
                 assert len(np.intersect1d(jj.part_digests(a, bands), jj.part_digests(b, bands))), (n, i, u)
+
+
+def test_long_words_that_differ_are_told_apart():
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    one, two, same = jj.Shingler(3)([f"x {bits} y", f"x {other} y", f"X {bits.upper()} Y"])
+    assert one.tolist() != two.tolist() and one.tolist() == same.tolist()
+
+
+def test_signatures_never_exclude_a_link():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 33, 400, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for share in (0.0, 0.5, 0.95, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 2**63, max(1, n // 30)).astype(np.uint64)]))
+            x, y = (np.frombuffer(jj.signature(v), np.uint64) for v in (a, b))
+            i = len(np.intersect1d(a, b))
+            linked = 10 * i >= 8 * (len(a) + len(b) - i)
+            may = jj._may_link(len(a), len(b), x, y, 8, 10)
+            assert may or not linked
+            assert not may or share > 0.4 or n < 40
+
+
+def test_pairs_of_a_range_keep_all_together():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        d, n = rng.integers(0, 40, 200).astype(np.uint32), rng.integers(-20, 20, 200)
+        extra = rng.integers(-20, 20, (int(rng.integers(0, 4)), 2))
+        kept, near = jj._pairs_of(d, n, extra)
+        groups = [sorted(set(n[d == x].tolist())) for x in set(d.tolist())]
+        root = {x: x for x in range(-20, 20)}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in kept.tolist():
+            root[find(b)] = find(a)
+        assert len(kept) < 40
+        pairs = set(map(tuple, near.tolist()))
+        for g in groups:
+            for i, a in enumerate(g):
+                for b in g[i + 1 :]:
+                    assert find(a) == find(b) or (len(g) <= jj.NEAR and (a, b) in pairs)
+
+
+def test_join_class(spark):
+    from pyspark.sql import functions as F
+
+    from lodeworks.llm.common import join_class
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 7 > 0, F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1500)).alias("k"))
+    classes = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    want = {(r["id"], r["k"], r["least"]) for r in rows.join(classes.drop("n"), "k", "left").collect()}
+    got = join_class(rows, classes, "k", "n", 5000).select("id", "k", "least").collect()
+    assert len(got) == 5000 and {tuple(r) for r in got} == want
