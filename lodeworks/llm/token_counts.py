@@ -5,14 +5,16 @@ content, the digest of the tokenizer's file, and the counts. A call joins the di
 the stored ones, encodes only the distinct texts that have none, appends those, and joins again.
 
 Texts are grouped by digest with a map-side combine before they are shuffled, so many copies of one
-text cost a row for each map task. The join of digests to counts has narrow rows, which AQE splits
-where one digest is common.
+text cost a row for each map task. A digest with more than a thousandth of all rows gets its count by a
+broadcast (there can't be a thousand of them); the others are joined to theirs, narrow row by row.
 
 Encoding: the library named by the file's ending gives the counts. For the byte-level file, texts with
 no special string and only characters whose Unicode classes are old and fixed go through a faster
 library over the same vocabulary, which gives the same tokens; all others go through the first.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results.
+Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results;
+texts of any length are counted whole; an empty table gives an empty one; input columns n_bytes and
+n_tokens give way to the new ones, and names that begin with `__lw_` are reserved.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, table
+from .common import HOT_SHARE, bounded_batches, shared_dir, table
 
 CACHE_CONF = "spark.lodeworks.tokenCache"
 LIMIT = 1024
@@ -111,9 +113,15 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, fast: str | None =
     misses = texts.groupBy("content").agg(F.first("body").alias("body"))
     misses.mapInPandas(_encoder(tokenizer, fast), schema).write.mode("append").parquet(stored_at)
     known = stored().groupBy("content").agg(F.max("n_tokens").alias("_tokens"))
-    slim = docs.select(*held, digest.alias("__content"), F.octet_length(body).cast("long").alias("__bytes"))
-    joined = slim.join(known.withColumnRenamed("content", "__content"), "__content", "left")
-    return joined.select(*held, F.col("__bytes").alias("n_bytes"), F.col("_tokens").alias("n_tokens"))
+    slim = docs.select(*held, digest.alias("__lw_key"), F.octet_length(body).cast("long").alias("__lw_bytes"))
+    many = docs.select(digest.alias("content")).groupBy("content").agg(F.count("*").alias("rows"))
+    total = docs.count()
+    hot = known.join(F.broadcast(many.filter(F.col("rows") > total // HOT_SHARE).select("content")), "content").select(F.col("content").alias("__lw_key"), F.col("_tokens").alias("__lw_hot"))
+    slim = slim.join(F.broadcast(hot), "__lw_key", "left")
+    # A row whose count is known already goes anywhere: a longer key has no equal in the cache.
+    spread = F.when(F.col("__lw_hot").isNull(), F.col("__lw_key")).otherwise(F.concat("__lw_key", F.unhex(F.hex(F.xxhash64(*held)))))
+    joined = slim.withColumn("__lw_key", spread).join(known.withColumnRenamed("content", "__lw_key"), "__lw_key", "left")
+    return joined.select(*held, F.col("__lw_bytes").alias("n_bytes"), F.coalesce("__lw_hot", "_tokens").alias("n_tokens"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,3 +21,38 @@ def test_counts_equal_the_library_and_cache_grows_by_misses(spark, tmp_path):
 def test_sentencepiece_model(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
     assert tc.count_tokens(df, str(tmp_path), P.path("piece_bpe_32k.model")).first()["n_tokens"] == 2
+
+
+def test_query_wrapper_with_a_hot_text(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodeworks.llm import token_counts
+
+    texts = ["the same text"] * 700 + [f"text {i} é漢" for i in range(300)] + [None, "", "<|endoftext|> x", "long word " * 2000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in token_counts.op8_token_counts(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        n = len(own.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 1024)
+
+
+def test_cache_is_used_and_empty_tables(spark, tmp_path):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from lodeworks.llm import token_counts
+
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "doc_id long, text string")
+    assert [r["n_tokens"] for r in token_counts.count_tokens(docs, cache, path).orderBy("doc_id").collect()] == [2, 2, 1]
+    at = f"{cache}/{token_counts.version_of(path)}"
+    assert spark.read.parquet(at).count() == 2
+    token_counts.count_tokens(docs.union(spark.createDataFrame([(4, "d")], docs.schema)), cache, path).collect()
+    assert spark.read.parquet(at).count() == 3
+    # A stored count is believed, not encoded again.
+    spark.createDataFrame([("zz",)], "t string").select(F.unhex(F.sha2("t", 256)).alias("content"), F.lit(77).cast("long").alias("n_tokens")).write.mode("append").parquet(at)
+    assert token_counts.count_tokens(spark.createDataFrame([(5, "zz")], docs.schema), cache, path).first()["n_tokens"] == 77
+    assert token_counts.count_tokens(docs.limit(0), cache, path).count() == 0
