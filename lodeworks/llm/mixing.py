@@ -12,8 +12,12 @@ epoch and doc_id: documents until the tokens before reach the budget. Prefixes a
 4096 hash ranges of a leaf and a window inside the one range where the budget ends, so a leaf with a
 third of all rows is no more work for one task than any other. Rows come to no driver.
 
+Children of equal capacity and weight are filled alike, so windows run over the distinct pairs of the two.
+
 Defined results: null text has no tokens, null language or source is the node ``; rows repeated under
-one doc_id share a place and are taken together; a leaf without tokens gives nothing.
+one doc_id share a place and are taken together, and so do rows without doc_id; a leaf without tokens
+gives nothing; texts of any length are counted whole; an empty table gives an empty one; mix_documents
+with keep_text returns every column of docs, whatever its name, and without it none but those listed.
 """
 
 from __future__ import annotations
@@ -75,19 +79,23 @@ def _weight(names: dict, node: str) -> Column:
 
 def _fill(nodes: DataFrame, parents: list[str], node: str) -> DataFrame:
     """nodes have w, cap and the parent's budget b; adds budget, each node's part of b."""
-    order = [F.col("cap").cast("double") / F.col("w").cast("double"), F.col(node)]
+    # Children of one capacity per weight are all full or all not: a row for each capacity and weight is enough.
+    each, wide = nodes, lambda c: c.cast("decimal(38,0)")
+    nodes = nodes.groupBy(*parents, "b", F.col("cap").alias("cap1"), F.col("w").alias("w1")).agg(wide(F.sum("cap")).alias("cap"), wide(F.sum("w")).alias("w"))
+    order = [F.col("cap1").cast("double") / F.col("w1").cast("double"), F.col("cap1"), F.col("w1")]
     w = Window.partitionBy(*parents).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     after = w.rowsBetween(0, Window.unboundedFollowing)
     zero = F.lit(0).cast("decimal(38,0)")
     # Sums and products stay within decimals: capacities and weights as wide integers.
     nodes = nodes.withColumn("_held", F.coalesce(F.sum("cap").over(before), zero).cast("decimal(30,0)")).withColumn("_share", F.sum("w").over(after).cast("decimal(8,0)"))
-    nodes = nodes.withColumn("_full", F.col("cap").cast("decimal(29,0)") * F.col("_share") <= (F.col("b").cast("decimal(28,0)") - F.col("_held").cast("decimal(28,0)")) * F.col("w").cast("decimal(8,0)"))
+    nodes = nodes.withColumn("_full", F.col("cap1").cast("decimal(29,0)") * F.col("_share") <= (F.col("b").cast("decimal(28,0)") - F.col("_held").cast("decimal(28,0)")) * F.col("w1").cast("decimal(8,0)"))
     all_ = Window.partitionBy(*parents)
     nodes = nodes.withColumn("_rest", (F.max("b").over(all_) - F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(all_), zero)).cast("decimal(29,0)"))
     nodes = nodes.withColumn("_left", F.sum(F.when(~F.col("_full"), F.col("w"))).over(all_).cast("decimal(8,0)"))
-    part = F.expr("cast(_rest * cast(w as decimal(8,0)) as decimal(38,0)) div cast(_left as decimal(38,0))")
-    return nodes.withColumn("budget", F.when(F.col("_full"), F.col("cap")).otherwise(part).cast("decimal(38,0)")).drop("_held", "_share", "_full", "_rest", "_left")
+    part = F.expr("cast(_rest * cast(w1 as decimal(8,0)) as decimal(38,0)) div cast(_left as decimal(38,0))")
+    filled = nodes.select(*parents, F.col("cap1").alias("cap"), F.col("w1").alias("w"), F.when(F.col("_full"), F.col("cap1")).otherwise(part).cast("decimal(38,0)").alias("budget"))
+    return each.join(filled, [*parents, "cap", "w"])
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
