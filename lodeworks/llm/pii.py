@@ -34,7 +34,7 @@ PATTERNS = {
 }
 #: Characters without which a kind can't match, to skip its pattern.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
-#: Words that speak for a kind if they stand within WINDOW code points before a span.
+#: Words that speak for a kind if they stand within WINDOW code points before a span, and after the match of its kind before it.
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": r"\bip\b|addr|host|server",

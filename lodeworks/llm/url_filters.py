@@ -12,7 +12,8 @@ by mistake, and each further one of LATER_RATE: together O(listed * log(universe
 corpus holds. Only these filters come to the driver.
 
 Only DataFrame functions. Defined results: a url that is null or lacks `://` has host and path empty;
-with no fitting rule, the rule is null and the cascade says allow; repeated rows give repeated results.
+with no fitting rule, the rule is null and the cascade says allow; repeated rows give repeated results; an
+empty table gives an empty one; input columns host, path, rule and verdict give way to the new ones.
 """
 
 from __future__ import annotations
@@ -98,8 +99,7 @@ def build_cascade(listed: list[str], universe: DataFrame) -> list[Level]:
     """Levels that tell the listed keys from all others of universe (a column `key`, repeats allowed)."""
     if not listed:
         return []
-    spark = universe.sparkSession
-    mine = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+    mine = universe.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*map(F.lit, sorted(set(listed))))).alias("key"))
     n = len(set(listed))
     others = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
     levels = [_encode(mine, n, min(0.5, math.sqrt(0.5) * n / others), 0)]
@@ -126,7 +126,7 @@ def listed_in(key: Column, levels: list[Level]) -> Column:
 def judge_urls(pages: DataFrame, url: str, rules=RULES) -> DataFrame:
     """pages with host, path, rule (longest fitting, longer host first among equals; null if none) and verdict."""
     held = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    df = pages.select(*held, F.col(url).alias("_url")) if url in held else pages.select(*held, F.col(url).alias("_url"))
+    df = pages.select(*held, F.col(url).alias("_url"))
     df = df.withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url"))).drop("_url")
     df = df.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), rules))
     universe = df.select(F.explode("_keys").alias("k")).select("k.key")

@@ -10,13 +10,14 @@ Queries go in blocks too. For a query and an annulus [lo, hi] around p the trian
 after a round each query's k-th score gives the radius beyond which no annulus can add to its result,
 and the search stops when none is left. All scores are integers and exact; bounds carry a slack.
 
-Pivots are fitted on at most SAMPLE vectors (those with the smallest hashes of ids); any pivots give
-exact results. What comes to the driver: pivots, and a row for each annulus (PIVOTS * ANNULI at most).
+Pivots are fitted on at most SAMPLE vectors (those with the smallest hashes of ids, which alone are ordered);
+any pivots give exact results. What comes to the driver: pivots, and a row for each annulus (PIVOTS * ANNULI at most).
 
 Defined results: vectors null, empty or holding null or non-finite components take no part; of vectors
 of different lengths the missing components count as 0; ties go to the smaller id; components saturate
 at +-2^40; repeated ids are separate candidates, and all query rows of one id, equal or not, are one
-query: its result is the k highest scores of any of them, a candidate counting once for each row, as in SQL.
+query: its result is the k highest scores of any of them, a candidate counting once for each row, as in SQL;
+an empty table gives an empty one; columns beyond id and vector aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -208,7 +209,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
     schema = "query_id long, rank int, vec_id long, score long"
     if dim is None:
         return spark.createDataFrame([], schema)
-    sample = _matrix([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], dim)
+    chosen = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = _matrix([r["v"] for r in rows.join(F.broadcast(chosen), "vec_id", "left_semi").dropDuplicates(["vec_id"]).collect()], dim)
     pivots = fit_pivots(_lifted(sample, most), PIVOTS)
 
     def keyed(batches):

@@ -36,3 +36,15 @@ def test_shared_work_equals_each_occurrence_alone(model):
         for place, w in enumerate(text.split()):
             alone += model.slow([subwords.SPACE, *w], subwords._mix(subwords.SEED, 7, place), limit)
         assert model.encode(["x " * 50, text], [6, 7], dropout=dropout)[1].tolist() == alone
+
+
+def test_columns_empty_tables_and_repeats(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "the rest of it", "x"), (1, "the rest of it", "y"), (None, None, "z"), (4, "", None)], "doc_id long, text string, pieces string")
+    rows = subwords.encode_documents(docs, path).withColumn("back", subwords.decoder(path)("pieces")).collect()
+    assert [r["back"] for r in rows] == [r["text"] or "" for r in rows] and rows[0]["pieces"] == rows[1]["pieces"]
+    assert subwords.encode_documents(docs.limit(0), path).count() == 0
+    both = docs.select("text", subwords.round_trip(path)("text", "doc_id").alias("r")).select("text", "r.*").collect()
+    assert [(r["pieces"], r["decoded"]) for r in both] == [(r["pieces"], r["back"]) for r in rows]
