@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from typing import Protocol
 
 import numpy as np
@@ -19,6 +22,18 @@ class TextModel(Protocol):
     def complete(self, prompts: list[str]) -> list[str]: ...
 
 
+class Reranker(Protocol):
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+class HtmlExtractor(Protocol):
+    def extract(self, html: str) -> tuple[str, list[str]]: ...
+
+
+class PdfExtractor(Protocol):
+    def extract(self, data: bytes) -> str: ...
+
+
 class HashEmbedder:
     """Hashed bag of tokens with signs, scaled to length 1."""
 
@@ -26,8 +41,6 @@ class HashEmbedder:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import zlib
-
         out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
@@ -44,7 +57,132 @@ def embed_udf(model: Embedder):
     return embed
 
 
+def encode_batch(model: Embedder, size: int = 32):
+    """Iterator function for mapInPandas: adds `dense` and `sparse` to rows with `text`, `size` texts at a time; the model loads once a task."""
+
+    def encode(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at : at + size].copy()
+                texts = [t or "" for t in part["text"].tolist()]
+                part["dense"] = list(model.encode(texts).astype(np.float32))
+                part["sparse"] = [dict(Counter(_TOKEN.findall(t.lower()))) for t in texts]
+                yield part
+
+    return encode
+
+
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+class OverlapReranker:
+    """The stand-in cross-encoder: the share of the question's words that the text holds."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        out = []
+        for q, t in pairs:
+            asked = set(_TOKEN.findall((q or "").lower()))
+            out.append(len(asked & set(_TOKEN.findall((t or "").lower()))) / max(1, len(asked)))
+        return out
+
+
+def rerank_udf(model: Reranker):
+    """A column function of (question, text): a score; null where the model fails, so that retrieval order stays."""
+
+    @F.pandas_udf("double")
+    def score(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(model.score(list(zip(questions, texts))), dtype="float64")
+        except Exception:  # noqa: BLE001 - any failure of a model falls back to the order of retrieval
+            return pd.Series([None] * len(texts), dtype="float64")
+
+    return score
+
+
+class ExtractiveModel:
+    """The stand-in text model: of a prompt `CONTEXT:...QUESTION:...`, the context's sentence that shares most words with the question."""
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            context, _, question = (p or "").rpartition("QUESTION:")
+            asked = set(_TOKEN.findall(question.lower()))
+            parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", context.replace("CONTEXT:", "")) if s.strip()]
+            out.append(max(parts, key=lambda s: len(asked & set(_TOKEN.findall(s.lower()))), default=""))
+        return out
+
+
+def complete_udf(model: TextModel):
+    """A column function of a prompt: the model's answer, batch by batch."""
+
+    @F.pandas_udf("string")
+    def complete(prompts: pd.Series) -> pd.Series:
+        return pd.Series(model.complete([p or "" for p in prompts.tolist()]), dtype=object)
+
+    return complete
+
+
+class StreamTextExtractor:
+    """Text of simple PDFs without a library: literal strings that Tj and TJ show, in plain or deflated streams."""
+
+    _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+    _SHOW = re.compile(rb"\[((?:[^\[\]\\]|\\.)*)\]\s*TJ|(\((?:[^()\\]|\\.)*\))\s*(?:Tj|'|\")|(T\*|\bET\b)", re.S)
+    _LITERAL = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.S)
+
+    def extract(self, data: bytes) -> str:
+        out = []
+        for m in self._STREAM.finditer(data):
+            body = m.group(1)
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                pass
+            for show in self._SHOW.finditer(body):
+                if show.group(3):
+                    out.append("\n")
+                for x in self._LITERAL.findall(show.group(1) or show.group(2) or b""):
+                    out.append(re.sub(rb"\\(.)", rb"\1", x).decode("latin-1"))
+        return "".join(out).strip()
+
+
+class LibraryExtractor:
+    """The pypdf library, where it is installed."""
+
+    def extract(self, data: bytes) -> str:
+        import io
+
+        import pypdf
+
+        return "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages).strip()
+
+
+def pdf_text_udf(extractors: list[PdfExtractor]):
+    """A column function of bytes: the first text that isn't empty; an extractor that fails counts as empty."""
+
+    @F.pandas_udf("string")
+    def extract(files: pd.Series) -> pd.Series:
+        def one(data):
+            for e in extractors:
+                try:
+                    if text := (e.extract(bytes(data)) or "").strip():
+                        return text
+                except Exception:  # noqa: BLE001 - a broken file must not fail its batch
+                    continue
+            return None
+
+        return pd.Series([None if x is None else one(x) for x in files], dtype=object)
+
+    return extract
+
+
 def sparse_weights(text):
-    """Lexical weights: counts of tokens as map<string, int>, in the JVM."""
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}0-9]+"), "")
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.size(F.filter(words, lambda x: x == w)))))
+    """Lexical weights: counts of tokens as map<string, int>, in the JVM, from one sort of the words."""
+    words = F.array_sort(F.array_remove(F.split(F.lower(text), r"[^\p{L}0-9]+"), ""))
+    heads = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("at"), (F.coalesce(F.get(w, i - 1), F.lit("")) != x).alias("new"))), lambda s: s["new"])
+    counted = lambda w: F.transform(F.array(heads(w)), lambda h: F.transform(h, lambda s, i: F.struct(s["w"], F.coalesce(F.get(h, i + 1)["at"], F.size(w)) - s["at"])))
+    return F.map_from_entries(F.flatten(F.flatten(F.transform(F.array(words), counted))))
+
+
+def sparse_parts(weights):
+    """A sparse vector as struct<indices, values>."""
+    return F.struct(F.map_keys(weights).alias("indices"), F.transform(F.map_values(weights), lambda v: v.cast("float")).alias("values"))

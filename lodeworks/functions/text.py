@@ -41,6 +41,35 @@ def clean_answer(x: Column, rules: list[tuple[str, str]] = ()) -> Column:
     return strip(x)
 
 
+def name_rules(name: str, misspelt: list[str], pronoun: str) -> list[tuple[str, str]]:
+    """Rules for clean_answer, in order: an assistant's misspellings of a name become the name, in any case; one
+    that follows the pronoun takes it along; the name's upper-case form with a plain I is mended; and a pronoun
+    that leads a line is dropped."""
+    return [
+        *((rf"(?iuU)\b{pronoun}\s+{m}", name) for m in misspelt[:1]),
+        *((rf"(?iuU)\b{m}\b", name) for m in misspelt[1:]),
+        (rf"(?U)\b{name.replace(name[0], 'I', 1)}\b", name),
+        (rf"(?mU)^{pronoun}\s+", ""),
+    ]
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """A url template with {name} places filled in."""
+    out = F.lit(template)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), v.cast("string"))
+    return out
+
+
+def is_local_file(url: Column) -> Column:
+    return F.coalesce(url.startswith("file://"), F.lit(False))
+
+
+def elapsed(start: Column, end: Column) -> Column:
+    """Seconds between two timestamps, to three places."""
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6, 3)
+
+
 def word_count(x: Column) -> Column:
     s = strip(x)
     return F.when(F.length(s) == 0, 0).otherwise(F.size(F.split(s, r"(?U)\s+")))
@@ -104,10 +133,12 @@ def first_truthy(*xs: Column) -> Column:
 def json_field_pick(record: Column) -> Column:
     """Of a JSON object in text: text, content or body; if that is JSON itself, its (first) text."""
     raw = first_truthy(*(F.get_json_object(record, f"$.{k}") for k in ("text", "content", "body")))
-    inner = F.when(raw.startswith("["), F.get_json_object(raw, "$[0].text")).when(raw.startswith("{"), F.get_json_object(raw, "$.text"))
+    lead = F.left(strip(raw), F.lit(1))
+    inner = F.when(lead == "[", F.get_json_object(raw, "$[0].text")).when(lead == "{", F.get_json_object(raw, "$.text"))
     return F.coalesce(inner, raw)
 
 
+# The labels of a staff line.
 def staff_line(name: Column, title: Column, unit: Column, duty: Column, mail: Column, phone: Column) -> Column:
     some = lambda x: F.nullif(x, F.lit(""))
     return F.concat_ws(" | ", some(name), some(title), some(unit), F.concat(F.lit("Görev: "), some(duty)), F.concat(F.lit("E-posta: "), some(mail)), F.concat(F.lit("Tel: "), some(phone)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,8 @@ def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], gen
     the first admissible links follow an answer from a context.
 
     Each pass works only on rows that still need one; a direct route ends after its pass. With functions
-    that give the same result twice, a retry changes nothing, so at most MAX_ITERATIONS passes are planned.
+    that give the same result twice, a retry changes nothing, so at most MAX_ITERATIONS passes are planned. A pass
+    is kept, as both its ends and its retries read it: a row a question, computed again if an executor is lost.
     """
     todo = searched(questions, hyde).withColumn("route", route(F.col("question")))
     direct = todo.filter("route = 'direct'").withColumn("context", F.lit(None).cast("string"))
@@ -93,6 +95,7 @@ def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], gen
         if "links" in tried.columns:
             links = source_links(F.col("links"))
             tried = tried.withColumn("answer", F.when(F.col("context").isNotNull() & (F.size(links) > 0), F.concat_ws("\n", "answer", F.array_join(links, "\n"))).otherwise(F.col("answer")))
+        tried = tried.persist(StorageLevel.MEMORY_AND_DISK)
         end = decide(F.col("grade"), F.col("iterations"))
         done = done.unionByName(tried.filter(end == "end"), allowMissingColumns=True)
         left = tried.filter(end == "retry").select(*questions.columns, "search", "route")

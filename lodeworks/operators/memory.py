@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import cosine
-
 SESSION_TTL_S, HISTORY_MAX, PROMPT_LAST, PROMPT_CHARS = 7200, 20, 4, 150
 CACHE_TTL_STATIC_S, CACHE_TTL_DYNAMIC_S, SIMILARITY = 86400, 1800, 0.95
 
@@ -48,12 +46,15 @@ def latest_puts(entries: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     return entries.groupBy(key).agg(F.max(F.struct(ts, tie, *(c for c in cols if c not in (ts, tie)))).alias("_m")).select(key, "_m.*").select(*entries.columns)
 
 
-def cache_lookup(probes: DataFrame, entries: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """probes (probe_id, vec) with the live entry (entry_id, vec, answer) of highest cosine, if it is at least `least` and positive."""
-    e = entries.filter(F.col("answer").isNotNull() & (F.col("answer") != "")).select("entry_id", F.col("vec").alias("_v"), "answer")
-    from lodeworks.operators.retrieval import _small
+def cache_lookup(probes: DataFrame, entries: DataFrame, least: float = SIMILARITY, exclude_own: bool = False) -> DataFrame:
+    """probes (probe_id, vec) with the live entry (entry_id, vec, answer) of highest cosine, if it is at least `least` and
+    positive; ties go to the smaller entry. exclude_own: an entry with the probe's own id is no candidate.
+
+    Only ids and vectors meet in blocks; answers are joined to the hits.
+    """
+    from lodeworks.operators.retrieval import top_k_batch
 
-    pairs = probes.join(_small(e), F.lit(True)).withColumn("score", F.round(cosine(F.col("vec"), F.col("_v")), 6)).filter((F.col("score") >= least) & (F.col("score") > 0))
-    # the largest score, ties to the smaller entry
-    best = F.max(F.struct("score", (-F.col("entry_id")).alias("neg"), "answer"))
-    return pairs.groupBy("probe_id").agg(best.alias("b")).select("probe_id", (-F.col("b.neg")).alias("entry_id"), F.col("b.score").alias("score"), F.col("b.answer").alias("answer"))
+    e = entries.filter(F.col("answer").isNotNull() & (F.col("answer") != ""))
+    best = top_k_batch(probes.select(F.col("probe_id").alias("query_id"), F.col("vec").alias("query_vec")), e.select(F.col("entry_id").alias("vec_id"), F.col("vec").alias("embedding")), 1, exclude_own)
+    hits = best.filter((F.col("score") >= least) & (F.col("score") > 0)).select(F.col("query_id").alias("probe_id"), F.col("vec_id").alias("entry_id"), "score")
+    return hits.join(e.select("entry_id", "answer"), "entry_id").select("probe_id", "entry_id", "score", "answer")

@@ -19,6 +19,20 @@ def histogram(rows: DataFrame, labels: list[str], value: Column, buckets: list[f
     return rows.groupBy(*labels).agg(*les, F.count(value).alias("le_inf"), F.round(F.sum(value), 4).alias("sum"), F.count(value).alias("count"))
 
 
+def info(spark, **constants: str):
+    """One row of constants."""
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in constants.items()))
+
+
+def exposition(rows: DataFrame, name: str, kind: str, labels: list[str], value: str = "value") -> DataFrame:
+    """The text form of a metric, one line a label set: name{label="value"} number. Lines carry their order."""
+    quoted = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    inside = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), quoted(c), F.lit('"')) for c in labels))
+    lines = rows.select(F.lit(1).alias("part"), F.concat(F.lit(name + "{"), inside, F.lit("} "), F.col(value).cast("string")).alias("line"))
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(f"# TYPE {name} {kind}").alias("line"))
+    return head.unionByName(lines)
+
+
 def gauge(rows: DataFrame, labels: list[str], value: str, ts: str, tie: str) -> DataFrame:
     """The value set last."""
     return rows.groupBy(*labels).agg(F.max_by(value, F.struct(ts, tie)).alias("value"))

@@ -49,6 +49,12 @@ class ChunkStore:
         done = [n for n in names if n.startswith("v=") and fs.exists(make(f"{self.root}/{n}/_SUCCESS"))]
         return f"{self.root}/{done[-1]}" if done else None
 
+    def ensure(self, schema: str) -> DataFrame:
+        """The table, made empty with this schema if it is missing."""
+        if self._latest() is None:
+            self.write(self.spark.createDataFrame([], schema))
+        return self.read()
+
     def read(self) -> DataFrame | None:
         at = self._latest()
         return self.spark.read.parquet(at) if at else None

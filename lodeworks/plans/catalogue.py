@@ -8,23 +8,10 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.functions.html import html_udf
 from lodeworks.operators import agent, chunking, memory, metrics, retrieval, store
+from lodeworks.plans.registry import ORACLE_SQL, QUERIES, query
 from lodeworks.session import table
 from lodeworks.sources import catalog, exports
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _COS = "round(coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6)"
 
 
@@ -48,7 +35,7 @@ def dense_topk_batch(spark, sf):
     return retrieval.top_k_batch(q, v).select("query_id", "vec_id", "score", "rank")
 
 
-_TOKENS = "SELECT DISTINCT {id}, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM {t}"
+_TOKENS = "SELECT DISTINCT {id}, unnest(string_split_regex(lower(text), '[^\\p{{L}}0-9]+')) AS token FROM {t}"
 _OVERLAP = f"WITH q AS ({_TOKENS.format(id='item_id AS query_id', t='benchmark')}), d AS ({_TOKENS.format(id='doc_id', t='documents')}), s AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN d USING (token) WHERE length(token) >= 1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)"
 
 
@@ -81,13 +68,13 @@ def context_assembly(spark, sf):
 
 
 def _lookup_sql(least):
-    return f"SELECT probe_id, entry_id, score, answer FROM (SELECT q.vec_id AS probe_id, e.vec_id AS entry_id, {_COS} AS score, 'a' || e.vec_id AS answer, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id % 10 = 1 AND e.vec_id % 10 = 0 WHERE {_COS} >= {least} AND {_COS} > 0) WHERE r = 1"
+    return f"SELECT probe_id, entry_id, score, answer FROM (SELECT q.vec_id AS probe_id, e.vec_id AS entry_id, {_COS} AS score, 'a' || e.vec_id AS answer, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id WHERE {_COS} >= {least} AND {_COS} > 0) WHERE r = 1"
 
 
 def _lookup(spark, sf, least):
     v = table(spark, sf, "embeddings")
-    entries = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"))
-    return memory.cache_lookup(v.filter("vec_id % 10 = 1").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("vec")), entries, least)
+    entries = v.select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"))
+    return memory.cache_lookup(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("vec")), entries, least, exclude_own=True)
 
 
 @query(_lookup_sql(0.95))
@@ -129,10 +116,15 @@ def point_id(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.point_id(F.col("source"), F.col("doc_id"), F.lit(0)).alias("point_id"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer FROM conversations")
+#: A made-up assistant's name, its misspellings and the pronoun it leads answers with.
+_RULES = T.name_rules("İdil", ["idyl", "[İI]dill"], "Sen")
+
+
+@query(r"SELECT conv_id, turn, regexp_replace('İdil and İdil of İdil: ' || regexp_replace(text, '^\s+|\s+$', '', 'g') || ' last', '^\s+|\s+$', '', 'g') AS answer FROM conversations")
 def clean_answer(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", T.clean_answer(F.concat(F.lit("<think>a\nb</think> "), F.col("text"), F.lit("\n"))).alias("answer"))
+    said = F.concat(F.lit("<think>a\nb</think> Sen idyl and IDILL of Idil: "), T.strip("text"), F.lit(" last\n"))
+    return c.select("conv_id", "turn", T.clean_answer(said, _RULES).alias("answer"))
 
 
 _STARTS = " OR ".join(f"starts_with(q, '{k}')" for k in T.CONTEXT_KEYWORDS)
@@ -230,9 +222,9 @@ def collection_info(spark, sf):
     return store.info(table(spark, sf, "embeddings"), "embedding")
 
 
-@query(r"SELECT doc_id, length(text) AS n FROM documents WHERE length(text) <= 1000 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 80 AND NOT starts_with(text, '#') AND NOT contains(text, chr(10) || '#')")
+@query(r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content FROM documents WHERE length(text) <= 1000 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 80 AND NOT starts_with(text, '#') AND NOT contains(text, chr(10) || '#')")
 def chunk_short_docs(spark, sf):
-    return chunking.short_chunks(table(spark, sf, "documents")).select("doc_id", F.length("text").cast("long").alias("n"))
+    return chunking.short_chunks(table(spark, sf, "documents")).select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("content"))
 
 
 @query()
@@ -255,9 +247,12 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, coalesce(nullif(text, ''), '') AS picked FROM documents WHERE NOT starts_with(text, '[') AND NOT starts_with(text, '{')")
+_INNER = "CASE WHEN left(ltrim(text), 1) = '{0}' THEN TRY_CAST(text AS JSON) ->> '{1}' END"
+
+
+@query(f"SELECT doc_id, coalesce({_INNER.format('[', '$[0].text')}, {_INNER.format('{', '$.text')}, text, '') AS picked FROM documents")
 def json_field_pick(spark, sf):
-    d = table(spark, sf, "documents").filter(~F.col("text").startswith("[") & ~F.col("text").startswith("{"))
+    d = table(spark, sf, "documents")
     return d.select("doc_id", T.json_field_pick(F.to_json(F.struct(F.lit("").alias("text"), F.col("text").alias("content")))).alias("picked"))
 
 
@@ -277,8 +272,11 @@ def link_filter(spark, sf):
 
 @query(f"WITH u AS (SELECT page_id % 50 AS grp, url, min(page_id) AS first FROM pages WHERE starts_with(url, 'http') AND {_SKIP} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY first) AS r FROM u) SELECT grp, string_agg(url, ' ' ORDER BY first) AS links FROM r WHERE r <= 3 GROUP BY grp")
 def source_links(spark, sf):
-    p = table(spark, sf, "pages").groupBy((F.col("page_id") % 50).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("u"))
-    return p.select("grp", F.array_join(retrieval.source_links(F.transform("u", lambda x: x["url"])), " ").alias("links"))
+    """Admissible links of each group, distinct by first page, three at most: cut to those before any are gathered."""
+    p = table(spark, sf, "pages").filter(T.link_admissible(F.col("url"))).groupBy((F.col("page_id") % 50).alias("grp"), "url").agg(F.min("page_id").alias("first"))
+    p = p.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("first"))).filter(F.col("r") <= retrieval.SHOWN_LINKS)
+    links = F.array_sort(F.collect_list(F.struct("r", "url")))
+    return p.groupBy("grp").agg(F.array_join(F.transform(links, lambda x: x["url"]), " ").alias("links"))
 
 
 _GREET = " OR ".join(f"starts_with(q, '{g}')" for g in agent.GREETINGS)
@@ -370,3 +368,6 @@ def agent_answers(spark, sf):
     generate = lambda q: q.withColumn("answer", agent.best_sentence(F.col("question"), F.col("context")))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return agent.answer(asked, retrieve, generate).select("question_id", "route", "grade", "iterations", "answer")
+
+
+from lodeworks.plans import asking, ingest  # noqa: E402, F401 - they register their queries

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 SCHEMA = "key string, label string, url string, crawl_type string, frequency string, priority int, js_wait_ms int, extra map<string,string>"
-CRAWL_TYPES = ["api_announcement", "api_content", "html_static", "html_js", "api_staff", "api_menu", "pdf"]
+# Kinds of targets, frequencies.
+CRAWL_TYPES = ["api_json", "api_staff", "api_sss", "html_static", "html_js"]
+FREQUENCIES = ["daily", "weekly", "monthly", "once"]
 #: frequency, day of week (1 Monday) or of month, hour; in the zone.
 SCHEDULE = [("daily", None, None, 2), ("weekly", 1, None, 3), ("monthly", None, 1, 4)]
 ZONE = "Europe/Istanbul"
@@ -21,6 +23,19 @@ def catalogue(spark: SparkSession, targets: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def selected(targets: DataFrame, keys: DataFrame | None = None, frequency: str | None = None) -> DataFrame:
+    """Targets of a frequency, and of a table of keys."""
+    out = targets if frequency is None else targets.filter(F.col("frequency") == frequency)
+    return out if keys is None else out.join(keys.select("key").distinct(), "key", "left_semi")
+
+
+def mode_targets(targets: DataFrame, mode: str) -> DataFrame:
+    """Targets of a run mode: full takes all, the others those of their frequency."""
+    if mode != "full" and mode not in FREQUENCIES:
+        raise ValueError(f"unknown mode {mode}")
+    return selected(targets, frequency=None if mode == "full" else mode)
+
+
 def due(ticks: DataFrame, ts: str = "ts") -> DataFrame:
     """ticks with a row for each frequency that is due in the hour of ts (UTC)."""
     at = F.from_utc_timestamp(F.col(ts).cast("timestamp"), ZONE)

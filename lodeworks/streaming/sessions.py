@@ -5,34 +5,60 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodeworks.operators.memory import HISTORY_MAX, SESSION_TTL_S
 from lodeworks.operators.store import ChunkStore
 
 
-def session_state(events: DataFrame, ttl_s: int = SESSION_TTL_S, most: int = HISTORY_MAX, delay: str = "1 hour") -> DataFrame:
-    """Counts of live messages for each key (user_id) after each batch, and a row when a session runs out.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_MESSAGE = "ts long, role string, text string"
+_OUT = "session_id string, history array<struct<role:string,text:string>>, message_count int, expired boolean"
 
-    events: user_id, ts. The time to live runs from the last write, in event time; at most `most` stay.
-    """
 
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            (n, _) = state.get
-            state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "messages": [n], "expired": [True]})
-            return
-        n, last = state.get if state.exists else (0, 0)
-        for t in sorted(int(x.timestamp() * 1000) for pdf in batches for x in pdf["ts"]):
-            n = 1 if last and t - last > ttl_s * 1000 else min(n + 1, most)
-            last = max(last, t)
-        state.update((n, last))
-        state.setTimeoutTimestamp(max(last + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "messages": [n], "expired": [False]})
-
-    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, messages int, expired boolean", "n int, last long", "append", GroupStateTimeout.EventTimeTimeout)
+class SessionKeeper(StatefulProcessor):
+    """A session's last messages as list state; an event-time timer at the last write plus the time to live ends it."""
+
+    def __init__(self, ttl_ms: int, most: int):
+        self.ttl_ms, self.most = ttl_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.messages = handle.getListState("messages", _MESSAGE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [tuple(x) for x in self.messages.get()] if self.messages.exists() else []
+        more = sorted((int(t.timestamp() * 1000), r, x) for pdf in rows for t, r, x in zip(pdf["ts"], pdf["role"], pdf["text"]))
+        for m in more:
+            if held and m[0] - held[-1][0] > self.ttl_ms:
+                held = []
+            held = sorted([*held, m], key=lambda x: x[0])[-self.most :]
+        self.messages.put(held)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(held[-1][0] + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, held, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = [tuple(x) for x in self.messages.get()]
+        self.messages.clear()
+        yield self._row(key, held, True)
+
+    def _row(self, key, held, expired):
+        return pd.DataFrame({"session_id": [key[0]], "history": [[{"role": r, "text": x} for _, r, x in held]], "message_count": [len(held)], "expired": [expired]})
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(turns: DataFrame, ttl_s: int = SESSION_TTL_S, most: int = HISTORY_MAX, delay: str = "1 hour") -> DataFrame:
+    """The history of each session after each batch that writes to it, and a last row as it runs out.
+
+    turns: session_id, ts, role, text. The time to live runs from the last write, in event time; the last `most`
+    messages stay. The session must use the RocksDB state store (ROCKSDB).
+    """
+    rows = turns.select("session_id", F.col("ts").cast("timestamp").alias("ts"), "role", "text").withWatermark("ts", delay)
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionKeeper(ttl_s * 1000, most), _OUT, "Append", "EventTime")
 
 
 def first_puts(puts: DataFrame, key: str, ttl: str = "30 minutes") -> DataFrame:
