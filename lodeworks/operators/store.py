@@ -1,19 +1,23 @@
-"""The chunk table: a versioned Parquet folder with upsert, pruning and deletes."""
+"""The chunk table: Parquet buckets under versioned manifests, with upsert, pruning and deletes."""
 
 from __future__ import annotations
 
-import time
+import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
     """The row of each key with the largest version; new rows win ties. A union and one aggregation."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (*key, version, "_new")]
-    best = both.groupBy(*key).agg(F.max(F.struct(version, "_new", *rest)).alias("_m"))
-    return best.select(*key, "_m.*").drop("_new").select(*[c for c in both.columns if c != "_new"])
+    rest = [f.name for f in both.schema.fields if f.name not in (*key, "_new")]
+    # Rows of one version: the larger hash of what can be hashed, so that a retry picks the same one.
+    plain = [f.name for f in both.schema.fields if f.name in rest and not isinstance(f.dataType, MapType)]
+    best = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(version, "_new", F.xxhash64(*plain))).alias("_m"))
+    return best.select(*key, "_m.*").select(*[c for c in both.columns if c != "_new"])
 
 
 def prune_stale(chunks: DataFrame, current: DataFrame) -> DataFrame:
@@ -31,42 +35,100 @@ def info(table: DataFrame, vector: str) -> DataFrame:
 
 
 class ChunkStore:
-    """Versions are folders `v=<n>` under a root; readers take the newest that is complete (its _SUCCESS is there)."""
+    """Rows in BUCKETS folders by hash of their key; a manifest names each bucket's folder, and the newest manifest is the table.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    An upsert reads and writes only the buckets that its rows fall into. A manifest is created last, under the next
+    number, and creating one that exists fails: of two writers one gets an error and must start again, and readers
+    see a whole version or the one before. vacuum() deletes folders that no kept manifest names.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
     def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _latest(self) -> str | None:
-        path, fs = self._fs()
-        if not fs.exists(path):
-            return None
-        make = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        names = sorted(s.getPath().getName() for s in fs.listStatus(path))
-        done = [n for n in names if n.startswith("v=") and fs.exists(make(f"{self.root}/{n}/_SUCCESS"))]
-        return f"{self.root}/{done[-1]}" if done else None
-
-    def ensure(self, schema: str) -> DataFrame:
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        fs, at = self._fs(), self._path("manifests")
+        return sorted(int(x.getPath().getName().split(".")[0]) for x in fs.listStatus(at) if x.getPath().getName().endswith(".json")) if fs.exists(at) else []
+
+    def _manifest(self, number: int | None = None) -> tuple[int, dict | None]:
+        numbers = self._numbers()
+        if not numbers:
+            return 0, None
+        number = numbers[-1] if number is None else number
+        rows = self.spark.read.text(f"{self.root}/manifests/{number:012d}.json").collect()
+        return number, json.loads(rows[0][0])
+
+    def _publish(self, number: int, manifest: dict) -> None:
+        # A name of its own first: a manifest is there whole or not at all.
+        fs, draft = self._fs(), self._path("manifests", f"{number:012d}.{uuid.uuid4().hex}.draft")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if fs.exists(self._path("manifests", f"{number:012d}.json")) or not fs.rename(draft, self._path("manifests", f"{number:012d}.json")):
+            fs.delete(draft, False)
+            raise RuntimeError(f"version {number} was written by another writer")
+
+    def _bucket(self, key: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in key)), F.lit(self.buckets)).cast("int")
+
+    def _read(self, manifest: dict, only: list[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(manifest["schema"])
+        paths = [f"{self.root}/{p}" for b, p in sorted(manifest["buckets"].items()) if only is None or int(b) in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _replace(self, number: int, manifest: dict | None, rows: DataFrame, key: list[str], touched: list[int]) -> None:
+        folder = f"data/{number + 1:012d}-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self._bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        fs, held = self._fs(), dict(manifest["buckets"]) if manifest else {}
+        for b in touched:
+            held.pop(str(b), None)
+            if fs.exists(self._path(folder, f"_bucket={b}")):
+                held[str(b)] = f"{folder}/_bucket={b}"
+        fields = {f.name: f for f in (StructType.fromJson(manifest["schema"]).fields if manifest else [])}
+        fields |= {f.name: f for f in rows.schema.fields}
+        self._publish(number + 1, {"key": key, "schema": StructType(list(fields.values())).jsonValue(), "buckets": held})
+
+    def ensure(self, schema: str, key: list[str]) -> DataFrame:
         """The table, made empty with this schema if it is missing."""
-        if self._latest() is None:
-            self.write(self.spark.createDataFrame([], schema))
+        if self._manifest()[1] is None:
+            self._replace(0, None, self.spark.createDataFrame([], schema), key, [])
         return self.read()
 
     def read(self) -> DataFrame | None:
-        at = self._latest()
-        return self.spark.read.parquet(at) if at else None
-
-    def write(self, df: DataFrame) -> None:
-        df.write.parquet(f"{self.root}/v={time.time_ns():020d}")
+        manifest = self._manifest()[1]
+        return self._read(manifest) if manifest else None
 
     def upsert(self, new: DataFrame, key: list[str], version: str) -> None:
-        old = self.read()
-        self.write(upsert(new.limit(0) if old is None else old, new, key, version))
+        number, manifest = self._manifest()
+        if manifest and manifest["key"] != key:
+            raise ValueError(f"the key of this table is {manifest['key']}")
+        touched = [r[0] for r in new.select(self._bucket(key).alias("b")).distinct().collect()]
+        if touched:
+            old = self._read(manifest, touched) if manifest else new.limit(0)
+            self._replace(number, manifest, upsert(old, new, key, version), key, touched)
 
     def delete(self, doomed: Column) -> None:
-        old = self.read()
-        if old is not None:
-            self.write(delete_where(old, doomed))
+        number, manifest = self._manifest()
+        if manifest is None:
+            return
+        touched = [r[0] for r in self._read(manifest).filter(doomed).select(self._bucket(manifest["key"]).alias("b")).distinct().collect()]
+        if touched:
+            self._replace(number, manifest, delete_where(self._read(manifest, touched), doomed), manifest["key"], touched)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes all but the newest `keep` manifests, and the folders that none of those names. Not beside a running writer."""
+        numbers = self._numbers()
+        named = {p for n in numbers[-keep:] for p in self._manifest(n)[1]["buckets"].values()}
+        fs = self._fs()
+        for n in numbers[:-keep]:
+            fs.delete(self._path("manifests", f"{n:012d}.json"), False)
+        for folder in fs.listStatus(self._path("data")) if fs.exists(self._path("data")) else []:
+            for part in fs.listStatus(folder.getPath()):
+                name = f"data/{folder.getPath().getName()}/{part.getPath().getName()}"
+                if name not in named:
+                    fs.delete(part.getPath(), True)

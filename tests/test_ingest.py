@@ -190,10 +190,10 @@ def test_salted_tokens_equal_the_broadcast(spark, monkeypatch):
 
 
 def test_ensure_and_probe(spark, tmp_path):
-    s = store.ChunkStore(spark, str(tmp_path / "c"))
-    assert s.ensure("id long, v array<float>").count() == 0
-    s.write(spark.createDataFrame([(1, [1.0])], "id long, v array<float>"))
-    assert s.ensure("id long, v array<float>").count() == 1
+    s = store.ChunkStore(spark, str(tmp_path / "c"), 4)
+    assert s.ensure("id long, v array<float>", ["id"]).count() == 0
+    s.upsert(spark.createDataFrame([(1, [1.0])], "id long, v array<float>"), ["id"], "v")
+    assert s.ensure("id long, v array<float>", ["id"]).count() == 1
     hits = memory.cache_lookup(spark.createDataFrame([(1, [1.0, 0.0])], "probe_id long, vec array<double>"), spark.createDataFrame([(5, [1.0, 0.0], ""), (7, [1.0, 0.0], "y"), (6, [1.0, 0.0], "x")], "entry_id long, vec array<double>, answer string"))
     assert [tuple(r) for r in hits.collect()] == [(1, 6, 1.0, "x")]
 
@@ -234,3 +234,26 @@ def test_session_stream_and_first_puts(spark, tmp_path):
     src = spark.readStream.schema("key string, ts string, v int").parquet(str(tmp_path / "puts"))
     q = sessions.first_puts(src, "key").writeStream.format("parquet").option("path", str(tmp_path / "kept")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and spark.read.parquet(str(tmp_path / "kept")).count() == 1
+
+
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    s = store.ChunkStore(spark, str(tmp_path / "c"), 8)
+    rows = lambda ids, v: spark.createDataFrame([(i, v, {"k": str(v)}) for i in ids], "id long, v int, m map<string,string>")
+    s.upsert(rows(range(50), 1), ["id"], "v")
+    before = s._manifest()[1]["buckets"]
+    s.upsert(rows([3], 2), ["id"], "v")
+    after = s._manifest()[1]["buckets"]
+    assert sum(before[b] != after[b] for b in after) == 1 and len(after) == 8
+    assert {r["id"]: (r["v"], r["m"]["k"]) for r in s.read().collect()} == {i: (2, "2") if i == 3 else (1, "1") for i in range(50)}
+    s.upsert(rows([3], 1), ["id"], "v")  # an older version changes nothing
+    s.upsert(spark.createDataFrame([(60, 1, "new")], "id long, v int, extra string"), ["id"], "v")
+    got = {r["id"]: r for r in s.read().collect()}
+    assert got[3]["v"] == 2 and got[60]["extra"] == "new" and got[1]["extra"] is None and len(got) == 51
+    s.delete(F.col("id") < 40)
+    s.vacuum(1)
+    assert sorted(r["id"] for r in s.read().collect()) == [*range(40, 50), 60] and len(s._numbers()) == 1
+    number, manifest = s._manifest()
+    with pytest.raises(RuntimeError):
+        s._publish(number, manifest)
+    with pytest.raises(ValueError):
+        s.upsert(rows([1], 1), ["v"], "v")
