@@ -511,7 +511,7 @@ def _sizer(words: int, bands: Bands):
 def _summer(batches):
     """Rows sorted by `row` become one row of sums each."""
     key, sums = None, np.zeros(SKETCH_ROW, np.int64)
-    done = lambda: pd.DataFrame({"row": [key], "sums": [sums.tobytes()]})
+    done = lambda: pd.DataFrame({"row": [key], "sums": [np.minimum(sums, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
     for pdf in batches:
         for row, at, n in zip(pdf["row"].tolist(), pdf["places"].tolist(), pdf["counts"].tolist()):
             if row != key:
@@ -528,7 +528,7 @@ def _digest_counts(sized: DataFrame) -> np.ndarray:
     rows = sized.filter("row IS NOT NULL").select("row", "places", "counts").repartition("row").sortWithinPartitions("row")
     out = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, np.uint32).reshape(-1, SKETCH_ROW)
     for r in rows.mapInPandas(_summer, "row int, sums binary").collect():
-        out[r["row"]] = np.minimum(np.frombuffer(r["sums"], np.int64), 0xFFFFFFFF)
+        out[r["row"]] = np.frombuffer(r["sums"], np.uint32)
     return out.ravel()
 
 
