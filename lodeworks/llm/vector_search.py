@@ -15,7 +15,7 @@ any pivots give exact results. What comes to the driver: pivots, and a row for e
 
 Defined results: vectors null, empty or holding null or non-finite components take no part; of vectors
 of different lengths the missing components count as 0; ties go to the smaller id; components saturate
-at +-2^40; repeated ids are separate candidates, and all query rows of one id, equal or not, are one
+at +-2^62 and scores at +-(2^63 - 2), beyond which a long holds no score; repeated ids are separate candidates, and all query rows of one id, equal or not, are one
 query: its result is the k highest scores of any of them, a candidate counting once for each row, as in SQL;
 an empty table gives an empty one; columns beyond id and vector aren't read, so their names can't clash.
 """
@@ -33,7 +33,7 @@ SAMPLE, PIVOTS, ANNULI = 2048, 32, 16
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Annuli expanded by the end of each round; the last round takes all that are left.
 ROUNDS = (1, 8, None)
-_MOST = 2**40
+_MOST = 2**62
 
 
 def quantised(vectors: DataFrame, vec_id: str, vec: str, scale: int) -> DataFrame:

@@ -34,6 +34,12 @@ def test_few_rows_and_none(spark):
     assert vs.exact_topk(df.limit(0), F.lit(True), 3).count() == 0
 
 
+def test_large_components_are_exact(spark):
+    rows = [(0, [1.0, 2.0**44]), (1, [1.0, 0.5]), (2, [3.0, 2.0**-6]), (3, [2.0**45, 0.0]), (20, [2.0**-6, -(2.0**45)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vs.exact_topk(df, F.col("vec_id") % 20 == 0, 3).collect()) == [r for r in brute([(i, x) for i, x in rows], 20) if r[1] <= 3]
+
+
 def test_repeated_query_ids_equal_sql(spark, tmp_path):
     import duckdb
 
