@@ -48,6 +48,8 @@ CONTEXT = {
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.2}
 BONUS, WINDOW, LEAST = 0.4, 40, 0.5
 _BLOCK = 256
+#: Code points of a slab, of which a masked text is put together.
+_SLAB = 2048
 
 
 def _digits(x: Column) -> Column:
@@ -170,9 +172,18 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda x: x["stop"] > x["free"],
         ),
     )
-    piece = lambda x: F.concat(F.substring("_plain", x["free"] + 1, F.greatest(x["start"] - x["free"], F.lit(0))), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+    # Texts are cut into slabs once, so that no span costs a walk from the text's start.
+    slabs = F.regexp_extract_all("_plain", F.lit(f"(?s).{{1,{_SLAB}}}+"), F.lit(0))
+
+    def between(held, start, stop):
+        first = F.floor(start / _SLAB).cast("int")
+        near = F.array_join(F.slice(held, first + 1, F.floor(stop / _SLAB).cast("int") - first + 1), "")
+        return F.when(stop > start, F.substring(near, start - first * _SLAB + 1, stop - start)).otherwise("")
+
+    end = F.array_max(F.transform("_found", lambda y: y["stop"]))
+    piece = lambda held: lambda x: F.concat(between(held, x["free"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
     clean = F.when(F.size("_found") == 0, F.col("_plain")).otherwise(
-        F.concat(F.array_join(F.transform(cuts, piece), ""), F.substring("_plain", F.array_max(F.transform("_found", lambda y: y["stop"])) + 1, F.length("_plain")))
+        _let(slabs, lambda held: F.concat(F.array_join(F.transform(cuts, piece(held)), ""), between(held, end, F.length("_plain"))))
     )
     found = found.select("_doc", clean.alias("_clean"))
     return found.select(*(F.col("_clean").alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns))
@@ -188,5 +199,6 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(many(no).alias(f"n_{kind}") for no, kind in enumerate(BASE)),
         F.sha2(spell(base), 256).alias("base_sha256"),
         spell(F.col("pii_spans")).alias("spans"),
+        F.size("pii_spans").cast("long").alias("n_spans"),
         F.array_join(F.transform("pii_spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"),
     )

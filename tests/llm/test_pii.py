@@ -60,9 +60,24 @@ def test_redact_keeps_the_rest(spark):
     assert rows[1]["_found"] == "k"
 
 
+def test_redact_equals_brute_force_on_long_texts(spark, monkeypatch):
+    """Spans before, over and at the bounds of slabs, with code points beyond 16 bits."""
+    monkeypatch.setattr(pii, "_SLAB", 16)
+    texts = ["x" * k + "😀é a.b@c.de, " + "1.2.3.4 \n" * (k % 5) + "z" * (3 * k) + " +1 (743) 555-3824" * (k % 3) for k in range(70)] + ["a@b.cc", "a" * 16, "a@b.cc" + " " * 26]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spans = {r["doc_id"]: r["s"] for r in pii.find_pii(df).selectExpr("doc_id", "pii_spans s").collect()}
+    for r in pii.redact(df).collect():
+        text, at, want = texts[r["doc_id"]], 0, ""
+        for x in spans[r["doc_id"]]:
+            if x.stop > at:
+                want, at = want + text[at : x.start] + f"[{x.kind.upper()}]", x.stop
+        assert r["text"] == want + text[at:]
+
+
 def test_query_columns_and_empty_table(spark, tmp_path):
     spark.createDataFrame([(5, TEXTS[0])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     (r,) = pii.op2_pii(spark, str(tmp_path)).collect()
     assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (2, 0, 1, 1)
+    assert r["n_spans"] == len(r["spans"].split(",")) == 6
     assert r["base_sha256"] == hashlib.sha256(",".join(brute(TEXTS[0])).encode()).hexdigest()
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
