@@ -258,6 +258,30 @@ def _forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def ranged(digests: np.ndarray, nodes: np.ndarray, ranges: int) -> pd.DataFrame:
+    """(digest, node) as a row for each range of digests; of a digest that more than NEAR nodes share the rest becomes pairs that stay together, as a row without digests."""
+    d, n, first, many = _by_digest(digests, nodes)
+    nth = np.arange(len(d)) - first
+    over = nth > NEAR
+    kept = _distinct(np.stack([n[first[over]], n[over]], 1))
+    d, n = d[~over], n[~over]
+    part = (d >> np.uint64(32)).astype(np.int64) % ranges
+    order = np.lexsort((n, part))
+    part, n, d = part[order], n[order], d[order].astype(np.uint32)
+    cuts = np.searchsorted(part, np.arange(ranges + 1))
+    rows = []
+    for i in np.nonzero(np.diff(cuts))[0].tolist():
+        mine = n[cuts[i] : cuts[i + 1]]
+        start = np.nonzero(np.append(True, mine[1:] != mine[:-1]))[0]
+        rows.append((i, d[cuts[i] : cuts[i + 1]].tobytes(), mine[start].tobytes(), np.diff(np.append(start, len(mine))).astype(np.uint32).tobytes()))
+    if len(kept):
+        rows.append((int(kept[0, 0] % ranges), b"", kept.tobytes(), b""))
+    return pd.DataFrame(rows, columns=["part", "digests", "nodes", "counts"])
+
+
+RANGED = "part long, digests binary, nodes binary, counts binary"
+
+
 def _thinner(words: int, bands: Bands, ranges: int, counts=None):
     """Documents become digests by range, and, as rows without digests, pairs that stay together."""
 
@@ -268,24 +292,7 @@ def _thinner(words: int, bands: Bands, ranges: int, counts=None):
         def flush():
             nonlocal held, names, size
             if held:
-                d, n, first, many = _by_digest(np.concatenate(held), np.repeat(np.array(list(names), np.int64), [len(h) for h in held]))
-                nth = np.arange(len(d)) - first
-                over = nth > NEAR
-                kept = _distinct(np.stack([n[first[over]], n[over]], 1))
-                d, n = d[~over], n[~over]
-                part = (d >> np.uint64(32)).astype(np.int64) % ranges
-                order = np.lexsort((n, part))
-                part, n, d = part[order], n[order], d[order].astype(np.uint32)
-                cuts = np.searchsorted(part, np.arange(ranges + 1))
-                at = np.nonzero(np.diff(cuts))[0]
-                rows = []
-                for i in at.tolist():
-                    mine = n[cuts[i] : cuts[i + 1]]
-                    start = np.nonzero(np.append(True, mine[1:] != mine[:-1]))[0]
-                    rows.append((i, d[cuts[i] : cuts[i + 1]].tobytes(), mine[start].tobytes(), np.diff(np.append(start, len(mine))).astype(np.uint32).tobytes()))
-                if len(kept):
-                    rows.append((int(kept[0, 0] % ranges), b"", kept.tobytes(), b""))
-                yield pd.DataFrame(rows, columns=["part", "digests", "nodes", "counts"])
+                yield ranged(np.concatenate(held), np.repeat(np.array(list(names), np.int64), [len(h) for h in held]), ranges)
             held, names, size = [], {}, 0
 
         for pdf in batches:
@@ -539,20 +546,37 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wide = Bands(num, den, 1 << 40)
     sized = cut(docs.mapInArrow(_sizer(words, wide), _SIZED))
-    slim = sized.filter("row IS NULL").select("doc_id", "n", "content")
+
+    def candidates(usable, classes, total):
+        counts = spark.sparkContext.broadcast(_digest_counts(sized))
+        each = 4.5 * (den - num) / (den + num)  # digests for each element, about: two tiles, each as wide as two bands
+        ranges = max(spark.sparkContext.defaultParallelism, math.ceil(total * each / RANGE))
+        return paired(usable.mapInPandas(_thinner(words, wide, ranges, counts), RANGED), ranges)
+
+    return linked(docs, sized.filter("row IS NULL"), words, num, den, candidates)
+
+
+def paired(digests: DataFrame, ranges: int) -> DataFrame:
+    """Rows of ranged() as candidate pairs a, b; `kept` ones are as good as links of their group, the others are looked at one by one."""
+    return digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairer, "a long, b long, kept boolean")
+
+
+def linked(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, candidates, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id of docs by exact links among candidate pairs and whatever they connect.
+
+    sized: doc_id, n, node, content, bits of each row's set, and columns `more` that are one for equal sets.
+    candidates(usable docs, classes, elements in all) gives pairs of nodes, as paired() does.
+    """
+    slim = sized.select("doc_id", "n", "content")
     known = sized.filter("doc_id IS NOT NULL AND n > 0")
     total, largest, rows = known.agg(F.sum("n"), F.max("n"), F.count("*")).first()
     if total is None:
         return slim.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     # A class: all rows with one set, by its smallest document.
-    classes = cut(known.groupBy("node", "content").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows")))
+    classes = cut(known.groupBy("node", "content").agg(F.min("doc_id").alias("head"), *(F.first(c).alias(c) for c in ("n", "bits", *more)), F.count("*").alias("rows")))
     bands = Bands(num, den, largest)
-    counts = spark.sparkContext.broadcast(_digest_counts(sized))
-    each = 4.5 * (den - num) / (den + num)  # digests for each element, about: two tiles, each as wide as two bands
-    ranges = max(spark.sparkContext.defaultParallelism, math.ceil(total * each / RANGE))
     usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    digests = usable.mapInPandas(_thinner(words, wide, ranges, counts), "part long, digests binary, nodes binary, counts binary")
-    pairs = cut(digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairer, "a long, b long, kept boolean"))
+    pairs = cut(candidates(usable, classes, total))
     side = lambda node, n, bits: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
     near = pairs.filter("NOT kept").select("a", "b").distinct().join(side("a", "na", "xa"), "a").join(side("b", "nb", "xb"), "b")
     near = near.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb", "xa", "xb")

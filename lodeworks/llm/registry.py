@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, language_id, mixing, pii, subwords, token_counts, toxicity, url_filters, vector_search
+from . import fingerprints, jaccard_join, language_id, minhash_dedup, mixing, pii, subwords, token_counts, toxicity, url_filters, vector_search
 
 QUERIES = {
     "op1_sentencepiece": subwords.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_ngram_join": jaccard_join.op9_ngram_join,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_minhash_dedup": minhash_dedup.op11_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": vector_search.SQL,
