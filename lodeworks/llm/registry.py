@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, language_id, minhash_dedup, mixing, pii, subwords, token_counts, toxicity, url_filters, vector_search
+from . import centroid_clusters, fingerprints, jaccard_join, language_id, lexical_search, minhash_dedup, mixing, pii, subwords, token_counts, toxicity, url_filters, vector_search
 
 QUERIES = {
     "op1_sentencepiece": subwords.op1_sentencepiece,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_ngram_join": jaccard_join.op9_ngram_join,
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op11_minhash_dedup": minhash_dedup.op11_minhash_dedup,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": vector_search.SQL,
     "op5_mixing": mixing.sql(),
     "op7_url_filters": url_filters.SQL,
+    "op12_lexical_search": lexical_search.SQL,
+    "op13_centroid_clusters": centroid_clusters.SQL,
 }
