@@ -7,11 +7,10 @@
 3. `choose_blocks`: a list is cut where the error of its bounds is least: dynamic programming over all cuts into blocks of
    at most LONGEST postings minimises the sum of (block maximum - impact) plus BLOCK_COST a block. Lists of like
    length are solved side by side.
-4. `search_shard`: the blocks of an item's terms cut the shard into intervals; the sum of the block maxima that
-   cover an interval bounds every score in it. Intervals are taken from the largest bound on, in growing rounds;
-   term by term, the dearest first, a document's bound becomes its score, and it is left as soon as its bound is below
-   the item's k-th score so far, which a task carries from shard to shard. The search ends at the first interval
-   whose bound is below that. Blocks of documents that are left, or never come up, are not read.
+4. `search_shard`: the sum of the block maxima that cover a document bounds its score. Only documents whose bound reaches
+   the item's k-th score live on, and a block without a live document is skipped. GROUP terms at a time, the dearest
+   first, blocks that must be read turn bounds into scores, which raises the k-th score and leaves fewer alive. A task
+   carries each item's k-th score from shard to shard.
 5. Each task hands on k rows an item at most, and a window ranks them.
 
 Items go in blocks of about ITEM_TERMS terms; a block of items meets every shard, so neither side is broadcast or
@@ -39,13 +38,13 @@ from .common import bounded_batches, cut, table
 #: Documents and terms (repeats included) of a shard, about; a shard ends with the document that passes either.
 SHARD_DOCS, SHARD_TERMS = 16_384, 8_000_000
 #: Postings of a block at most; what one more block has to save in bounds, in impact.
-LONGEST, BLOCK_COST = 64, 1_000_000
+LONGEST, BLOCK_COST = 64, 250_000
 #: Distinct (item, term) rows of a block of items, about.
 ITEM_TERMS = 200_000
 #: Terms asked for up to which the postings of no other terms are written.
 ASKED_TERMS = 500_000
-#: Documents scored in an item's first round in a shard, and by how much a round grows.
-FIRST, GROWTH = 64, 2
+#: Terms of an item after which documents that can't be among its k best are left.
+GROUP = 6
 
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 _POSTINGS = pa.schema([("shard", pa.string()), ("kind", pa.int32()), ("term", pa.binary()), ("df", pa.int64()), ("terms", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -209,7 +208,7 @@ class Postings:
     def __init__(self, docs: np.ndarray, impact: np.ndarray, ends: np.ndarray):
         self.docs, self.impact = docs, impact
         starts = np.append(0, ends[:-1])
-        self.first, self.beyond = docs[starts], docs[ends - 1] + 1
+        self.first, self.beyond, self.length = docs[starts], docs[ends - 1] + 1, ends - starts
         self.most = np.maximum.reduceat(impact, starts)
 
 
@@ -219,46 +218,33 @@ def _better(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def search_shard(asked: list[tuple[Postings, int]], ids: np.ndarray, k: int, scores: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """asked: lists of an item's terms and their weights. The k best of (scores, found) and this shard, and how many times a document was looked up in a list."""
+    """asked: lists of an item's terms and their weights. The k best of (scores, found) and this shard, and how many blocks were read."""
     asked = sorted(((p, w) for p, w in asked if w > 0), key=lambda x: -int(x[0].most.max()) * x[1])
-    if not asked:
-        return scores, found, 0
-    at = np.concatenate([x for p, _ in asked for x in (p.first, p.beyond)])
-    step = np.concatenate([x for p, w in asked for x in (p.most * w, p.most * -w)])
-    order = np.argsort(at, kind="stable")
-    at, bound = at[order], np.cumsum(step[order])
-    last = np.nonzero(np.append(at[1:] != at[:-1], True))[0]
-    at, bound = at[last], bound[last]  # the interval from each place to the next
-    todo = np.argsort(-bound, kind="stable")
-    todo = todo[bound[todo] > 0]
-    length = np.append(np.diff(at), 0)
-    many, done, room = 0, 0, FIRST
-    while done < len(todo):
-        floor = scores[k - 1] if len(scores) >= k else 1
-        upto = done + int(np.searchsorted(np.cumsum(length[todo[done:]]), room)) + 1
-        some = todo[done:upto]
-        some = some[bound[some] >= floor]
-        if not len(some):
-            break
-        n = length[some]
-        docs = np.repeat(at[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        held = np.repeat(bound[some], n)
-        order = np.argsort(docs)
-        docs, held = docs[order], held[order]
-        for p, w in asked:  # from the dearest term on, each bound becomes the score itself
-            many += len(docs)
-            block = np.minimum(np.searchsorted(p.beyond, docs, side="right"), len(p.beyond) - 1)
-            within = (p.first[block] <= docs) & (docs < p.beyond[block])
-            place = np.searchsorted(p.docs, docs)
-            place[place == len(p.docs)] = 0
-            held += np.where(p.docs[place] == docs, p.impact[place], 0) * w - np.where(within, p.most[block], 0) * w
-            good = held >= floor
-            docs, held = docs[good], held[good]
-            if not len(docs):
-                break
-        scores, found = _better(np.concatenate([scores, held]), np.concatenate([found, ids[docs]]), k)
-        done, room = upto, room * GROWTH
-    return scores, found, many
+    groups = [asked[g : g + GROUP] for g in range(0, len(asked), GROUP)]
+    rest = [np.zeros(len(ids))]  # bounds of each document by the terms from a group on, built from the last group
+    for group in reversed(groups):
+        at = np.concatenate([x for p, _ in group for x in (p.first, p.beyond)])
+        step = np.concatenate([x for p, w in group for x in (p.most * float(w), p.most * -float(w))])
+        rest.append(rest[-1] + np.cumsum(np.bincount(at, step, len(ids) + 1)[: len(ids)]))
+    rest.reverse()
+    slack = 1e-9 * rest[0].max(initial=0)
+    floor = int(scores[k - 1]) if len(scores) >= k else 1
+    live, sums, read = rest[0] + slack >= floor, np.zeros(len(ids), np.int64), 0
+    for group, left in zip(groups, rest[1:]):
+        before = np.append(0, np.cumsum(live))
+        for p, w in group:
+            need = before[p.beyond] > before[p.first]
+            read += int(need.sum())
+            some = np.repeat(need, p.length)
+            sums[p.docs[some]] += p.impact[some] * w
+        known = sums[live]
+        if len(known) > k:
+            floor = max(floor, int(np.partition(known, -k)[-k]))
+        live &= sums + left + slack >= floor
+        if not live.any():
+            return scores, found, read
+    good = np.nonzero(live & (sums >= floor))[0]
+    return *_better(np.concatenate([scores, sums[good]]), np.concatenate([found, ids[good]]), k), read
 
 
 def _searcher(k: int, docs: int, terms: int):
