@@ -113,9 +113,9 @@ def test_search_skips_blocks_and_stays_exact(monkeypatch):
     order = np.lexsort((np.arange(n), -total))[:20]
     assert ids.tolist() == order.tolist() and scores.tolist() == total[order].tolist()
     blocks = sum(len(p.most) for p in held)
-    assert many < blocks // 2  # most blocks are never read
+    assert many < blocks // 5  # most blocks are never read
     again = ls.search_shard(list(zip(held, weights)), np.arange(n), 20, scores, ids - n)
-    assert again[0].tolist() == scores.tolist() and again[1].tolist() == (ids - n).tolist()
+    assert list(zip(again[0].tolist(), again[1].tolist())) == sorted([*zip(scores.tolist(), (ids - n).tolist()), *zip(scores.tolist(), ids.tolist())], key=lambda x: (-x[0], x[1]))[:20]
     assert again[2] < many  # a k-th score carried over from another shard leaves fewer
 
 
