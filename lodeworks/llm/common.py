@@ -49,7 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._lodeworks_cut = path
+    return held
 
 
 def join_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -69,9 +71,12 @@ def join_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total:
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a cut() whose rows no later step reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+    """Delete the files behind the table that cut() returned, when no later step reads its rows.
+
+    The driver's JVM collects garbage then: Spark frees what the finished steps' plans, broadcasts and shuffles hold only after that.
+    """
+    _delete(df.sparkSession, df._lodeworks_cut)
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

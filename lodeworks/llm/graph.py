@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, join_class
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,19 +15,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     logarithm of the diameter. Neighbourhoods are only reduced to their minimum, never collected.
     """
     star = cut(_down(edges))
-    before = None
+    before = (star.count(),)
     for _ in range(most_rounds):
         both = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(_down(large))  # read three times below: a table keeps each plan small
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        # a star's centre may have most edges: join_class lets no key gather its rows in one task
+        large = join_class(both.filter("b > a"), least, "a", "n", 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, star = star, cut(_down(large))
+        drop_cut(least)
+        drop_cut(last)
+        least = cut(star.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = join_class(star, least, "a", "n", before[0])
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         last, star = star, cut(_down(small))
+        drop_cut(least)
         drop_cut(last)
-        drop_cut(large)
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             found = cut(star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
             drop_cut(star)
