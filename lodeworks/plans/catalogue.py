@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.functions.html import html_udf
-from lodeworks.operators import agent, chunking, memory, metrics, retrieval, store
+from lodeworks.operators import agent, ann, chunking, memory, metrics, retrieval, store
 from lodeworks.plans.registry import ORACLE_SQL, QUERIES, query
 from lodeworks.session import table
 from lodeworks.sources import catalog, exports
@@ -35,6 +35,17 @@ def dense_topk_batch(spark, sf):
     return retrieval.top_k_batch(q, v).select("query_id", "vec_id", "score", "rank")
 
 
+@query()
+def dense_topk_ann(spark, sf):
+    """Every hundredth vector against an approximate index of all of them."""
+    v = table(spark, sf, "embeddings")
+    index = ann.build(v)
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    if index is None:
+        return q.limit(0).select("query_id", F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return ann.search(index, q).select("query_id", "vec_id", "score", "rank")
+
+
 _TOKENS = "SELECT DISTINCT {id}, unnest(string_split_regex(lower(text), '[^\\p{{L}}0-9]+')) AS token FROM {t}"
 _OVERLAP = f"WITH q AS ({_TOKENS.format(id='item_id AS query_id', t='benchmark')}), d AS ({_TOKENS.format(id='doc_id', t='documents')}), s AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN d USING (token) WHERE length(token) >= 1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)"
 
