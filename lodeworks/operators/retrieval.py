@@ -23,7 +23,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = RETRIEVE, vec_id: str = "v
     return vectors.select(F.col(vec_id).alias("vec_id"), F.round(cosine(F.col(vec), query), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def _few(df: DataFrame) -> bool:
+def few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
@@ -89,8 +89,7 @@ def term_overlap(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     The queries' tokens go to all machines if they are known to be few; else each token is dealt to SALTS parts by
     document, so that a common one brings no task all documents.
     """
-    few = _few(queries)
-    if few:
+    if few(queries):
         joined = docs.join(F.broadcast(queries), "token")
     else:
         salted = queries.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.functions.html import html_udf
-from lodeworks.operators import agent, ann, chunking, memory, metrics, retrieval, store
+from lodeworks.operators import agent, ann, chunking, lexical, memory, metrics, retrieval, store
 from lodeworks.plans.registry import ORACLE_SQL, QUERIES, query
 from lodeworks.session import table
 from lodeworks.sources import catalog, exports
@@ -66,11 +66,32 @@ def rerank_topn(spark, sf):
     return retrieval.rerank(hits, F.col("n")).select("query_id", "doc_id", "rank", "rerank")
 
 
-@query(f"{_OVERLAP}, b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INT AS rank FROM r WHERE r.rank <= 20), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT * FROM b) GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) SELECT * FROM z WHERE rank <= 10")
+_BM25 = r"""w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}0-9]+')) AS token FROM documents),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM w WHERE token <> '' GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+st AS (SELECT count(*)::DOUBLE AS docs, sum(n)::DOUBLE AS words FROM dl), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '[^\p{L}0-9]+')) AS token FROM benchmark),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * n * docs / words))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), st GROUP BY ALL),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 20)"""
+
+
+def _bm25(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.bm25_top_k(q, lexical.build(table(spark, sf, "documents"), lexical.query_tokens(q)))
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm")
+def bm25_topk(spark, sf):
+    return _bm25(spark, sf)
+
+
+@query(f"WITH {_BM25}, dense AS (SELECT * FROM (SELECT b.item_id AS query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY {_COS} DESC, e.vec_id)::INT AS rank FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)) WHERE rank <= 20), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT * FROM dense) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 10")
 def rank_fusion(spark, sf):
-    one = _overlap(spark, sf, 20)
-    two = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
-    return retrieval.reciprocal_rank_fusion(one, two, 10).select("query_id", "doc_id", "score", "rank")
+    """BM25's list and a dense list of each benchmark item; the vectors with an item's or a document's number stand for its embedding."""
+    v = table(spark, sf, "embeddings")
+    asked = v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    dense = retrieval.top_k_batch(asked, v.join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi"), 20)
+    both = dense.select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return retrieval.reciprocal_rank_fusion(_bm25(spark, sf), both, 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"{_OVERLAP} SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY query_id")
