@@ -114,26 +114,56 @@ def question_counts(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count("*").alias("categories"), F.coalesce(F.sum(F.size("items")), F.lit(0)).cast("long").alias("total_questions"))
 
 
-def static_records(targets: DataFrame, bodies: DataFrame, base: str = "") -> DataFrame:
-    """Targets with their parsed content by kind; bodies: key, body (JSON text, null on failure). A failure fills `error`."""
+#: Categories of questions of a static record, in order.
+FAQ = "array<struct<title:string,items:array<struct<title:string,body:string>>>>"
+
+
+def questions_of(pages: DataFrame, key: str) -> DataFrame:
+    """question_pages, with a column that names their target -> key, faq in the order of positions, categories, total_questions, pdf_links."""
+    items = F.transform("items", lambda q: F.struct(q["title"].alias("title"), q["body"].alias("body")))
+    links = F.flatten(F.transform("items", lambda q: q["pdf_links"]))
+    part = F.struct("position", "cid", "title", items.alias("items"), links.alias("links"))
+    told = pages.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    return told.select(
+        "key",
+        F.transform("_p", lambda p: F.struct(p["title"].alias("title"), p["items"].alias("items"))).cast(FAQ).alias("faq"),
+        F.size("_p").alias("categories"),
+        F.aggregate("_p", F.lit(0), lambda n, p: n + F.size(p["items"])).alias("total_questions"),
+        F.array_distinct(F.flatten(F.transform("_p", lambda p: p["links"]))).alias("faq_links"),
+    )
+
+
+def static_records(targets: DataFrame, bodies: DataFrame, base: str = "", questions: DataFrame | None = None) -> DataFrame:
+    """Targets with their parsed content by kind; bodies: key, body (JSON text, null on failure); questions: questions_of(...)
+    for the targets of kind api_sss. A failure fills `error`, also for kinds that no parser is for."""
     df = targets.select("key", "label", "url", "crawl_type").join(bodies.select("key", "body"), "key", "left")
     df = parse_content(df, "body", base)
-    staff, known = F.col("crawl_type") == "api_staff", F.col("crawl_type").isin("api_staff", "api_json")
+    if questions is not None:
+        df = df.join(questions, "key", "left")
+    else:
+        df = df.withColumns({"faq": F.lit(None).cast(FAQ), "categories": F.lit(0), "total_questions": F.lit(0), "faq_links": F.lit(None).cast("array<string>")})
+    kind = F.col("crawl_type")
+    staff, plain, asked = kind == "api_staff", kind == "api_json", kind == "api_sss"
+    some, told = F.col("body").isNotNull(), F.coalesce(F.size("faq") > 0, F.lit(False))
     people = staff_rows(F.col("body"))
+    counts = F.create_map(F.lit("categories"), F.col("categories").cast("string"), F.lit("total_questions"), F.col("total_questions").cast("string"))
+    none = F.array().cast("array<string>")
     return df.select(
         "key", "label", "url",
-        F.when(F.col("body").isNull() | ~known, None).when(staff, "staff").otherwise("text").alias("content_kind"),
-        F.when(~staff & known & F.col("body").isNotNull(), F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit(EMPTY_CONTENT))).alias("text"),
+        F.when(staff & some, "staff").when(plain & some, "text").when(asked & told, "faq").alias("content_kind"),
+        F.when(plain & some, F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit(EMPTY_CONTENT))).alias("text"),
         F.when(staff, staff_lines(people)).alias("staff_lines"),
-        F.lit(None).cast("array<struct<title:string,items:array<struct<title:string,body:string>>>>").alias("faq"),
-        F.when(staff, F.array().cast("array<string>")).otherwise(F.col("pdf_links")).alias("pdf_links"),
-        F.when(staff, F.create_map(F.lit("count"), F.size(people).cast("string"))).otherwise(F.col("extra")).alias("extra"),
-        F.when(F.col("body").isNull(), NO_DATA).when(~known, "kind without a parser").alias("error"),
+        F.when(asked & told, F.col("faq")).alias("faq"),
+        F.when(staff, none).when(asked, F.coalesce("faq_links", none)).otherwise(F.col("pdf_links")).alias("pdf_links"),
+        F.when(staff, F.create_map(F.lit("count"), F.size(people).cast("string"))).when(asked & told, counts).when(plain, F.col("extra")).alias("extra"),
+        F.when(asked & ~told, NO_QUESTIONS).when((staff | plain) & ~some, NO_DATA).when(~(staff | plain | asked), NO_PARSER).alias("error"),
     )
 
 
-# Text of a record whose content is empty, error of one without data.
-EMPTY_CONTENT, NO_DATA = "[İçerik boş]", "Veri çekilemedi"
+# Text of a record whose content is empty, errors of one without data and of one without questions.
+EMPTY_CONTENT, NO_DATA, NO_QUESTIONS = "[İçerik boş]", "Veri çekilemedi", "SSS verisi çekilemedi"
+#: Error of a kind that is only ever crawled as pages.
+NO_PARSER = "kind without a parser"
 
 
 def announcements(listing: DataFrame, details: DataFrame, url_template: str, base: str = "") -> DataFrame:

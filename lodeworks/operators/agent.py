@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import rewrite_gate, rewrite_or_original, strip, word_count
 from lodeworks.operators.retrieval import source_links
+from lodeworks.operators.shared import written
 
 MAX_ITERATIONS = 2
+#: Messages of a history that reach the model.
+HISTORY = 4
+DIRECT_PROMPT = "You are a helpful assistant. Answer greetings and thanks in a short and friendly way."
+CONTEXT_PROMPT = "Answer from the context alone. Say so if the answer is not in it."
 NO_INFORMATION = "No information on this was found."
 DIRECT_REPLY = "Hello, how can I help you?"
 GREETINGS = ["hello", "hi", "thanks", "thank you", "bye", "merhaba", "selam", "teşekkürler"]
@@ -76,26 +80,45 @@ def searched(questions: DataFrame, hyde: Callable[[Column], Column] | None = Non
     return questions.withColumn("search", hyde(search) if hyde else search)
 
 
+def messages(questions: DataFrame) -> Column:
+    """What a text model is asked, array<struct<role, content>>: the route's instruction, the last HISTORY messages of the
+    question's `history` if there is one, and the question, with its context where the route has one."""
+    row = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    system = F.when(F.col("route") == "direct", DIRECT_PROMPT).otherwise(CONTEXT_PROMPT)
+    user = F.when(F.col("context").isNull(), F.col("question")).otherwise(F.concat(F.lit("CONTEXT:\n"), "context", F.lit("\n\nQUESTION: "), "question"))
+    parts = [F.array(row("system", system)), F.array(row("user", user))]
+    if "history" in questions.columns:
+        said = F.filter(F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>")), lambda m: m["content"].isNotNull())
+        parts.insert(1, F.slice(said, F.greatest(F.size(said) - (HISTORY - 1), F.lit(1)), F.lit(HISTORY)))
+    return F.concat(*parts)
+
+
+def prompt(said: Column) -> Column:
+    """Messages as one text for a model that takes prompts."""
+    return F.array_join(F.transform(said, lambda m: F.concat(F.upper(m["role"]), F.lit(": "), m["content"])), "\n\n")
+
+
 def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], hyde: Callable[[Column], Column] | None = None) -> DataFrame:
-    """questions: question_id, question and perhaps a history (see searched). retrieve adds `context` and perhaps
-    `links` by the column `search`, generate adds `answer`; a direct question without one gets a fixed reply, and
+    """questions: question_id, question and perhaps a history (see searched and messages). retrieve adds `context` and perhaps
+    `links` by the column `search`; generate adds `answer` to rows with question, context and `messages`, on both routes; a direct question without one gets a fixed reply, and
     the first admissible links follow an answer from a context.
 
     Each pass works only on rows that still need one; a direct route ends after its pass. With functions
-    that give the same result twice, a retry changes nothing, so at most MAX_ITERATIONS passes are planned. A pass
-    is kept, as both its ends and its retries read it: a row a question, computed again if an executor is lost.
+    that give the same result twice, a retry changes nothing, so at most MAX_ITERATIONS passes are planned. A pass is
+    written to the shared folder, as both its ends and its retries read it.
     """
     todo = searched(questions, hyde).withColumn("route", route(F.col("question")))
     direct = todo.filter("route = 'direct'").withColumn("context", F.lit(None).cast("string"))
-    done = generate(direct).withColumn("answer", F.coalesce("answer", F.lit(DIRECT_REPLY))).withColumn("iterations", F.lit(1)).withColumn("grade", overlap_grade(F.col("question"), F.col("answer")))
+    done = generate(direct.withColumn("messages", messages(direct))).withColumn("answer", F.coalesce("answer", F.lit(DIRECT_REPLY))).withColumn("iterations", F.lit(1)).withColumn("grade", overlap_grade(F.col("question"), F.col("answer")))
     left = todo.filter("route = 'rag'")
     for n in range(1, MAX_ITERATIONS + 1):
-        tried = generate(retrieve(left)).withColumn("iterations", F.lit(n))
+        found = retrieve(left)
+        tried = generate(found.withColumn("messages", messages(found))).withColumn("iterations", F.lit(n))
         tried = tried.withColumn("answer", F.when(F.col("context").isNull(), NO_INFORMATION).otherwise(F.col("answer"))).withColumn("grade", overlap_grade(F.col("question"), F.col("answer")))
         if "links" in tried.columns:
             links = source_links(F.col("links"))
             tried = tried.withColumn("answer", F.when(F.col("context").isNotNull() & (F.size(links) > 0), F.concat_ws("\n", "answer", F.array_join(links, "\n"))).otherwise(F.col("answer")))
-        tried = tried.persist(StorageLevel.MEMORY_AND_DISK)
+        tried = written(tried)
         end = decide(F.col("grade"), F.col("iterations"))
         done = done.unionByName(tried.filter(end == "end"), allowMissingColumns=True)
         left = tried.filter(end == "retry").select(*questions.columns, "search", "route")

@@ -126,13 +126,18 @@ def _metadata(**columns: Column) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in columns.values())))
 
 
+def merged(base: Column, later: Column) -> Column:
+    """Two maps as one; a key of both has the later map's value, whatever the session says of such keys."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(later, k)), later)
+
+
 def announcement_chunks(records: DataFrame) -> DataFrame:
     """Chunks of bodies and attachments; records have source_url and updated beside the columns of announcement_rows."""
     about = records.select(F.col("id").alias("ann_id"), "title", "updated", F.coalesce("source_url", F.concat(F.lit("announcement:"), F.col("id").cast("string"))).alias("_from"), "attachments")
     rows = announcement_rows(records).join(about, "ann_id")
     own = F.coalesce(F.try_element_at("attachments", F.col("att_index") + 1)["url"], F.col("_from"))
     base = _metadata(category=F.lit("duyuru"), title=F.col("title"), updated=F.col("updated"), ann_id=F.col("ann_id"))
-    more = F.when(F.col("att_index").isNotNull(), F.map_concat(base, _metadata(type=F.lit("pdf_attachment"), att_index=F.col("att_index")))).otherwise(base)
+    more = F.when(F.col("att_index").isNotNull(), merged(base, _metadata(type=F.lit("pdf_attachment"), att_index=F.col("att_index")))).otherwise(base)
     rows = rows.select("doc_id", "text", F.when(F.col("att_index").isNull(), F.col("_from")).otherwise(own).alias("source_url"), more.alias("metadata"))
     return chunk_table(rows, F.col("text"), F.lit(ANNOUNCEMENTS), F.col("doc_id"), ["source_url", "metadata"])
 
@@ -147,13 +152,13 @@ def static_chunks(records: DataFrame) -> DataFrame:
 def chunk_all(announcements: DataFrame, statics: DataFrame, created_at: Column) -> DataFrame:
     """Chunks of both, with one creation time for the whole run, and chunk_index and total_chunks in the metadata."""
     both = announcement_chunks(announcements).unionByName(static_chunks(statics))
-    return both.withColumn("created_at", created_at).withColumn("metadata", F.map_concat("metadata", _metadata(chunk_index=F.col("chunk_index"), total_chunks=F.col("total_chunks"))))
+    return both.withColumn("created_at", created_at).withColumn("metadata", merged(F.col("metadata"), _metadata(chunk_index=F.col("chunk_index"), total_chunks=F.col("total_chunks"))))
 
 
 def payload(chunks: DataFrame) -> Column:
-    """The stored payload: base fields, then the metadata, whose values win (session: mapKeyDedupPolicy LAST_WIN)."""
+    """The stored payload: base fields, then the metadata, whose values win."""
     base = ("text", "source_url", "source_key", "doc_id", "chunk_index", "created_at")
-    return F.map_concat(_metadata(**{c: F.col(c) for c in base}), "metadata")
+    return merged(_metadata(**{c: F.col(c) for c in base}), F.col("metadata"))
 
 
 @F.udtf(returnType="chunk_index int, text string")

@@ -91,6 +91,25 @@ def static_dispatch(spark, sf):
     return parsing.static_records(targets, bodies).select("key", F.col("content_kind").alias("kind"), "text", "error", F.size("staff_lines").alias("n_staff"))
 
 
+_FAQ = """WITH q AS (SELECT s_nationkey AS n, count(*) AS many, string_agg('### ' || trim(s_name) || chr(10) || chr(10) || trim(s_name) || chr(10) || 'x', chr(10) || chr(10) ORDER BY s_suppkey) AS items FROM supplier GROUP BY s_nationkey),
+c AS (SELECT n_regionkey, n, many, '## ' || CASE WHEN n = 0 THEN 'Sıkça Sorulan Sorular (Genel)' WHEN n % 2 = 0 THEN n_name ELSE (n + 1)::VARCHAR END || chr(10) || chr(10) || items AS block FROM q JOIN nation ON n_nationkey = n)
+SELECT 'k' || n_regionkey AS key, 'faq' AS kind, count(*)::INT AS categories, sum(many)::INT AS total_questions, string_agg(block, chr(10) || chr(10) ORDER BY n) AS text, NULL AS error FROM c WHERE n_regionkey < 3 GROUP BY n_regionkey
+UNION ALL SELECT 'k3', NULL, NULL, NULL, NULL, 'kind without a parser' UNION ALL SELECT 'k4', NULL, NULL, NULL, NULL, 'SSS verisi çekilemedi'"""
+
+
+@query(_FAQ)
+def faq_dispatch(spark, sf):
+    """Regions as targets of kind api_sss: their nations as categories, suppliers as questions; one has none, one is of a kind without a parser."""
+    r = table(spark, sf, "region").select(F.concat(F.lit("k"), F.col("r_regionkey").cast("string")).alias("key"), "r_regionkey")
+    targets = r.select("key", F.lit("l").alias("label"), F.lit("u").alias("url"), F.when(F.col("r_regionkey") == 3, "html_static").otherwise("api_sss").alias("crawl_type"))
+    nations = table(spark, sf, "nation").filter("n_regionkey <> 4").select((F.col("n_nationkey") + 1).alias("cid"), F.concat(F.lit("k"), F.col("n_regionkey").cast("string")).alias("key"))
+    asked = parsing.questions_of(_questions(spark, sf).join(nations, "cid"), "key")
+    rec = parsing.static_records(targets, r.select("key", F.lit(None).cast("string").alias("body")), questions=asked)
+    text = chunking.static_text(F.col("label"), F.col("content_kind"), F.col("text"), F.col("staff_lines"), F.col("faq"))
+    number = lambda k: F.col("extra")[k].cast("int").alias(k)
+    return rec.select("key", F.col("content_kind").alias("kind"), number("categories"), number("total_questions"), text.alias("text"), "error")
+
+
 def _announcements(spark, sf):
     """Parts as announcements, each with three attachments: a usable one, one that couldn't be read, an empty one."""
     att = lambda text: F.struct(F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"), F.lit("pdf").alias("type"), text.alias("content"))
@@ -115,13 +134,13 @@ def announcement_chunks(spark, sf):
     return df.select("doc_id", "source_url", "text", F.coalesce(F.col("metadata")["type"], F.lit("")).alias("type"), F.col("metadata")["title"].alias("title"))
 
 
-@query("SELECT 'k' || r_regionkey AS doc_id, 'statik' AS category, 'late' AS text_key, 1 AS total, r_name || chr(10) || chr(10) || repeat(r_name, 20) AS text FROM region WHERE length(r_name || repeat(r_name, 20)) BETWEEN 80 AND 990")
+@query(f"SELECT doc_id, 'duyuru' AS category, 'late' AS text_key, 1 AS total, text FROM ({_CHUNKS}) UNION ALL SELECT 'k' || r_regionkey, 'statik', 'late', 1, r_name || chr(10) || chr(10) || repeat(r_name, 20) FROM region WHERE length(r_name || repeat(r_name, 20)) BETWEEN 80 AND 990")
 def payload_flatten(spark, sf):
-    """Static chunks with their payload: base fields, then metadata, whose values win."""
+    """Chunks of announcements and static records with their payload: base fields, then metadata, whose values win."""
     r = table(spark, sf, "region")
-    rec = r.select(F.concat(F.lit("k"), F.col("r_regionkey").cast("string")).alias("key"), F.col("r_name").alias("label"), F.lit("u").alias("url"), F.lit("text").alias("content_kind"), F.repeat("r_name", 20).alias("text"), F.array().cast("array<string>").alias("staff_lines"), F.array().cast("array<struct<title:string,items:array<struct<title:string,body:string>>>>").alias("faq"))
-    df = chunking.chunk_all(_announcements(spark, sf).limit(0), rec, F.lit("2024-01-01T00:00:00Z"))
-    df = df.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("source_key"), F.lit("late"))))
+    rec = r.select(F.concat(F.lit("k"), F.col("r_regionkey").cast("string")).alias("key"), F.col("r_name").alias("label"), F.lit("u").alias("url"), F.lit("text").alias("content_kind"), F.repeat("r_name", 20).alias("text"), F.array().cast("array<string>").alias("staff_lines"), F.lit(None).cast(parsing.FAQ).alias("faq"))
+    df = chunking.chunk_all(_announcements(spark, sf), rec, F.lit("2024-01-01T00:00:00Z"))
+    df = df.withColumn("metadata", chunking.merged(F.col("metadata"), F.create_map(F.lit("source_key"), F.lit("late"))))
     p = chunking.payload(df)
     return df.select("doc_id", p["category"].alias("category"), p["source_key"].alias("text_key"), p["total_chunks"].cast("int").alias("total"), p["text"].alias("text"))
 

