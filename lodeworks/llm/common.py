@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple] = []
+_settled = 0.0
+#: Seconds between two collections of the driver's garbage, at least.
+SETTLE_S = 2.0
 #: A key is hot with more than one in so many of all rows.
 HOT_SHARE = 1000
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -49,6 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     _made.append((spark, path))
+    _settle(spark)
     held = spark.read.schema(df.schema).parquet(path)
     held._lodeworks_cut = path
     return held
@@ -71,12 +76,20 @@ def join_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total:
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind the table that cut() returned, when no later step reads its rows.
+    """Delete the files behind the table that cut() returned, when no later step reads its rows."""
+    _delete(df.sparkSession, df._lodeworks_cut)
+
 
-    The driver's JVM collects garbage then: Spark frees what the finished steps' plans, broadcasts and shuffles hold only after that.
+def _settle(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage between steps, at most once in SETTLE_S seconds.
+
+    Spark frees what finished steps' plans, broadcasts and shuffles hold on to only after a collection, and a heap that
+    is never collected whole grows to its limit, however little of it is in use.
     """
-    _delete(df.sparkSession, df._lodeworks_cut)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    global _settled
+    if time.monotonic() - _settled >= SETTLE_S:
+        spark.sparkContext._jvm.System.gc()
+        _settled = time.monotonic()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

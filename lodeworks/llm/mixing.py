@@ -107,16 +107,17 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     top = leaves.groupBy(d).agg(cap.alias("cap"), wide(F.sum("tokens")).alias("t")).withColumn("w", _weight(mix.domain, d))
     whole = F.sum("t").over(Window.partitionBy())
     top = top.withColumn("b", wide(F.least(F.expr(f"cast(0 as decimal(38,0))") + F.floor(whole * num / den), F.sum("cap").over(Window.partitionBy()))))
-    top = _fill(top, [], d).select(d, F.col("budget").alias("b"))
+    top = cut(_fill(top, [], d).select(d, F.col("budget").alias("b")))  # a filled level is read twice by the next: as a table it is planned once
     mid = leaves.groupBy(d, lang).agg(cap.alias("cap")).withColumn("w", _weight(mix.language, lang)).join(top, d)
-    mid = _fill(mid, [d], lang).select(d, lang, F.col("budget").alias("b"))
+    mid = cut(_fill(mid, [d], lang).select(d, lang, F.col("budget").alias("b")))
     low = leaves.withColumn("cap", wide(F.col("tokens") * mix.epochs)).withColumn("w", _weight(mix.origin, o)).join(mid, [d, lang])
     return _fill(low, [d, lang], o).select(*LEVELS, "tokens", F.col("budget").cast("long").alias("budget"))
 
 
 def cutoffs(slim: DataFrame, mix: Mix) -> DataFrame:
     """slim: doc_id, LEVELS, tokens. For each leaf and epoch that takes rows: the last order key it takes."""
-    leaves = cut(budgets(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), mix))
+    leaves = cut(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"))
+    leaves = cut(budgets(leaves, mix))
     keyed = slim.withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in range(mix.epochs))))).withColumn("key", order_key(mix, F.col("epoch")))
     keyed = keyed.withColumn("bin", F.substring("key", 1, 3))
     rest = F.least(F.greatest(F.col("budget") - F.col("epoch") * F.col("leaf_tokens"), F.lit(0)), F.col("leaf_tokens"))

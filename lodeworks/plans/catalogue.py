@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.functions.html import html_udf
 from lodeworks.operators import agent, ann, chunking, lexical, memory, metrics, retrieval, store
+from lodeworks.operators.shared import shared_folder
 from lodeworks.plans.registry import ORACLE_SQL, QUERIES, query
 from lodeworks.session import table
 from lodeworks.sources import catalog, exports
@@ -237,6 +240,21 @@ def upsert_latest(spark, sf):
     return store.upsert(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "v").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 > 0),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE (o_orderkey % 3 > 0 OR o_orderkey % 5 = 0) AND o_custkey % 7 > 0)
+SELECT o_orderkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change, round(a.o_totalprice::DOUBLE, 2) AS before, round(b.o_totalprice::DOUBLE, 2) AS after FROM a FULL OUTER JOIN b USING (o_orderkey) WHERE a.o_totalprice IS DISTINCT FROM b.o_totalprice""")
+def store_changes(spark, sf):
+    """What an upsert and a delete changed in a stored table, between two of its versions."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    kept = store.ChunkStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 16)
+    kept.upsert(o.filter("o_orderkey % 3 > 0").withColumn("v", F.lit(1)), ["o_orderkey"], "v")
+    first = kept._numbers()[-1]
+    kept.upsert(o.filter("o_orderkey % 5 = 0").withColumn("o_totalprice", (F.col("o_totalprice") + 1).cast(o.schema["o_totalprice"].dataType)).withColumn("v", F.lit(2)), ["o_orderkey"], "v")
+    kept.delete(F.col("o_custkey") % 7 == 0)
+    price = lambda c: F.round(F.col(c)["o_totalprice"].cast("double"), 2).alias(c)
+    return kept.changes(first, kept._numbers()[-1]).select("o_orderkey", "change", price("before"), price("after"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src1'")
 def delete_by_key(spark, sf):
     return store.delete_where(table(spark, sf, "documents").select("doc_id", "source"), F.col("source") == "src1")

@@ -67,5 +67,10 @@ def first_puts(puts: DataFrame, key: str, ttl: str = "30 minutes") -> DataFrame:
 
 
 def upsert_stream(rows: DataFrame, store: ChunkStore, key: list[str], version: str, checkpoint: str):
-    """Each batch is upserted by key, so a batch that is delivered twice changes nothing."""
-    return rows.writeStream.foreachBatch(lambda df, _: store.upsert(df, key, version)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Each batch is upserted by key, fenced by the query's id and the batch's number: one that is delivered again, or
+    after a newer one, changes nothing. The id lives in the checkpoint, so it outlasts restarts."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        store.upsert(df, key, version, (df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), batch))
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
