@@ -10,7 +10,7 @@ from lodeworks.functions.html import page_udf
 from lodeworks.operators import chunking, metrics
 from lodeworks.plans.registry import query
 from lodeworks.session import table
-from lodeworks.sources import catalog, pages
+from lodeworks.sources import catalog, crawl, pages
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -151,6 +151,18 @@ def pruned_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", page_udf("https://example.com")("html").alias("p")).select("page_id", "p.text", F.size("p.pdf_links").alias("n_pdf"))
 
 
+@query("""WITH RECURSIVE l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages),
+e AS (SELECT DISTINCT 'https://example.com' || ls[1] AS src, 'https://example.com' || unnest(ls) AS dst FROM l WHERE len(ls) > 0),
+c AS (SELECT min(src) AS url, 0 AS depth FROM e UNION SELECT dst, depth + 1 FROM c JOIN e ON src = url WHERE depth < 3)
+SELECT url, min(depth) AS depth FROM c GROUP BY url""")
+def crawl_depths(spark, sf):
+    """A crawl of three rounds. A page answers at the address of the first link on it, so an address may have several."""
+    p = table(spark, sf, "pages").select("html", F.get(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), F.lit(0)).alias("first")).filter("first IS NOT NULL")
+    site = p.select("html", F.concat(F.lit("https://example.com"), "first").alias("url"))
+    seeds = site.agg(F.min("url").alias("url"))
+    return crawl.crawl(seeds, lambda asked: site.join(asked, "url"), 3)
+
+
 @query("SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
 def never_seen(spark, sf):
     p = table(spark, sf, "pages")
