@@ -50,11 +50,10 @@ def cache_lookup(probes: DataFrame, entries: DataFrame, least: float = SIMILARIT
     """probes (probe_id, vec) with the live entry (entry_id, vec, answer) of highest cosine, if it is at least `least` and
     positive; ties go to the smaller entry. exclude_own: an entry with the probe's own id is no candidate.
 
-    Only ids and vectors meet in blocks; answers are joined to the hits.
+    Only ids and vectors meet, in rings around pivots that the threshold leaves in reach; answers are joined to the hits.
     """
-    from lodeworks.operators.retrieval import top_k_batch
+    from lodeworks.operators.threshold import nearest_within
 
     e = entries.filter(F.col("answer").isNotNull() & (F.col("answer") != ""))
-    best = top_k_batch(probes.select(F.col("probe_id").alias("query_id"), F.col("vec").alias("query_vec")), e.select(F.col("entry_id").alias("vec_id"), F.col("vec").alias("embedding")), 1, exclude_own)
-    hits = best.filter((F.col("score") >= least) & (F.col("score") > 0)).select(F.col("query_id").alias("probe_id"), F.col("vec_id").alias("entry_id"), "score")
+    hits = nearest_within(probes.select("probe_id", "vec"), e.select("entry_id", "vec"), least, exclude_own)
     return hits.join(e.select("entry_id", "answer"), "entry_id").select("probe_id", "entry_id", "score", "answer")

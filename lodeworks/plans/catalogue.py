@@ -106,20 +106,25 @@ def _lookup_sql(least):
     return f"SELECT probe_id, entry_id, score, answer FROM (SELECT q.vec_id AS probe_id, e.vec_id AS entry_id, {_COS} AS score, 'a' || e.vec_id AS answer, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id WHERE {_COS} >= {least} AND {_COS} > 0) WHERE r = 1"
 
 
-def _lookup(spark, sf, least):
-    v = table(spark, sf, "embeddings")
-    entries = v.select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"))
-    return memory.cache_lookup(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("vec")), entries, least, exclude_own=True)
+def _entries(v):
+    return v.select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"))
+
+
+_MOVED = "list_transform(embedding, lambda x, i: CASE WHEN i <= 8 THEN x::DOUBLE + CASE WHEN vec_id % 200 = 0 THEN 0.05 ELSE 0.25 END ELSE x::DOUBLE END)"
 
 
-@query(_lookup_sql(0.95))
+@query(f"SELECT probe_id, entry_id, score, answer FROM (SELECT q.vec_id AS probe_id, e.vec_id AS entry_id, {_COS} AS score, 'a' || e.vec_id AS answer, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM (SELECT vec_id, {_MOVED} AS embedding FROM embeddings WHERE vec_id % 100 = 0) q CROSS JOIN embeddings e WHERE {_COS} >= 0.95 AND {_COS} > 0) WHERE r = 1")
 def cache_lookup(spark, sf):
-    return _lookup(spark, sf, memory.SIMILARITY)
+    """Probes are every hundredth vector, moved a little or farther: half of them still meet what they came from."""
+    v = table(spark, sf, "embeddings")
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i < 8, F.when(F.col("vec_id") % 200 == 0, 0.05).otherwise(0.25)).otherwise(0.0))
+    return memory.cache_lookup(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("probe_id"), moved.alias("vec")), _entries(v))
 
 
 @query(_lookup_sql(0.35))
 def cache_lookup_loose(spark, sf):
-    return _lookup(spark, sf, 0.35)
+    v = table(spark, sf, "embeddings")
+    return memory.cache_lookup(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("vec")), _entries(v), 0.35, exclude_own=True)
 
 
 def _puts(spark, sf):
