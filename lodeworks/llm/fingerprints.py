@@ -61,13 +61,17 @@ def locate(one: Column, other: Column) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with next_<c> for each of columns: its value in the next row by descending doc_id; the last row's next is the first.
+    """docs with next_<c> for each of columns, in place of columns of these names: its value in the next row by descending doc_id; the last row's next is the first.
 
     One shuffle: rows go by range of doc_id, with the top row of the range below added to each range,
     so a window needs no row of another range. Ranges hold about equal counts (quantiles of doc_id),
     their number is bounded by the shuffle partitions, and only their bounds come to the driver.
     """
     spark = docs.sparkSession
+    # columns of docs travel under names of our own, so none can clash with what is made here
+    names = [c for c in docs.columns if c not in {f"next_{x}" for x in columns}]
+    inner = {c: "doc_id" if c == "doc_id" else f"in{i}" for i, c in enumerate(names)}
+    docs, order_by = docs.select(*(F.col(c).alias(inner[c]) for c in names)), [inner[c] for c in columns]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES_A_PARTITION
     cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -80,9 +84,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     edges = docs.filter(F.col("doc_id").isin(list(above)))
     to = F.element_at(F.create_map(*(F.lit(x) for kv in above.items() for x in kv)), F.col("doc_id")) if above else F.lit(0)
     both = placed.withColumn("_extra", F.lit(0)).unionByName(edges.withColumn("_range", to.cast("int")).withColumn("_extra", F.lit(1)))
-    w = Window.partitionBy("_range").orderBy("_extra", F.col("doc_id").desc_nulls_last(), *columns)
-    ahead = both.repartition(ranges, "_range").withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return ahead.filter("_extra = 0").drop("_range", "_extra")
+    w = Window.partitionBy("_range").orderBy("_extra", F.col("doc_id").desc_nulls_last(), *order_by)
+    ahead = both.repartition(ranges, "_range").withColumns({f"next{i}": F.lead(inner[c]).over(w) for i, c in enumerate(columns)})
+    return ahead.filter("_extra = 0").select(*(F.col(inner[c]).alias(c) for c in names), *(F.col(f"next{i}").alias(f"next_{c}") for i, c in enumerate(columns)))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +118,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"),
+        locate(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_at"),
     )

@@ -93,14 +93,17 @@ def version_of(path: str) -> str:
 
 
 def count_tokens(docs: DataFrame, cache: str, tokenizer: str, fast: str | None = None, text: str = "text") -> DataFrame:
-    """docs (without columns named as the new ones) with n_bytes and n_tokens of each text.
+    """docs with n_bytes and n_tokens of each text, in place of columns of these names.
 
     cache: a folder that driver and executors share; made if missing. tokenizer: a file that every machine has.
     """
     spark, version = docs.sparkSession, version_of(tokenizer)
     bounded_batches(spark)
-    held = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
-    body = F.coalesce(F.col(text), F.lit(""))
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
+    # columns of docs travel under names of our own, so none can clash with what is made here
+    held = [f"in{i}" for i in range(len(names))]
+    docs = docs.select(*(F.col(c).alias(h) for c, h in zip(names, held)), F.col(text).alias("_text"))
+    body = F.coalesce(F.col("_text"), F.lit(""))
     digest = F.unhex(F.sha2(body, 256))
     stored_at = f"{cache.rstrip('/')}/{version}"
     schema = "content binary, n_tokens long"
@@ -121,7 +124,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, fast: str | None =
     # A row whose count is known already goes anywhere: a longer key has no equal in the cache.
     spread = F.when(F.col("__lw_hot").isNull(), F.col("__lw_key")).otherwise(F.concat("__lw_key", F.unhex(F.hex(F.xxhash64(*held)))))
     joined = slim.withColumn("__lw_key", spread).join(known.withColumnRenamed("content", "__lw_key"), "__lw_key", "left")
-    return joined.select(*held, F.col("__lw_bytes").alias("n_bytes"), F.coalesce("__lw_hot", "_tokens").alias("n_tokens"))
+    return joined.select(*(F.col(h).alias(c) for c, h in zip(names, held)), F.col("__lw_bytes").alias("n_bytes"), F.coalesce("__lw_hot", "_tokens").alias("n_tokens"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,14 +126,16 @@ def listed_in(key: Column, levels: list[Level]) -> Column:
 def judge_urls(pages: DataFrame, url: str, rules=RULES) -> DataFrame:
     """pages with host, path, rule (longest fitting, longer host first among equals; null if none) and verdict."""
     held = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    df = pages.select(*held, F.col(url).alias("_url"))
+    # columns of pages travel under names of our own, so none can clash with what is made here
+    kept = [F.col(c).alias(f"in{i}") for i, c in enumerate(held)]
+    df = pages.select(*kept, F.col(url).alias("_url"))
     df = df.withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url"))).drop("_url")
     df = df.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), rules))
     universe = df.select(F.explode("_keys").alias("k")).select("k.key")
     cascades = {action: build_cascade([h + p for a, h, p in rules if a == action], universe) for action in ("allow", "block")}
     judged = F.transform("_keys", lambda k: F.struct(k["n"].alias("n"), k["h"].alias("h"), k["key"].alias("key"), listed_in(k["key"], cascades["allow"]).alias("allow"), listed_in(k["key"], cascades["block"]).alias("block")))
     df = df.withColumn("_best", F.array_max(F.filter(judged, lambda k: k["allow"] | k["block"])))
-    return df.select(*held, "host", "path", F.col("_best.key").alias("rule"), F.when(F.col("_best.block"), "block").otherwise("allow").alias("verdict"))
+    return df.select(*(F.col(f"in{i}").alias(c) for i, c in enumerate(held)), "host", "path", F.col("_best.key").alias("rule"), F.when(F.col("_best.block"), "block").otherwise("allow").alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

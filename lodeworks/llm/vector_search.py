@@ -13,8 +13,8 @@ and the search stops when none is left. All scores are integers and exact; bound
 Pivots are fitted on at most SAMPLE vectors (those with the smallest hashes of ids, which alone are ordered);
 any pivots give exact results. What comes to the driver: pivots, and a row for each annulus (PIVOTS * ANNULI at most).
 
-Defined results: vectors null, empty or holding null or non-finite components take no part; of vectors
-of different lengths the missing components count as 0; ties go to the smaller id; components saturate
+Defined results: vectors null or holding null or non-finite components take no part; of vectors of different
+lengths the missing components count as 0, so an empty one has score 0 with all; ties go to the smaller id; components saturate
 at +-2^62 and scores at +-(2^63 - 2), beyond which a long holds no score; repeated ids are separate candidates, and all query rows of one id, equal or not, are one
 query: its result is the k highest scores of any of them, a candidate counting once for each row, as in SQL;
 an empty table gives an empty one; columns beyond id and vector aren't read, so their names can't clash.
@@ -32,14 +32,16 @@ from .common import cut, table
 SAMPLE, PIVOTS, ANNULI = 2048, 32, 16
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Annuli expanded by the end of each round; the last round takes all that are left.
-ROUNDS = (1, 8, None)
+ROUNDS = (1, 4, 16, 64, None)
+#: Tasks that merge partial results of one block of queries before the last one does.
+MERGERS = 16
 _MOST = 2**62
 
 
 def quantised(vectors: DataFrame, vec_id: str, vec: str, scale: int) -> DataFrame:
     """vec_id, v array<bigint> of floor(scale * x) for vectors that take part."""
     x = F.col(vec)
-    ok = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
+    ok = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     clip = lambda c: F.greatest(F.least(F.floor(c.cast("double") * scale), F.lit(_MOST)), F.lit(-_MOST))
     return vectors.filter(ok & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, clip).alias("v"))
 
@@ -156,7 +158,7 @@ def _merger(k: int):
         key, state, rows = None, None, 0
 
         def out():
-            return pd.DataFrame({"qb": [key], "scores": [state[0].tobytes()], "found": [state[1].tobytes()]})
+            return pd.DataFrame({"qb": [key], "n": [rows], "scores": [state[0].tobytes()], "found": [state[1].tobytes()]})
 
         for pdf in batches:
             for r in pdf.itertuples():
@@ -209,6 +211,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
     schema = "query_id long, rank int, vec_id long, score long"
     if dim is None:
         return spark.createDataFrame([], schema)
+    dim = max(dim, 1)
     chosen = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = _matrix([r["v"] for r in rows.join(F.broadcast(chosen), "vec_id", "left_semi").dropDuplicates(["vec_id"]).collect()], dim)
     pivots = fit_pivots(_lifted(sample, most), PIVOTS)
@@ -248,7 +251,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
         new = todo.mapInPandas(_searcher(dim, k), "qb long, scores binary, found binary")
         new = new if state is None else new.unionByName(state)
         new = new.join(queries.select(F.col("block").alias("qb"), "n"), "qb")
-        state = cut(new.repartition("qb").sortWithinPartitions("qb").mapInPandas(_merger(k), "qb long, scores binary, found binary"))
+        # in two levels, so that no task gets all partial results of a block of queries
+        merged, salt = "qb long, n int, scores binary, found binary", F.pmod(F.xxhash64("found"), F.lit(MERGERS))
+        some = new.repartition(F.col("qb"), salt).sortWithinPartitions("qb").mapInPandas(_merger(k), merged)
+        state = cut(some.repartition("qb").sortWithinPartitions("qb").mapInPandas(_merger(k), merged).drop("n"))
         first = until
     def answer(batches):
         for pdf in batches:
@@ -271,10 +277,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.e) = len(c.e) AND len(q.e) > 0 THEN list_inner_product(q.e, c.e) ELSE coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) END AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20

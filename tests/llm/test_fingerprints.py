@@ -33,3 +33,11 @@ def test_tree(spark):
 
 def test_empty_table(spark):
     assert fp.with_next(spark.createDataFrame([], "doc_id long, text string"), ["text"]).count() == 0
+
+
+def test_no_column_name_clashes(spark):
+    names = ["_range", "_extra", "in0", "in1", "next0", "next_text"]
+    df = spark.createDataFrame([(1, "a", *range(6)), (2, "b", *range(10, 16))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = {r["doc_id"]: r for r in fp.with_next(df, ["text"]).collect()}
+    assert got[2]["next_text"] == "a" and got[1]["next_text"] == "b"
+    assert [got[1][n] for n in names[:5]] == [0, 1, 2, 3, 4] and [got[2][n] for n in names[:5]] == [10, 11, 12, 13, 14]

@@ -56,3 +56,29 @@ def test_cache_is_used_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([("zz",)], "t string").select(F.unhex(F.sha2("t", 256)).alias("content"), F.lit(77).cast("long").alias("n_tokens")).write.mode("append").parquet(at)
     assert token_counts.count_tokens(spark.createDataFrame([(5, "zz")], docs.schema), cache, path).first()["n_tokens"] == 77
     assert token_counts.count_tokens(docs.limit(0), cache, path).count() == 0
+
+
+def test_no_column_name_clashes(spark, tmp_path):
+    import public_tokenizers
+
+    from lodeworks.llm import token_counts as tc
+
+    names = ["_tokens", "__lw_key", "__lw_bytes", "__lw_hot", "content", "body", "in0", "_text", "n_bytes"]
+    df = spark.createDataFrame([("a b", *range(9)), ("c", *range(10, 19))], "text string, " + ", ".join(f"{n} int" for n in names))
+    got = {r["text"]: r for r in tc.count_tokens(df, str(tmp_path / "c"), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert [got["a b"][n] for n in names[:8]] == list(range(8)) and got["a b"]["n_bytes"] == 3 and got["c"]["n_tokens"] == 1
+
+
+def test_both_encoders_agree_on_each_side_of_the_length_they_part_at(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    from lodeworks.llm import token_counts as tc
+
+    texts = [("ab cd. " * 20)[:n] for n in (63, 64, 65, 66)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    own, fast = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(tc, "_LONG", 64)
+    tc._made.clear()
+    counts = [{r["id"]: r["n_tokens"] for r in tc.count_tokens(df, str(tmp_path / f"c{k}"), own, f).collect()} for k, f in enumerate((None, fast))]
+    tc._made.clear()
+    assert counts[0] == counts[1]

@@ -30,3 +30,13 @@ def test_no_rules_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert uf.judge_urls(df, "url", [("block", "zz", "/")]).first()["verdict"] == "allow"
     assert uf.judge_urls(df.limit(0), "url").count() == 0
+
+
+def test_no_column_name_clashes(spark):
+    from lodeworks.llm import url_filters as uf
+
+    names = ["_url", "_keys", "_best", "in0", "in1", "host", "key", "k"]
+    df = spark.createDataFrame([("http://a.example.com/en/x", *range(len(names)))], "url string, " + ", ".join(f"{n} int" for n in names))
+    got = uf.judge_urls(df, "url").first()
+    assert [got[n] for n in names if n != "host"] == [i for i, n in enumerate(names) if n != "host"]
+    assert got["host"] == "a.example.com" and got["rule"] == "example.com/en/" and got["verdict"] == "block"
