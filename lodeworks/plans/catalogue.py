@@ -375,6 +375,25 @@ def due_targets(spark, sf):
     return catalog.due(table(spark, sf, "events").select("event_id", "ts")).select("event_id", "frequency")
 
 
+_WALL = "timezone('Europe/Istanbul', timezone('UTC', {0}))"
+_FIRES = "CASE frequency WHEN 'daily' THEN date_trunc('day', {0} - INTERVAL 2 HOUR) + INTERVAL 2 HOUR WHEN 'weekly' THEN date_trunc('week', {0} - INTERVAL 3 HOUR) + INTERVAL 3 HOUR ELSE date_trunc('month', {0} - INTERVAL 4 HOUR) + INTERVAL 4 HOUR END"
+_SINCE = "CASE frequency WHEN 'daily' THEN date_diff('day', b, a) WHEN 'weekly' THEN date_diff('day', b, a) // 7 ELSE date_diff('month', b, a) END"
+
+
+@query(f"""WITH runs AS (SELECT ['daily', 'weekly', 'monthly'][user_id % 3 + 1] AS frequency, ts FROM events WHERE event_type = 'click' AND event_id % 50 = 0),
+t AS (SELECT event_id, e.ts, f.frequency FROM events e CROSS JOIN (SELECT unnest(['daily', 'weekly', 'monthly']) AS frequency) f WHERE event_type <> 'click'),
+j AS (SELECT t.event_id, t.ts, t.frequency, runs.ts AS last_run FROM t ASOF LEFT JOIN runs ON t.frequency = runs.frequency AND t.ts >= runs.ts),
+k AS (SELECT *, {_FIRES.format(_WALL.format('ts'))} AS a, {_FIRES.format(_WALL.format('last_run'))} AS b FROM j),
+m AS (SELECT event_id, frequency, CASE WHEN last_run IS NULL THEN 1 ELSE {_SINCE} END::BIGINT AS missed, (floor(epoch(ts)) - epoch(timezone('UTC', timezone('Europe/Istanbul', a))))::BIGINT AS late_s FROM k)
+SELECT *, missed > 0 AND late_s <= CASE frequency WHEN 'monthly' THEN 7200 ELSE 3600 END AS run FROM m""")
+def missed_runs(spark, sf):
+    """Clicks with every fiftieth number are the run log, all other events the ticks."""
+    e = table(spark, sf, "events")
+    job = F.element_at(F.array(*(F.lit(x[0]) for x in catalog.SCHEDULE)), (F.col("user_id") % 3 + 1).cast("int"))
+    log = e.filter("event_type = 'click' AND event_id % 50 = 0").select(job.alias("frequency"), "ts")
+    return catalog.missed_runs(e.filter("event_type <> 'click'").select("event_id", "ts"), log).select("event_id", "frequency", "missed", "late_s", "run")
+
+
 @query(r"SELECT page_id, CASE WHEN f = '' THEN 'document' ELSE f END AS name FROM (SELECT page_id, regexp_replace(split_part(list_last(string_split(url, '/')), '?', 1), '[^\w.\-]', '_', 'g') AS f FROM pages)")
 def safe_filename(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
