@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,18 +28,29 @@ class SessionKeeper(StatefulProcessor):
         self.handle = handle
         self.messages = handle.getListState("messages", _MESSAGE)
 
+    def handleInitialState(self, key, initialState, timerValues):
+        """Messages of before the stream, in one part or several: its first batch goes on from them."""
+        self._put(self._with([initialState]), timerValues)
+
     def handleInputRows(self, key, rows, timerValues):
+        held = self._with(rows)
+        self._put(held, timerValues)
+        yield self._row(key, held, False)
+
+    def _with(self, rows) -> list[tuple]:
+        """The last messages of state and rows, a bounded heap of them; those before a gap beyond the time to live are another history."""
         held = [tuple(x) for x in self.messages.get()] if self.messages.exists() else []
-        more = sorted((int(t.timestamp() * 1000), r, x) for pdf in rows for t, r, x in zip(pdf["ts"], pdf["role"], pdf["text"]))
-        for m in more:
-            if held and m[0] - held[-1][0] > self.ttl_ms:
-                held = []
-            held = sorted([*held, m], key=lambda x: x[0])[-self.most :]
+        for pdf in rows:
+            held = heapq.nlargest(self.most, [*held, *((int(t.timestamp() * 1000), r, x) for t, r, x in zip(pdf["ts"], pdf["role"], pdf["text"]))])
+        held = sorted(held)[-self.most :]
+        gaps = [i for i in range(1, len(held)) if held[i][0] - held[i - 1][0] > self.ttl_ms]
+        return held[gaps[-1] :] if gaps else held
+
+    def _put(self, held, timerValues) -> None:
         self.messages.put(held)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(max(held[-1][0] + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._row(key, held, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = [tuple(x) for x in self.messages.get()]
@@ -51,14 +64,26 @@ class SessionKeeper(StatefulProcessor):
         pass
 
 
-def session_stream(turns: DataFrame, ttl_s: int = SESSION_TTL_S, most: int = HISTORY_MAX, delay: str = "1 hour") -> DataFrame:
+def session_stream(turns: DataFrame, ttl_s: int = SESSION_TTL_S, most: int = HISTORY_MAX, delay: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
     """The history of each session after each batch that writes to it, and a last row as it runs out.
 
-    turns: session_id, ts, role, text. The time to live runs from the last write, in event time; the last `most`
-    messages stay. The session must use the RocksDB state store (ROCKSDB).
+    turns: session_id, ts, role, text; initial: the same of a batch table, the state that the stream begins with. The time to live
+    runs from the last write, in event time; the last `most` messages stay. The session must use the RocksDB state store (ROCKSDB).
     """
-    rows = turns.select("session_id", F.col("ts").cast("timestamp").alias("ts"), "role", "text").withWatermark("ts", delay)
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionKeeper(ttl_s * 1000, most), _OUT, "Append", "EventTime")
+    columns = lambda df: df.select("session_id", F.col("ts").cast("timestamp").alias("ts"), "role", "text")
+    rows = columns(turns).withWatermark("ts", delay)
+    begun = columns(initial).groupBy("session_id") if initial is not None else None
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionKeeper(ttl_s * 1000, most), _OUT, "Append", "EventTime", begun)
+
+
+def session_state(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """What a session stream remembers, from its checkpoint alone, after its newest batch or that of a number: session_id,
+    history array<struct<role, text>> (oldest first), message_count and last_ts. The stream may go on meanwhile."""
+    state = spark.read.format("statestore").option("stateVarName", "messages")
+    state = (state.option("batchId", batch) if batch is not None else state).load(checkpoint)
+    parts = F.array_sort(F.collect_list(F.struct(F.col("list_element.ts").alias("ts"), F.col("list_element.role").alias("role"), F.col("list_element.text").alias("text"))))
+    held = state.groupBy(F.col("key.session_id").alias("session_id")).agg(parts.alias("m"))
+    return held.select("session_id", F.transform("m", lambda m: F.struct(m["role"], m["text"])).alias("history"), F.size("m").alias("message_count"), F.timestamp_millis(F.array_max(F.transform("m", lambda m: m["ts"]))).alias("last_ts"))
 
 
 def first_puts(puts: DataFrame, key: str, ttl: str = "30 minutes") -> DataFrame:
