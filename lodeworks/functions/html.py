@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lodeworks.functions.models import HtmlExtractor
+
 # Elements without text (void ones have no end tag, so they stand apart), elements that end a line,
 # characters that are deleted: zero width space, non-joiner and joiner, no-break space, byte order mark.
 DROPPED = {"script", "style", "head", "noscript"}
@@ -141,12 +143,30 @@ def pruned(text: str, share: float = PRUNE_SHARE, words: int = PRUNE_WORDS) -> s
     return "\n".join(kept)
 
 
-def page_udf(base: str = ""):
-    """A column function of a rendered page: struct<text, pdf_links>, the text pruned, the links whole."""
+class StandardExtractor:
+    """The HtmlExtractor of this module: text by html_to_text, without lines that are boilerplate, and all PDF links."""
+
+    def __init__(self, base: str = ""):
+        self.base = base
+
+    def extract(self, html: str) -> tuple[str, list[str]]:
+        text, links = html_to_text(html, self.base)
+        return pruned(text), links
+
+
+def page_udf(base: str = "", extractor: HtmlExtractor | None = None):
+    """A column function of a rendered page: struct<text, pdf_links>, by an extractor; a page it fails on is empty."""
+    extractor = extractor or StandardExtractor(base)
+
+    def one(html):
+        try:
+            return extractor.extract(html or "")
+        except Exception:  # noqa: BLE001 - a broken page must not fail its batch
+            return "", []
 
     @F.pandas_udf("text string, pdf_links array<string>")
     def scan(pages: pd.Series) -> pd.DataFrame:
-        done = [html_to_text(x, base) for x in pages]
-        return pd.DataFrame({"text": [pruned(t) for t, _ in done], "pdf_links": [x for _, x in done]})
+        done = [one(x) for x in pages]
+        return pd.DataFrame({"text": [t for t, _ in done], "pdf_links": [list(x) for _, x in done]})
 
     return scan

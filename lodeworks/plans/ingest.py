@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeworks.functions import parsing
+from lodeworks.functions import blocks, parsing
 from lodeworks.functions import text as T
-from lodeworks.functions.html import page_udf
 from lodeworks.operators import chunking, metrics
 from lodeworks.plans.registry import query
 from lodeworks.session import table
@@ -145,10 +144,10 @@ def payload_flatten(spark, sf):
     return df.select("doc_id", p["category"].alias("category"), p["source_key"].alias("text_key"), p["total_chunks"].cast("int").alias("total"), p["text"].alias("text"))
 
 
-@query()
+@query(blocks.SQL)
 def pruned_pages(spark, sf):
-    """Rendered pages as pruned text and PDF links."""
-    return table(spark, sf, "pages").select("page_id", page_udf("https://example.com")("html").alias("p")).select("page_id", "p.text", F.size("p.pdf_links").alias("n_pdf"))
+    """Pages without their boilerplate: the blocks that density, links, tag and neighbours let stay."""
+    return blocks.pruned_text(table(spark, sf, "pages"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions.html import page_udf
-from lodeworks.functions.models import LibraryExtractor, PdfExtractor, StreamTextExtractor, pdf_text_udf
+from lodeworks.functions.models import HtmlExtractor, LibraryExtractor, PdfExtractor, StreamTextExtractor, pdf_text_udf
 from lodeworks.functions.text import is_local_file, safe_filename
 
 # Errors of a PDF scan, the stand-in for a text that couldn't be read.
@@ -48,9 +48,9 @@ def with_pdf_texts(records: DataFrame, scanned: DataFrame) -> DataFrame:
     return records.join(each, "id", "left").withColumn("attachments", F.coalesce("attachments", none))
 
 
-def scan_pages(pages: DataFrame, html: str = "html", base: str = "") -> DataFrame:
-    """pages with text (pruned) and pdf_links."""
-    return pages.withColumn("_p", page_udf(base)(html)).select(*pages.columns, "_p.text", "_p.pdf_links")
+def scan_pages(pages: DataFrame, html: str = "html", base: str = "", extractor: HtmlExtractor | None = None) -> DataFrame:
+    """pages with text (pruned) and pdf_links, by an extractor of one's own or the standard one."""
+    return pages.withColumn("_p", page_udf(base, extractor)(html)).select(*pages.columns, "_p.text", "_p.pdf_links")
 
 
 def never_seen(urls: DataFrame, visited: DataFrame) -> DataFrame:

@@ -138,4 +138,4 @@ def test_registered_queries_have_sql():
     from lodeworks.plans import catalogue
 
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"chunk_documents", "html_to_text", "to_sharegpt", "agent_answers", "pruned_pages", "dense_topk_ann"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"chunk_documents", "html_to_text", "to_sharegpt", "agent_answers", "dense_topk_ann"}
