@@ -75,6 +75,39 @@ def encode_batch(model: Embedder, size: int = 32):
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def packed(lengths: list[int], budget: int) -> list[list[int]]:
+    """Places of texts in batches for a model that pads to its longest text: by length, the longest first, so that longest * count stays
+    within the budget; a text beyond the budget is a batch of its own."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    out: list[list[int]] = []
+    for i in order:
+        if out and (len(out[-1]) + 1) * max(1, lengths[out[-1][0]]) <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def encode_packed(model: Embedder, budget: int = 16_384):
+    """Iterator function for mapInPandas: adds `dense` and `sparse` to rows with `text`, in batches by length up to a budget of tokens.
+
+    Rows keep their order; null and blank texts get null vectors and never reach the model.
+    """
+
+    def encode(batches):
+        for pdf in batches:
+            found = [Counter(_TOKEN.findall((t or "").lower())) for t in pdf["text"].tolist()]
+            some = [i for i, c in enumerate(found) if c]
+            dense: list = [None] * len(pdf)
+            for batch in packed([found[i].total() for i in some], budget):
+                at = [some[i] for i in batch]
+                for i, v in zip(at, model.encode([pdf["text"].iloc[i] for i in at]).astype(np.float32)):
+                    dense[i] = v
+            yield pdf.assign(dense=dense, sparse=[dict(c) if c else None for c in found])
+
+    return encode
+
+
 class OverlapReranker:
     """The stand-in cross-encoder: the share of the question's words that the text holds."""
 

@@ -216,11 +216,19 @@ class ChunkStore:
 
     def delete(self, doomed: Column) -> None:
         """Rows for which doomed holds go: their keys are written, no bucket is."""
+        self._delete(lambda rows: rows.filter(doomed))
+
+    def prune(self, current: DataFrame) -> None:
+        """Rows beyond their document's current number of chunks go (current: source_key, doc_id, total_chunks)."""
+        now = current.select("source_key", "doc_id", F.col("total_chunks").alias("_total"))
+        self._delete(lambda rows: rows.join(now, ["source_key", "doc_id"]).filter(F.col("chunk_index") >= F.col("_total")))
+
+    def _delete(self, doomed) -> None:
         for left in range(RETRIES, -1, -1):
             number, manifest = self._manifest()
             if manifest is None:
                 return
-            made = self._written(number + 1, self._read(manifest).filter(doomed).select(*manifest["key"]), manifest["key"], self._labels(manifest), "gone")
+            made = self._written(number + 1, doomed(self._read(manifest)).select(*manifest["key"]), manifest["key"], self._labels(manifest), "gone")
             if not made:
                 return
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodeworks.functions import models
 from lodeworks.functions import text as T
 from lodeworks.functions.html import html_udf
 from lodeworks.operators import agent, ann, chunking, lexical, memory, metrics, retrieval, store
@@ -63,10 +64,22 @@ def sparse_topk(spark, sf):
     return _overlap(spark, sf, 20).select("query_id", "doc_id", "score", "rank")
 
 
-@query(f"{_OVERLAP}, t AS (SELECT r.*, length(d.text) AS n FROM r JOIN documents d USING (doc_id) WHERE rank <= 20), z AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, rank)::INT AS rerank FROM t) SELECT * FROM z WHERE rerank <= 3")
+@query(rf"{_OVERLAP}, pr AS (SELECT r.query_id, r.doc_id, r.rank, list_distinct(string_split_regex(lower(b.text), '[^\p{{L}}\p{{N}}]+')) AS qt, list_distinct(string_split_regex(lower(d.text), '[^\p{{L}}\p{{N}}]+')) AS dt FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = r.query_id WHERE rank <= 20), sc AS (SELECT query_id, doc_id, rank, len(list_filter(qt, lambda x: x <> '' AND list_contains(dt, x)))::DOUBLE / greatest(len(list_filter(qt, lambda x: x <> '')), 1) AS score, count(*) OVER (PARTITION BY query_id) AS n FROM pr), z AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 3 THEN score END DESC NULLS LAST, rank)::INT AS rerank FROM sc) SELECT * FROM z WHERE rerank <= 3")
 def rerank_topn(spark, sf):
-    hits = _overlap(spark, sf, 20).join(table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
-    return retrieval.rerank(hits, F.col("n")).select("query_id", "doc_id", "rank", "rerank")
+    """The 20 best of each benchmark item, ordered anew by a re-ranker's scores of (question, text) pairs."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    pairs = _overlap(spark, sf, 20).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    scored = pairs.withColumn("score", models.rerank_udf(models.OverlapReranker())("question", "text")).drop("text", "question")
+    return retrieval.rerank(scored, F.col("score")).select("query_id", "doc_id", "rank", "rerank")
+
+
+@query(r"SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS terms, CASE WHEN len(w) > 0 THEN 64 ELSE 0 END AS dim FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)")
+def encode_documents(spark, sf):
+    """Every document's vectors, encoded in batches by length under a budget of tokens."""
+    out = "doc_id long, text string, dense array<float>, sparse map<string,int>"
+    coded = table(spark, sf, "documents").select("doc_id", "text").mapInPandas(models.encode_packed(models.HashEmbedder(64)), out)
+    total = F.aggregate(F.map_values("sparse"), F.lit(0), lambda a, x: a + x)
+    return coded.select("doc_id", F.coalesce(total, F.lit(0)).cast("long").alias("words"), F.coalesce(F.size(F.map_keys("sparse")), F.lit(0)).cast("long").alias("terms"), F.when(F.col("dense").isNull(), 0).otherwise(F.size("dense")).alias("dim"))
 
 
 _BM25 = r"""w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}0-9]+')) AS token FROM documents),

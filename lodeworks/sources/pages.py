@@ -64,7 +64,8 @@ def search_excerpt(markdown: Column) -> Column:
 
 
 def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], delay_s: float = REQUEST_DELAY, columns: tuple[str, ...] = ("url",)) -> DataFrame:
-    """urls with body and error. A partition waits delay_s between its requests; a failed request fills `error` and goes on."""
+    """urls with body and error. A host's urls are one partition's, which waits delay_s between its requests, so no host is asked
+    more often than that however many machines there are; a failed request fills `error` and goes on."""
     import pandas as pd
 
     def load(batches):
@@ -82,7 +83,46 @@ def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], delay_s: float = R
                 errors.append(error)
             yield pd.DataFrame({**{c: pdf[c] for c in columns}, "body": bodies, "error": errors})
 
-    return urls.select(*columns).mapInPandas(load, ", ".join([f"{c} string" for c in columns] + ["body string", "error string"]))
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1))
+    return urls.select(*columns).repartition(host).mapInPandas(load, ", ".join([f"{c} string" for c in columns] + ["body string", "error string"]))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """files: name, content (bytes), and what else. Executors write each file under its name in a folder that all share (a path or URI that pyarrow knows).
+
+    Adds path and error (a failed write doesn't fail the others). A file is written under a name of its own and moved, so it is
+    there whole or not at all, however often a task runs; null contents aren't written. It runs when its rows are read.
+    """
+    import pandas as pd
+
+    def write(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(root, recursive=True)
+        for pdf in batches:
+            paths, errors = [], []
+            for name, content in zip(pdf["name"], pdf["content"]):
+                path = error = None
+                if content is not None:
+                    try:
+                        if not name or "/" in name or name in (".", ".."):
+                            raise ValueError(f"not a file name: {name!r}")
+                        path, draft = f"{root}/{name}", f"{root}/.{uuid.uuid4().hex}"
+                        with where.open_output_stream(draft) as out:
+                            out.write(bytes(content))
+                        where.move(draft, path)
+                    except Exception as e:  # noqa: BLE001 - one file must not fail the others
+                        path, error = None, f"{type(e).__name__}: {e}"
+                paths.append(path)
+                errors.append(error)
+            yield pd.DataFrame({**{c: pdf[c] for c in kept}, "path": paths, "error": errors})
+
+    kept = [c for c in files.columns if c not in ("content", "path", "error")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name in kept), "path string", "error string"])
+    return files.mapInPandas(write, schema)
 
 
 def dump(results: dict[str, DataFrame], folder: str) -> None:
