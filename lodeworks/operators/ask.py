@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import elapsed, point_id, should_cache
 from lodeworks.operators import agent, memory, retrieval
+from lodeworks.operators.shared import written
 
 QUESTION_CHARS = (1, 1000)
 
@@ -43,7 +44,7 @@ def ask_batch(
     may = should_cache(F.col("question")) if gated else F.lit(True)
     asked = validate(requests)[0].withColumn("session_id", F.coalesce("session_id", session_id(F.col("question_id")))).withColumn("_may", may)
     probes = asked.filter("_may").select(F.col("question_id").alias("probe_id"), "vec")
-    hits = memory.cache_lookup(probes, entries, least).select(F.col("probe_id").alias("question_id"), "answer")
+    hits = written(memory.cache_lookup(probes, entries, least).select(F.col("probe_id").alias("question_id"), "answer"))  # read twice
     kept = ["question_id", "session_id", "question", "answer", "route", "cached", "cacheable"]
     found = asked.join(hits, "question_id").select("question_id", "session_id", "question", "answer", F.lit("cache").alias("route"), F.lit(True).alias("cached"), F.lit(False).alias("cacheable"))
     rest = asked.join(hits, "question_id", "left_anti").drop("vec")

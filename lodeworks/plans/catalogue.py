@@ -19,17 +19,22 @@ from lodeworks.sources import catalog, exports
 _COS = "round(coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6)"
 
 
+def _vector(v, vec_id):
+    """One row's vector as a literal; null, which is like nothing, where there is no such row."""
+    found = v.filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return F.lit(found[0] if found else None).cast("array<double>")
+
+
 @query(f"SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT 20")
 def dense_topk(spark, sf):
     v = table(spark, sf, "embeddings")
-    q = v.filter("vec_id = 0").select("embedding").first()[0]
-    return retrieval.top_k(v, F.lit(q))
+    return retrieval.top_k(v, _vector(v, 0))
 
 
 @query(f"SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT 5")
 def single_shot_topk(spark, sf):
     v = table(spark, sf, "embeddings")
-    return retrieval.top_k(v, F.lit(v.filter("vec_id = 0").select("embedding").first()[0]), retrieval.SINGLE_SHOT)
+    return retrieval.top_k(v, _vector(v, 0), retrieval.SINGLE_SHOT)
 
 
 @query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id)::INT AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 20")
