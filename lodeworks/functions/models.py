@@ -31,7 +31,9 @@ class HtmlExtractor(Protocol):
 
 
 class PdfExtractor(Protocol):
-    def extract(self, data: bytes) -> str: ...
+    def extract(self, data: bytes) -> list[str]:
+        """The text of each page; an empty list where nothing can be read."""
+        ...
 
 
 class HashEmbedder:
@@ -156,13 +158,27 @@ def complete_udf(model: TextModel):
 
 
 class StreamTextExtractor:
-    """Text of simple PDFs without a library: literal strings that Tj and TJ show, in plain or deflated streams."""
+    """Texts of simple PDFs without a library: literal and hexadecimal strings that are shown in plain or deflated streams, a page a stream."""
 
     _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-    _SHOW = re.compile(rb"\[((?:[^\[\]\\]|\\.)*)\]\s*TJ|(\((?:[^()\\]|\\.)*\))\s*(?:Tj|'|\")|(T\*|\bET\b)", re.S)
-    _LITERAL = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.S)
+    _SHOW = re.compile(rb"\[((?:[^\[\]\\]|\\.)*)\]\s*TJ|(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\")|(T\*|\bET\b)", re.S)
+    _STRING = re.compile(rb"\(((?:[^()\\]|\\.)*)\)|<([0-9A-Fa-f\s]*)>", re.S)
+    _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
+    _NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+    def _unescaped(self, m) -> bytes:
+        x = m.group(1)
+        return bytes([int(x, 8) & 255]) if x.isdigit() else b"" if x.endswith(b"\n") else self._NAMED.get(x, x)
+
+    def _shown(self, m) -> str:
+        if m.group(2) is not None:
+            digits = re.sub(rb"\s", b"", m.group(2))
+            raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        else:
+            raw = self._ESCAPE.sub(self._unescaped, m.group(1))
+        return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
 
-    def extract(self, data: bytes) -> str:
+    def extract(self, data: bytes) -> list[str]:
         out = []
         for m in self._STREAM.finditer(data):
             body = m.group(1)
@@ -170,40 +186,42 @@ class StreamTextExtractor:
                 body = zlib.decompress(body)
             except zlib.error:
                 pass
+            parts = []
             for show in self._SHOW.finditer(body):
                 if show.group(3):
-                    out.append("\n")
-                for x in self._LITERAL.findall(show.group(1) or show.group(2) or b""):
-                    out.append(re.sub(rb"\\(.)", rb"\1", x).decode("latin-1"))
-        return "".join(out).strip()
+                    parts.append("\n")
+                parts += map(self._shown, self._STRING.finditer(show.group(1) or show.group(2) or b""))
+            out.append("".join(parts))
+        return out
 
 
 class LibraryExtractor:
     """The pypdf library, where it is installed."""
 
-    def extract(self, data: bytes) -> str:
-        import io
+    def extract(self, data: bytes) -> list[str]:
+        from io import BytesIO
 
-        import pypdf
+        from pypdf import PdfReader
 
-        return "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages).strip()
+        return [page.extract_text() for page in PdfReader(BytesIO(data)).pages]
 
 
-def pdf_text_udf(extractors: list[PdfExtractor]):
-    """A column function of bytes: the first text that isn't empty; an extractor that fails counts as empty."""
+def pdf_pages_udf(extractors: list[PdfExtractor]):
+    """A column function of bytes: array<string> of the pages' texts, by the first extractor that finds any; one that fails finds none."""
 
-    @F.pandas_udf("string")
+    def read(data) -> list[str] | None:
+        for e in extractors:
+            try:
+                found = [p or "" for p in e.extract(bytes(data))]
+            except Exception:  # noqa: BLE001 - a broken file must not fail its batch
+                continue
+            if any(p.strip() for p in found):
+                return found
+        return None
+
+    @F.pandas_udf("array<string>")
     def extract(files: pd.Series) -> pd.Series:
-        def one(data):
-            for e in extractors:
-                try:
-                    if text := (e.extract(bytes(data)) or "").strip():
-                        return text
-                except Exception:  # noqa: BLE001 - a broken file must not fail its batch
-                    continue
-            return None
-
-        return pd.Series([None if x is None else one(x) for x in files], dtype=object)
+        return pd.Series([None if x is None else read(x) for x in files], dtype=object)
 
     return extract
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions.html import page_udf
-from lodeworks.functions.models import HtmlExtractor, LibraryExtractor, PdfExtractor, StreamTextExtractor, pdf_text_udf
-from lodeworks.functions.text import is_local_file, safe_filename
+from lodeworks.functions.models import HtmlExtractor, LibraryExtractor, PdfExtractor, StreamTextExtractor, pdf_pages_udf
+from lodeworks.functions.text import is_local_file, safe_filename, strip
 
 # Errors of a PDF scan, the stand-in for a text that couldn't be read.
 LOCAL_FILE, NOT_A_PDF, UNREADABLE = "Yerel dosya, atlandı", "PDF değil, HTML yanıt", "[PDF Okunamadı]"
@@ -23,15 +23,16 @@ def binary_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Da
 
 
 def pdf_scan(files: DataFrame, extractors: list[PdfExtractor] | None = None) -> DataFrame:
-    """files: url, content (bytes). Adds pdf_text and error: local files are skipped, and an answer that is no PDF is kept as text with an error.
+    """files: url, content (bytes). Adds pdf_pages (the text of each page), pdf_text (those that have any, a line end between) and error: local files are skipped, and an answer that is no PDF is kept as text with an error.
 
     A broken file gives no text; it never fails the batch.
     """
     head = F.ltrim(F.decode(F.substring("content", 1, 64), "ISO-8859-1"))
     is_pdf = head.startswith("%PDF")
-    text = pdf_text_udf(extractors or [LibraryExtractor(), StreamTextExtractor()])(F.when(is_pdf & ~is_local_file(F.col("url")), F.col("content")))
+    found = pdf_pages_udf(extractors or [LibraryExtractor(), StreamTextExtractor()])(F.when(is_pdf & ~is_local_file(F.col("url")), F.col("content")))
+    text = F.array_join(F.filter(F.transform("pdf_pages", strip), lambda p: F.length(p) > 0), "\n")
     plain = F.when(~is_pdf, F.try_validate_utf8(F.col("content").cast("string")))
-    return files.withColumn("pdf_text", F.when(~is_local_file(F.col("url")), F.coalesce(text, plain))).withColumn("error", F.when(is_local_file(F.col("url")), LOCAL_FILE).when(~is_pdf, NOT_A_PDF))
+    return files.withColumn("pdf_pages", found).withColumn("pdf_text", F.when(~is_local_file(F.col("url")), F.coalesce(text, plain))).withColumn("error", F.when(is_local_file(F.col("url")), LOCAL_FILE).when(~is_pdf, NOT_A_PDF))
 
 
 def pdf_name(record: Column, label: Column, url: Column) -> Column:

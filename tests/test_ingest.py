@@ -109,6 +109,22 @@ def test_fetch_dump_and_files(spark, tmp_path):
     assert spark.range(1).select(pages.search_excerpt(F.repeat(F.lit("é"), 3000)), pages.search_excerpt(F.lit(None).cast("string"))).first()[:] == ("é" * 2000, "")
 
 
+def test_pages_of_a_pdf_are_rows_of_an_array(spark):
+    class Paged:
+        def extract(self, data):
+            return [" first ", None, "", "third"]
+
+    class Empty:
+        def extract(self, data):
+            return ["", " "]
+
+    files = spark.createDataFrame([("http://a.pdf", bytearray(b"%PDF-1.4"))], "url string, content binary")
+    row = pages.pdf_scan(files, [Empty(), Paged()]).first()
+    assert row["pdf_pages"] == [" first ", "", "", "third"] and row["pdf_text"] == "first\nthird"
+    raw = rb"stream" + b"\n" + rb"BT (a\050b\)\n) Tj <C3D6> Tj [(x) -20 <FEFF011F>] TJ ET" + b"\nendstream"
+    assert models.StreamTextExtractor().extract(raw) == ["a(b)\nÃÖx\u011f\n"]
+
+
 def test_models(spark):
     class Broken:
         def score(self, pairs):
