@@ -57,11 +57,24 @@ def stays(least: float = LEAST_SCORE, words: int = LEAST_WORDS) -> Column:
     return (F.col("smooth") >= least) & (F.col("words") >= words)
 
 
-def pruned_text(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: float = LEAST_SCORE, words: int = LEAST_WORDS) -> DataFrame:
-    """page_id, text (the blocks that stay, a line each, in order), blocks (all with text) and kept. A page without text has a row too; rows of one page_id are one page."""
+#: What stands before a block of a tag in Markdown.
+MARKS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "li": "- ", "blockquote": "> "}
+
+
+def marked(tag: Column, text: Column) -> Column:
+    """A block as Markdown."""
+    mark = F.lit("")
+    for name, m in MARKS.items():
+        mark = F.when(tag == name, m).otherwise(mark)
+    return F.concat(mark, text)
+
+
+def pruned_text(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: float = LEAST_SCORE, words: int = LEAST_WORDS, markdown: bool = False) -> DataFrame:
+    """page_id, text (the blocks that stay, a line each, in order; as Markdown with empty lines between), blocks (all with text) and kept. A page without text has a row too; rows of one page_id are one page."""
     rows = blocks(pages, page_id, html).withColumn("_stays", stays(least, words))
-    lines = F.array_sort(F.collect_list(F.when(F.col("_stays"), F.struct("seq", "text"))))
-    some = rows.groupBy("page_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("blocks"), F.count_if("_stays").alias("kept"))
+    shown_as = marked(F.col("tag"), F.col("text")) if markdown else F.col("text")
+    lines = F.array_sort(F.collect_list(F.when(F.col("_stays"), F.struct("seq", shown_as.alias("text")))))
+    some = rows.groupBy("page_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n" if markdown else "\n").alias("text"), F.count("*").alias("blocks"), F.count_if("_stays").alias("kept"))
     every = pages.select(F.col(page_id).alias("page_id")).distinct().join(some, "page_id", "left")
     return every.select("page_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"), F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
 

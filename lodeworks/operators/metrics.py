@@ -36,3 +36,8 @@ def exposition(rows: DataFrame, name: str, kind: str, labels: list[str], value:
 def gauge(rows: DataFrame, labels: list[str], value: str, ts: str, tie: str) -> DataFrame:
     """The value set last."""
     return rows.groupBy(*labels).agg(F.max_by(value, F.struct(ts, tie)).alias("value"))
+
+
+def info_series(rows: DataFrame, **labels: str) -> DataFrame:
+    """An info metric from a table: one series of value 1 for each distinct set of labels (name = column)."""
+    return rows.select(*(F.col(c).alias(name) for name, c in labels.items())).distinct().withColumn("value", F.lit(1))

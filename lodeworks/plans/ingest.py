@@ -31,8 +31,12 @@ def content_parse(spark, sf):
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'list' WHEN 1 THEN 'dict' WHEN 2 THEN 'str' ELSE NULL END AS kind FROM orders")
 def type_predicate(spark, sf):
-    body = F.element_at(F.array(F.lit('[{"a": 1}, 2]'), F.lit('{"a": [1]}'), F.lit('"x"'), F.lit("{broken")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", parsing.json_kind(body).alias("kind"))
+    """Orders as JSON: a list with one, an object, its status as a string, and an object cut short."""
+    o = table(spark, sf, "orders")
+    whole = F.to_json(F.struct("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price")))
+    status = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"'))
+    body = F.element_at(F.array(F.concat(F.lit("["), whole, F.lit("]")), whole, status, F.substring(whole, F.lit(1), F.length(whole) - 1)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select("o_orderkey", parsing.json_kind(body).alias("kind"))
 
 
 @query("SELECT c_custkey, trim(c_name) || ' ' || trim(c_mktsegment) AS name, c_mktsegment AS title, '' AS unit, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'p' END AS duty, c_nationkey::VARCHAR AS phone FROM customer")
@@ -223,9 +227,11 @@ def metric_exposition(spark, sf):
     return metrics.exposition(metrics.counter(table(spark, sf, "events"), ["event_type"]), "events_total", "counter", ["event_type"])
 
 
-@query("SELECT '1.0.0' AS version, 'lodeworks' AS service")
+@query("SELECT n_name AS nation, r_name AS region, 1 AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 def info_constants(spark, sf):
-    return metrics.info(spark, version="1.0.0", service="lodeworks")
+    """An info metric: a series for each nation, whose labels are all that it says."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return metrics.info_series(n, nation="n_name", region="r_name")
 
 
 @query(r"SELECT doc_id, w AS word, count(*)::INT AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL")

@@ -24,6 +24,8 @@ def test_pruning_keeps_the_article(spark):
     got = {r["page_id"]: r for r in blocks.pruned_text(df).collect()}
     assert got[1]["text"].split("\n")[0].startswith(("What the library", "The library is open")) and "second paragraph" in got[1]["text"]
     assert "Home page" not in got[1]["text"] and "Copyright" not in got[1]["text"] and "Short" not in got[1]["text"] and "comment" not in got[1]["text"]
+    lines = blocks.pruned_text(df.filter("page_id = 1"), markdown=True).first()["text"].split("\n\n")
+    assert lines[0] == "# What the library is open for" and lines[1].startswith("The library is open")
     assert got[4]["text"] == "unclosed tags and five more words"
     assert all(got[i]["text"] == "" for i in (2, 3, 5, 6)) and got[2]["blocks"] == 0 and got[6]["blocks"] == 1
     assert blocks.pruned_text(df.limit(0)).isEmpty()
