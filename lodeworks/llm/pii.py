@@ -34,15 +34,16 @@ PATTERNS = {
 }
 #: Characters without which a kind can't match, to skip its pattern.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
-#: Words that speak for a kind if they stand within WINDOW code points before a span, and after the match of its kind before it.
+#: Words that speak for a kind if they stand within WINDOW code points before or after a span, up to the next match of its
+#: kind on that side: English, German, French and Spanish.
 CONTEXT = {
-    "email": "mail|contact|write",
-    "ip": r"\bip\b|addr|host|server",
-    "card": "card|visa|master|credit|pay",
-    "phone": r"phone|call|tel\b|mobile|fax",
-    "iban": "iban|bank|account|konto|compte|cuenta",
-    "ssn": "ssn|social|security",
-    "secret": "token|secret|passw|api.?key|credential|apikey",
+    "email": "mail|contact|kontakt|contacto|correo|courriel|adresse|write|schreib",
+    "ip": r"\bip\b|addr|host|server|serveur|servidor|rechner",
+    "card": "card|visa|master|credit|pay|karte|kredit|carte|tarjeta|paiement|pago|zahl",
+    "phone": r"phone|call|tel\b|mobile|fax|telefon|anruf|handy|téléphon|portable|appel|teléfono|móvil|llam",
+    "iban": "iban|bank|account|konto|compte|cuenta|banque|banco",
+    "ssn": "ssn|social|security|sozial|versicher|sécurité|seguridad|seguro",
+    "secret": "token|secret|passw|api.?key|credential|apikey|geheim|kennwort|mot de passe|clé|clave|contraseña",
 }
 #: Score of a confirmed span without context, and what a context word adds.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.2}
@@ -119,10 +120,12 @@ def _proposed(df: DataFrame, kind: str, no: int) -> DataFrame:
     may = F.col("_text").contains(NEEDS[kind]) if kind in NEEDS else F.col("_text").rlike("[0-9]")
     df = df.withColumn(f"_{kind}_m", F.when(may, F.regexp_extract_all("_text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(f"_{kind}_s", F.when(F.size(f"_{kind}_m") > 0, F.split("_text", PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>")))
+    # each match with the text before it and after it, up to the matches of its kind there
     pairs = F.zip_with(F.slice(f"_{kind}_s", F.lit(1), F.size(f"_{kind}_m")), f"_{kind}_m", lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+    pairs = F.zip_with(pairs, F.slice(f"_{kind}_s", F.lit(2), F.size(f"_{kind}_m")), lambda p, a: F.struct(p["s"].alias("s"), p["m"].alias("m"), a.alias("a")))
     df = df.withColumn(f"_{kind}_p", pairs)
     df = df.withColumn(f"_{kind}_at", _running(F.transform(f"_{kind}_p", lambda p: F.length(p["s"]) + F.length(p["m"]))))
-    near = lambda p: F.lower(F.right(p["s"], F.lit(WINDOW))).rlike(CONTEXT[kind])
+    near = lambda p: F.lower(F.right(p["s"], F.lit(WINDOW))).rlike(CONTEXT[kind]) | F.lower(F.left(p["a"], F.lit(WINDOW))).rlike(CONTEXT[kind])
     spans = F.zip_with(
         f"_{kind}_p",
         f"_{kind}_at",

@@ -81,3 +81,19 @@ def test_query_columns_and_empty_table(spark, tmp_path):
     assert r["n_spans"] == len(r["spans"].split(",")) == 6
     assert r["base_sha256"] == hashlib.sha256(",".join(brute(TEXTS[0])).encode()).hexdigest()
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_context_counts_on_both_sides_and_in_four_languages(spark):
+    texts = [
+        "078-05-1120 is my social security number",
+        "my ssn: 078-05-1120",
+        "078-05-1120 ist meine Sozialversicherungsnummer",
+        "mon numéro de sécurité sociale est 078-05-1120",
+        "078-05-1120 es mi número de la seguridad",
+        "a plain 078-05-1120 among other words",
+        "078-05-1120 " + "x " * 40 + "social",  # too far
+        "078-05-1120 a social 078-05-1121 b",  # between two: it speaks for both
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: [(x["kind"], x["start"]) for x in r["pii_spans"] if x["kind"] == "ssn"] for r in pii.find_pii(df).collect()}
+    assert [len(got[i]) for i in range(8)] == [1, 1, 1, 1, 1, 0, 0, 2] and got[0] == [("ssn", 0)]
