@@ -154,15 +154,14 @@ def pruned_pages(spark, sf):
     return blocks.pruned_text(table(spark, sf, "pages"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages),
-e AS (SELECT DISTINCT 'https://example.com' || ls[1] AS src, 'https://example.com' || unnest(ls) AS dst FROM l WHERE len(ls) > 0),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'https://example.com/' || split_part(url, '/', 4) AS src, 'https://example.com' || unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages),
 c AS (SELECT min(src) AS url, 0 AS depth FROM e UNION SELECT dst, depth + 1 FROM c JOIN e ON src = url WHERE depth < 3)
 SELECT url, min(depth) AS depth FROM c GROUP BY url""")
 def crawl_depths(spark, sf):
-    """A crawl of three rounds. A page answers at the address of the first link on it, so an address may have several."""
-    p = table(spark, sf, "pages").select("html", F.get(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), F.lit(0)).alias("first")).filter("first IS NOT NULL")
-    site = p.select("html", F.concat(F.lit("https://example.com"), "first").alias("url"))
-    seeds = site.agg(F.min("url").alias("url"))
+    """A crawl of three rounds. A page answers at the address of its section, the first part of its path, so an address has many; links lead to sections too."""
+    site = table(spark, sf, "pages").select("html", F.concat(F.lit("https://example.com/"), F.split_part("url", F.lit("/"), F.lit(4))).alias("url"))
+    linked = site.filter(F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))) > 0)
+    seeds = linked.agg(F.min("url").alias("url"))
     return crawl.crawl(seeds, lambda asked: site.join(asked, "url"), 3)
 
 
