@@ -70,6 +70,11 @@ def elapsed(start: Column, end: Column) -> Column:
     return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6, 3)
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970, the nearest ones (halves to the even), as epoch(ts)::BIGINT gives in SQL."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+
+
 def word_count(x: Column) -> Column:
     s = strip(x)
     return F.when(F.length(s) == 0, 0).otherwise(F.size(F.split(s, r"(?U)\s+")))
