@@ -34,3 +34,7 @@ def equal(spark, near, name):
 
 def test_cache_expiry(spark, near):
     assert len(equal(spark, near, "cache_expiry")) == 4
+
+
+def test_cache_stats(spark, near):
+    assert {r[1] for r in equal(spark, near, "cache_stats")} == {2}
