@@ -38,3 +38,7 @@ def test_cache_expiry(spark, near):
 
 def test_cache_stats(spark, near):
     assert {r[1] for r in equal(spark, near, "cache_stats")} == {2}
+
+
+def test_stats(spark, near):
+    assert len(equal(spark, near, "stats")) == 1
