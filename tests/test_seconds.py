@@ -42,3 +42,7 @@ def test_cache_stats(spark, near):
 
 def test_stats(spark, near):
     assert len(equal(spark, near, "stats")) == 1
+
+
+def test_sessionize_ttl(spark, near):
+    assert {(200, 50, 1), (201, 50, 2), (202, 51, 1), (203, 51, 1)} <= set(equal(spark, near, "sessionize_ttl"))
