@@ -15,11 +15,13 @@ The result is that of scoring every document (scores rounded to 6 digits, ties t
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.models import sparse_weights
-from lodeworks.operators.retrieval import SALTS, few
+from lodeworks.operators import terms
+from lodeworks.operators.retrieval import INTEGERS, SALTS, few
 from lodeworks.operators.shared import written
 
 K1, B = 1.2, 0.75
@@ -109,3 +111,36 @@ def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int = 20) -> DataFram
     scores = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum("impact"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+class Impact:
+    """bm25_impact over arrays: of tokens by number, with the documents of each."""
+
+    def __init__(self, df: np.ndarray, docs: int, words: int):
+        self.idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
+        self.docs, self.words = float(docs), float(max(1, words))
+
+    def __call__(self, token: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf[token] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size * self.docs / self.words))
+
+
+def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
+    """queries: query_id, text; docs: doc_id, text -> query_id, doc_id, score, rank, for one batch of queries without an index.
+
+    One pass counts the asked tokens of every document, a second adds up scores where the documents are. Batches beyond
+    `terms.LOCAL` tokens, and ids that repeat or are no integers, go through an index.
+    """
+    tokens = query_tokens(queries)
+    asked = terms.local_queries(tokens)
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    whole = {df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "doc_id"))} <= set(INTEGERS)
+    if asked is None or not whole or terms.split_off(named)[1] is not None:
+        return bm25_top_k(queries, build(docs, tokens), k)
+    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}0-9]+"), "")
+    held = terms.counted(named.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")), asked)
+    count, total = held.filter("size > 0").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    df = np.zeros(len(asked.tokens))
+    for r in held.select(F.explode("tokens").alias("token")).groupBy("token").count().collect():
+        df[r["token"]] = r["count"]
+    found = terms.weighed(held, asked, Impact(df, count, total), k, 6)
+    return found.select(F.col("query_id").cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "score", "rank")
