@@ -68,3 +68,8 @@ SF = "/root/testdata/sf0.001"
 def test_registered_bm25_builds_no_index(spark, monkeypatch):
     monkeypatch.setattr(lexical, "build", lambda *_: pytest.fail("an index was built"))
     assert QUERIES["bm25_topk"](spark, SF).count() > 0
+
+
+def test_rank_fusion_builds_no_index(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "build", lambda *_: pytest.fail("an index was built"))
+    assert QUERIES["rank_fusion"](spark, SF).count() > 0
