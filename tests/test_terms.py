@@ -73,3 +73,9 @@ def test_registered_bm25_builds_no_index(spark, monkeypatch):
 def test_rank_fusion_builds_no_index(spark, monkeypatch):
     monkeypatch.setattr(lexical, "build", lambda *_: pytest.fail("an index was built"))
     assert QUERIES["rank_fusion"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["sparse_topk"])
+def test_pairs_are_not_grouped(spark, monkeypatch, name):
+    monkeypatch.setattr(retrieval, "term_overlap", lambda *_: pytest.fail("all pairs are grouped"))
+    assert QUERIES[name](spark, SF).count() > 0
