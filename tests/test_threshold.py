@@ -48,3 +48,12 @@ def test_lookup_takes_live_answers_alone(spark):
     probes = spark.createDataFrame([(9, [1.0, 0.01]), (8, [-1.0, 0.0]), (7, None), (6, [0.0, 0.0])], "probe_id long, vec array<double>")
     assert [tuple(r) for r in memory.cache_lookup(probes, entries).collect()] == [(9, 1, 0.99995, "one")]
     assert memory.cache_lookup(probes, entries.limit(0)).count() == 0 and memory.cache_lookup(probes.limit(0), entries).count() == 0
+
+
+def test_pairs_are_looked_at_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(threshold, "CELLS", 500)
+    v = spark.createDataFrame(planted(3, 600, 16, 5), "id long, vec array<double>")
+    entries, probes = v.select(F.col("id").alias("entry_id"), "vec"), v.filter("id % 4 = 0").select(F.col("id").alias("probe_id"), "vec")
+    got = sorted((r["probe_id"], r["entry_id"], r["score"]) for r in threshold.nearest_within(probes, entries, 0.35, True).collect())
+    assert got == slow(probes, entries, 0.35, True) and len(got) > 100
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
