@@ -20,10 +20,10 @@ def _ask(spark, sf):
     asked = table(spark, sf, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("session_id"), F.col("embedding").alias("vec"))
     taken = asked.select(F.col("question_id").alias("vec_id"))
     entries = v.join(F.broadcast(taken) if taken.limit(10_001).count() <= 10_000 else taken, "vec_id", "left_anti").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"))
-    terms = retrieval.tokens(table(spark, sf, "documents"), "doc_id", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
 
     def retrieve(q):
-        found = retrieval.term_overlap(retrieval.tokens(q, "question_id", "search").withColumnRenamed("question_id", "query_id"), terms, retrieval.RERANK)
+        found = retrieval.overlap_top_k(retrieval.tokens(q, "question_id", "search").withColumnRenamed("question_id", "query_id"), docs, retrieval.RERANK)
         context = retrieval.assemble_context(found.withColumn("text", F.col("doc_id").cast("string")))
         return q.join(context.withColumnRenamed("query_id", "question_id"), "question_id", "left")
 
