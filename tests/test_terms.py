@@ -75,7 +75,7 @@ def test_rank_fusion_builds_no_index(spark, monkeypatch):
     assert QUERIES["rank_fusion"](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["sparse_topk", "rerank_topn", "context_assembly", "answer_simple", "agent_answers", "ask_turns"])
+@pytest.mark.parametrize("name", ["sparse_topk", "rerank_topn", "context_assembly", "answer_simple", "agent_answers", "ask_turns", "ask_cache_puts"])
 def test_pairs_are_not_grouped(spark, monkeypatch, name):
     monkeypatch.setattr(retrieval, "term_overlap", lambda *_: pytest.fail("all pairs are grouped"))
     assert QUERIES[name](spark, SF).count() > 0
