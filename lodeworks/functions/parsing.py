@@ -17,9 +17,13 @@ GENERAL_QUESTIONS = "Sıkça Sorulan Sorular (Genel)"
 
 def json_kind(body: Column) -> Column:
     """list, dict, str or other for JSON text; null where it doesn't parse."""
-    v = F.try_parse_json(body)
-    kind = F.schema_of_variant(v)
-    return F.when(v.isNull(), None).when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict").when(kind == "STRING", "str").otherwise("other")
+    # an array of one and transform: the text is parsed once, however often its kind is looked at
+    found = F.transform(F.transform(F.array(F.try_parse_json(body)), F.schema_of_variant), _kind)
+    return F.get(found, F.lit(0))
+
+
+def _kind(schema: Column) -> Column:
+    return F.when(schema.isNull(), None).when(schema.startswith("ARRAY"), "list").when(schema.startswith("OBJECT"), "dict").when(schema == "STRING", "str").otherwise("other")
 
 
 def json_scan(pages: DataFrame, page: str = "html", cleaned: str = "cleaned") -> DataFrame:
@@ -28,11 +32,15 @@ def json_scan(pages: DataFrame, page: str = "html", cleaned: str = "cleaned") ->
     return pages.withColumn("body", F.coalesce(some(json_body(F.col(page))), some(F.col(cleaned))))
 
 
-def items_of(body: Column) -> Column:
-    """JSON text of each item of a list; a dict is its only item; else none. Items that are no objects stay, as their text."""
-    kind = json_kind(body)
-    each = F.transform(F.from_json(body, "array<variant>"), lambda v: F.to_json(v))
-    return F.when(kind == "list", F.coalesce(each, F.array().cast("array<string>"))).when(kind == "dict", F.array(body)).otherwise(F.array().cast("array<string>"))
+def items_of(body: Column, dicts: bool = True) -> Column:
+    """JSON text of each item of a list; a dict is its only item (unless dicts is false); else none. Items that are no objects stay, as their text."""
+    none = F.array().cast("array<string>")
+
+    def items(b):
+        each = F.coalesce(F.transform(F.from_json(b, "array<variant>"), lambda v: F.to_json(v)), none)
+        return F.get(F.transform(F.array(json_kind(b)), lambda kind: F.when(kind == "list", each).when((kind == "dict") & F.lit(dicts), F.array(b)).otherwise(none)), F.lit(0))
+
+    return F.get(F.transform(F.array(body), items), F.lit(0))
 
 
 def _is_object(item: Column) -> Column:
@@ -81,8 +89,7 @@ def staff_rows(body: Column) -> Column:
         _field(s, "$.email").alias("email"),
         _field(s, "$.phone").alias("phone"),
     )
-    items = F.when(json_kind(body) == "list", items_of(body)).otherwise(F.array().cast("array<string>"))
-    staff = F.filter(F.transform(F.filter(items, _is_object), lambda x: F.get_json_object(x, "$.staff")), lambda s: _is_object(s) & (F.regexp_replace(s, r"\s", "") != "{}"))
+    staff = F.filter(F.transform(F.filter(items_of(body, dicts=False), _is_object), lambda x: F.get_json_object(x, "$.staff")), lambda s: _is_object(s) & (F.regexp_replace(s, r"\s", "") != "{}"))
     return F.transform(staff, row)
 
 

@@ -52,7 +52,9 @@ def staff_projection(spark, sf):
         F.col("c_nationkey").cast("string").alias("phone"),
     )
     body = F.to_json(F.array(s(staff.alias("staff"))))
-    row = table(spark, sf, "customer").select("c_custkey", F.explode(parsing.staff_rows(body)).alias("s"))
+    # a few MB of rows are one task's file but many seconds of parsing: all cores take part
+    people = table(spark, sf, "customer").repartition(2 * spark.sparkContext.defaultParallelism)
+    row = people.select("c_custkey", F.explode(parsing.staff_rows(body)).alias("s"))
     return row.select("c_custkey", *(F.col(f"s.{k}").alias(k) for k in ("name", "title", "unit", "duty", "phone")))
 
 
