@@ -16,7 +16,8 @@
    and of what a range keeps together only a spanning forest is handed on. A map task thins digests that
    many of its documents share to NEAR + 1 nodes, so one that a third of all documents share costs few rows.
 4. Components of these pairs are groups. A group is laid out in tiles by size band, large bands in
-   several by hash. Tiles of bands that can hold links meet in pairs. In a pair of tiles, bitmap
+   several by hash. Tiles of bands that can hold links meet in pairs, first by size and signature alone: groups
+   become what signatures connect, and only the sets of these travel. In a pair of tiles, bitmap
    signatures (hash -> bit) bound the overlap from above: |A & B| <= |A| - bits of A that B lacks. What
    passes is decided by intersecting the sorted arrays. Sets already known to be connected in this pair
    of tiles need no decision: they can't change the components.
@@ -49,7 +50,9 @@ SPARE, SPARE_SHARE = 2, 1
 #: Counters of digests, and how many of them are a row when they are summed up.
 SKETCH_BITS, SKETCH_ROW = 22, 4096
 #: Elements of sets that one tile holds about; digests in one range of hashes.
-TILE, RANGE = 4_000_000, 2_000_000
+TILE, RANGE = 4_000_000, 16_000_000
+#: Digests of a range that are looked at together; a range is many of these, as each row of a range names its nodes anew.
+SLICE = 1_000_000
 #: Nodes of a digest whose pairs are looked at one by one.
 NEAR = 8
 #: Documents' digests that a map task thins at a time.
@@ -350,23 +353,29 @@ def _pairer(batches):
     def out(held):
         none = np.zeros(0, np.int64)
         kept = np.concatenate([none, *(n for d, n, _ in held if not len(d))]).reshape(-1, 2)
-        digests = np.concatenate([np.zeros(0, np.uint32), *(d for d, _, _ in held)])
-        nodes = np.concatenate([none, *(np.repeat(n, c) for d, n, c in held if len(d))])
-        kept, near = _pairs_of(digests, nodes, kept)
-        both = np.concatenate([kept, near])
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(kept))], schema=_PAIRS)
+        slices = np.uint64(max(1, -(-sum(len(d) for d, _, _ in held) // SLICE)))
+        for i in range(int(slices)):
+            digests, nodes = [np.zeros(0, np.uint32)], [none]
+            for d, n, c in held:
+                mine = (d * slices) >> np.uint64(32) == i
+                digests.append(d[mine])
+                nodes.append(np.repeat(n, c)[mine] if len(d) else none)
+            kept, near = _pairs_of(np.concatenate(digests), np.concatenate(nodes), kept)
+            both = np.concatenate([kept, near])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(kept))], schema=_PAIRS)
+            kept = none.reshape(-1, 2)
 
     key, held = None, []
     for batch in batches:
         parts, digests, nodes, counts = (batch.column(i) for i in range(4))
         for i, part in enumerate(parts.to_pylist()):
             if part != key and held:
-                yield out(held)
+                yield from out(held)
                 held = []
             key = part
             held.append((_array(digests, i, np.uint32), _array(nodes, i, np.int64), _array(counts, i, np.uint32)))
     if held:
-        yield out(held)
+        yield from out(held)
 
 
 def _allowed(num: int, den: int):
@@ -482,6 +491,95 @@ def _decider(num: int, den: int):
     return decide
 
 
+class Signs:
+    """Sets of one side of a pair of tiles by size and signature alone, in order of size and so of width."""
+
+    def __init__(self, rows):
+        rows = sorted(rows, key=lambda r: r[1])
+        self.nodes, self.size = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+        maps = [_folded(r[2], BITS_MOST // 64) for r in rows]
+        self.width = np.array([len(m) for m in maps])
+        self.maps = {int(w): np.stack([m for m in maps if len(m) == w]) for w in np.unique(self.width)}
+        self.first = {w: int(np.searchsorted(self.width, w)) for w in self.maps}
+        self.fold = {}
+
+    def at(self, own: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures of width `own`, folded to `width`, and their bits."""
+        if (own, width) not in self.fold:
+            m = _folded(self.maps[own], width)
+            self.fold[own, width] = m, np.bitwise_count(m).sum(1).astype(np.int64)
+        return self.fold[own, width]
+
+
+def _folded(m: np.ndarray, width: int) -> np.ndarray:
+    while m.shape[-1] > width:
+        half = m.shape[-1] // 2
+        m = m[..., :half] | m[..., half:]
+    return m
+
+
+def sifted(one: Signs, two: Signs | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that connect what pairs connect whose sizes and signatures allow a link: a forest."""
+    same = two is None
+    two = one if same else two
+    index = {}
+    for n in [*one.nodes, *two.nodes]:
+        index.setdefault(n, len(index))
+    names, label, found = list(index), np.arange(len(index)), []
+    at = np.array([index[n] for n in two.nodes])
+    for i, mine in enumerate(one.nodes):
+        n, own = int(one.size[i]), int(one.width[i])
+        lo = i + 1 if same else int(np.searchsorted(two.size, -(-n * num // den)))
+        hi = int(np.searchsorted(two.size, n * den // num, side="right"))
+        for width, first in two.first.items():
+            a, b = max(lo, first), min(hi, first + len(two.maps[width]))
+            if a >= b:
+                continue
+            x, bits = one.at(own, min(own, width)), two.at(width, min(own, width))
+            x, count = x[0][i - one.first[own]], x[1][i - one.first[own]]
+            both = np.bitwise_count(x & bits[0][a - first : b - first]).sum(1).astype(np.int64)
+            bound = np.minimum(n - (count - both), two.size[a:b] - (bits[1][a - first : b - first] - both))
+            may = (num + den) * bound >= num * (n + two.size[a:b])
+            for j in np.unique(label[at[a:b][may]]).tolist():
+                if j != label[index[mine]]:
+                    found.append((mine, names[j]))
+                    label[label == j] = label[index[mine]]
+    return found
+
+
+def _sifter(num: int, den: int):
+    """Rows k, alone, whole, side, node, n, bits sorted by k (pair of tiles) become pairs; of whole groups (node, root) for all that have a pair."""
+
+    def out(held, alone, whole):
+        sides = [[r[1:] for r in held if r[0] == s] for s in (0, 1)]
+        if not sides[0] or not (alone or sides[1]):
+            return []
+        pairs = sifted(Signs(sides[0]), Signs(sides[1]) if sides[1] else None, num, den)
+        if not whole or not pairs:
+            return pairs
+        nodes, roots = _forest(np.array(pairs, np.int64))
+        return list(zip(nodes.tolist(), roots.tolist()))
+
+    def batch_of(held, key):
+        found = out(held, key[1], key[2])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([key[2]] * len(found), pa.bool_())], names=["a", "b", "whole"])
+
+    def sift(batches):
+        key, held = None, []
+        for batch in batches:
+            k, alone, whole, side, node, n = (batch.column(c).to_pylist() for c in range(6))
+            for i in range(len(k)):
+                if held and k[i] != key[0]:
+                    yield batch_of(held, key)
+                    held = []
+                key = k[i], alone[i], whole[i]
+                held.append((side[i], node[i], n[i], _array(batch.column(6), i, np.uint64)))
+        if held:
+            yield batch_of(held, key)
+
+    return sift
+
+
 _SIZED = "doc_id long, n long, node long, content binary, bits binary, row int, places binary, counts binary"
 
 
@@ -583,6 +681,8 @@ def linked(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, ca
     edges = cut(pairs.filter("kept").select("a", "b").unionByName(near.mapInArrow(_allowed(num, den), "a long, b long")))
     drop_cut(pairs)
     groups = components(edges) if not edges.isEmpty() else None
+    if groups is not None:
+        groups = _narrowed(classes, groups, num, den, bands)
     links = None
     if groups is not None:
         links = cut(_links(usable, classes, groups, words, num, den, bands))
@@ -601,19 +701,32 @@ def linked(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, ca
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, num: int, den: int, bands: Bands) -> DataFrame:
+def _narrowed(classes: DataFrame, groups: DataFrame, num: int, den: int, bands: Bands) -> DataFrame | None:
+    """groups (node, root) without what no signature links: sets, which are many times as large, are handed on only for the rest."""
+    member = groups.select("node", F.col("root").alias("grp")).join(classes.groupBy("node").agg(F.max("n").alias("n")), "node")
+    places = _laid_out(member.select(F.col("node").alias("id"), "grp", "n"), bands)
+    rows = places.withColumnRenamed("id", "node").join(classes.select("node", "n", "bits"), "node").select("k", "alone", "whole", "side", "node", "n", "bits")
+    found = cut(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_sifter(num, den), "a long, b long, whole boolean"))
+    drop_cut(groups)
+    drop_cut(places)
+    near = found.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    parts = found.filter("NOT whole").select("a", "b")
+    if not parts.isEmpty():
+        near = near.unionByName(components(parts))
+    return None if near.isEmpty() else cut(near)
+
+
+def _laid_out(member: DataFrame, bands: Bands) -> DataFrame:
+    """member: id, grp, n -> id, k, grp, side, alone, whole: where each meets others, by group or by pair of tiles of a large group."""
     band = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bands.low)}), x -> x <= n)) - 1")
-    # Of equal sets the smallest document stands for the others.
-    member = groups.select("node", F.col("root").alias("grp")).join(classes.select("node", F.col("head").alias("doc_id"), "n"), "node")
-    member = member.groupBy("doc_id", "grp").agg(F.max("n").alias("n"))
     member = cut(member.withColumn("band", band))
     shape = member.groupBy("grp", "band").agg(F.sum("n").alias("n"))
     whole = shape.groupBy("grp").agg(F.sum("n").alias("all"))
     shape = cut(shape.join(whole, "grp").withColumn("tiles", F.when(F.col("all") <= TILE, 0).otherwise(F.ceil(F.col("n") / TILE).cast("int"))).select("grp", "band", "tiles"))
     small = member.join(shape.filter("tiles = 0").select("grp").distinct(), "grp", "left_semi")
-    small = small.select("doc_id", F.xxhash64("grp").alias("k"), F.col("grp"), F.lit(0).alias("side"), F.lit(True).alias("alone"))
+    small = small.select("id", F.xxhash64("grp").alias("k"), F.col("grp"), F.lit(0).alias("side"), F.lit(True).alias("alone"), F.lit(True).alias("whole"))
     # Large groups: tile (band, salt) meets itself, the others of its band, and those of the next band.
-    large = member.join(shape.filter("tiles > 0"), ["grp", "band"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("tiles")).cast("int"))
+    large = member.join(shape.filter("tiles > 0"), ["grp", "band"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("tiles")).cast("int"))
     beyond = shape.filter("tiles > 0").select("grp", (F.col("band") - 1).alias("band"), F.col("tiles").alias("next"))
     before = shape.filter("tiles > 0").select("grp", (F.col("band") + 1).alias("band"), F.col("tiles").alias("prev"))
     large = large.join(beyond, ["grp", "band"], "left").join(before, ["grp", "band"], "left")
@@ -624,8 +737,16 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, n
     down = F.transform(meet(F.col("prev")), lambda t: pair(F.col("band") * 2 - 1, t, F.col("salt"), 1))
     large = large.withColumn("p", F.explode(F.concat(own, up, down)))
     alone = (F.col("p.lo") % 2 == 0) & (F.col("p.x") == F.col("p.y"))
-    large = large.select("doc_id", F.xxhash64("grp", "p.lo", "p.x", "p.y").alias("k"), "grp", F.col("p.side").alias("side"), alone.alias("alone"))
+    large = large.select("id", F.xxhash64("grp", "p.lo", "p.x", "p.y").alias("k"), "grp", F.col("p.side").alias("side"), alone.alias("alone"), F.lit(False).alias("whole"))
     places = cut(small.unionByName(large))
+    drop_cut(member)
+    return places
+
+
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, num: int, den: int, bands: Bands) -> DataFrame:
+    # Of equal sets the smallest document stands for the others.
+    member = groups.select("node", F.col("root").alias("grp")).join(classes.select("node", F.col("head").alias("doc_id"), "n"), "node")
+    places = _laid_out(member.groupBy(F.col("doc_id").alias("id"), "grp").agg(F.max("n").alias("n")), bands).withColumnRenamed("id", "doc_id")
     # Only documents in groups are read again; their list goes to all machines if it is known to be short.
     few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = F.broadcast(places) if few else places

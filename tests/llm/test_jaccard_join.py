@@ -137,3 +137,32 @@ def test_join_class(spark):
     want = {(r["id"], r["k"], r["least"]) for r in rows.join(classes.drop("n"), "k", "left").collect()}
     got = join_class(rows, classes, "k", "n", 5000).select("id", "k", "least").collect()
     assert len(got) == 5000 and {tuple(r) for r in got} == want
+
+
+def test_only_sets_that_signatures_link_are_handed_on(spark, monkeypatch):
+    monkeypatch.setattr(jj, "NEAR", 2)
+    r = random.Random(5)
+    word = lambda: f"v{r.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(40))])) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(3)]
+    handed, links = [], jj._links
+    monkeypatch.setattr(jj, "_links", lambda docs, classes, groups, *more: handed.append(groups.count()) or links(docs, classes, groups, *more))
+    # sixty words in common keep all together by some digest, but only three pairs can be links
+    monkeypatch.setattr(jj, "part_digests", lambda x, bands, counts=None: np.append(np.unique(x)[:1] * np.uint64(0), x).astype(np.uint64))
+    got = sorted(tuple(x) for x in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 9, 10).collect())
+    assert got == brute(rows, 3, 9, 10) and handed == [6]
+
+
+def test_slices_of_a_range_give_the_same_pairs(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = jj.ranged(rng.integers(0, 2**63, 300).repeat(3).astype(np.uint64), rng.integers(0, 50, 900), 1)
+    found = []
+    for most in (10**6, 100):
+        monkeypatch.setattr(jj, "SLICE", most)
+        batches = list(jj._pairer([pa.RecordBatch.from_pandas(rows, preserve_index=False)]))
+        found.append({tuple(sorted(p)) for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
+        assert len(batches) == (1 if most == 10**6 else 9)
+    assert found[0] == found[1]
