@@ -15,8 +15,9 @@ so are beginnings that most words have in clean texts. A document's evidence is
 sum of its strongest three units' log odds (prefixes of one word count once), and a logistic curve
 fitted on the training texts makes it a probability.
 
-Training reads at most SAMPLE labelled rows (all, if fewer), chosen by hash of doc_id, never rows of
-the held-out fold. Defined results: null and empty texts score as a text without evidence; repeated
+Training counts every labelled row outside the held-out fold, as Spark aggregations; only the model goes through
+the driver: trigrams, words that a fixed share of all texts hold, units that pass, and evidence by thousandths.
+fit() is the same by plain Python, for tests. Defined results: null and empty texts score as a text without evidence; repeated
 rows repeat results; without any labelled toxic row every score is 0; of paths of equal probability the
 first found counts; words of any length are decoded; a null doc_id isn't held out; an empty table gives an
 empty one; columns of docs beyond text and doc_id aren't read by the query, and pass drop_toxic unchanged.
@@ -35,9 +36,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, cut, drop_cut, table
+from .graph import components
 
-SAMPLE = 6_000
+#: Labels up to which they are sent to every machine; counters that a task holds.
+BROADCAST_ROWS, HELD = 1_000_000, 200_000
 #: What a symbol may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -48,6 +51,8 @@ COST_SWAP, COST_REPEAT, COST_JOIN = -0.7, -0.3, -0.5
 MIN_TOXIC, MIN_ODDS, CHANCE, STRONGEST = 2, 2.5, 1.0, 3
 #: Clean training texts that make a word part of the vocabulary, which is never decoded.
 MIN_CLEAN = 3
+#: Of more texts, one in so many must hold a word that is learned as clean, and one that runs are cut into.
+CLEAN_SHARE, WORD_SHARE = 2_000, 6_000
 #: Longer parts are decoded like all others, but not kept for the next time.
 MEMO = 64
 _LETTER = r"[^\W\d_]"
@@ -64,21 +69,27 @@ _SPACED = re.compile(rf"(?<![\w@$])(?:{_LETTER}|{_SIGN})(?:([\s.\-_*]+)(?:{_LETT
 _CHEAP = re.compile(rf"{_SIGN}|({_LETTER})\1|(?<![\w@$]){_LETTER}[\s.\-_*]+{_LETTER}(?![\w@$])")
 
 
+def trigrams(words) -> Counter:
+    found = Counter()
+    for w, n in words.items():
+        w = f"^^{w}$"
+        for i in range(2, len(w)):
+            found[w[i - 2 : i + 1]] += n
+    return found
+
+
 class CharModel:
     """Character trigrams with add-k smoothing backed by bigrams; words are bounded by ^ and $."""
 
-    def __init__(self, words: Counter):
-        self.tri, self.bi, self.chars = Counter(), Counter(), set()
-        for w, n in words.items():
-            w = f"^^{w}$"
-            self.chars.update(w)
-            for i in range(2, len(w)):
-                self.tri[w[i - 2 : i + 1]] += n
-                self.bi[w[i - 2 : i]] += n
-        self.v = len(self.chars) + 1
+    def __init__(self, words: Counter, tri: Counter | None = None, total: int | None = None, least: int = 1):
+        """words: how often each is seen; with the trigrams and the total of all words, those beyond `least` are enough."""
+        self.tri, self.bi = trigrams(words) if tri is None else tri, Counter()
+        for t, n in self.tri.items():
+            self.bi[t[:2]] += n
+        self.v = len(set().union(*self.tri)) + 1
         # What a spaced run is cut into: words seen once are chance finds for the most part.
-        self.words = {w: n for w, n in words.items() if n > 1}
-        self.total = sum(words.values()) + 1
+        self.words = {w: n for w, n in words.items() if n > least}
+        self.total = (sum(words.values()) if total is None else total) + 1
         self.lengths = sorted(set(map(len, self.words)))
         self.common: set[str] = set()
         self.logs: dict[tuple[str, str], float] = {}
@@ -190,7 +201,7 @@ class Restorer:
                     plain.append(bare)
                 else:
                     out.add(self._one(bare))
-        out.update(_WORD.findall(" ".join(plain)))
+        out.update(plain)  # letters alone
         return out
 
 
@@ -209,9 +220,21 @@ def units(words) -> set[str]:
     return out
 
 
+def heads(found) -> set[str]:
+    """The first four letters of units: a word that begins otherwise has none of them."""
+    return {u[1:5] if u.startswith("^") else u[:4] for u in found}
+
+
+def band_keys(words: set[str], bands: int = 8) -> list[str]:
+    """MinHash keys of a set that isn't empty, of two minima each."""
+    factors = np.random.default_rng(7).integers(0, 2**64, 2 * bands, np.uint64) | np.uint64(1)
+    h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
+    low = np.array([(h * f).min() for f in factors]).reshape(bands, 2)
+    return [f"{b} {x} {y}" for b, (x, y) in enumerate(low.tolist())]
+
+
 def copies(sets: list[set[str]], bands: int = 8, least: float = 0.5) -> list[int]:
     """A group for each set of words: sets that are alike at `least` or more hang together. Candidates by MinHash in bands of two."""
-    factors = np.random.default_rng(7).integers(0, 2**64, 2 * bands, np.uint64) | np.uint64(1)
     group, seen = list(range(len(sets))), {}
 
     def find(i):
@@ -223,9 +246,7 @@ def copies(sets: list[set[str]], bands: int = 8, least: float = 0.5) -> list[int
     for i, words in enumerate(sets):
         if not words:
             continue
-        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
-        low = np.array([(h * f).min() for f in factors]).reshape(bands, 2)
-        for key in ((b, *low[b].tolist()) for b in range(bands)):
+        for key in band_keys(words, bands):
             other = seen.setdefault(key, i)
             if find(other) != find(i) and len(words & sets[other]) >= least * len(words | sets[other]):
                 group[max(find(i), find(other))] = min(find(i), find(other))
@@ -235,11 +256,13 @@ def copies(sets: list[set[str]], bands: int = 8, least: float = 0.5) -> list[int
 class ToxicModel:
     def __init__(self, odds: dict[str, float], chars: CharModel, slope: float, offset: float):
         self.odds, self.chars, self.slope, self.offset = odds, chars, slope, offset
-        self.restorer = None
+        self.restorer, self.heads = None, heads(odds)
 
     def evidence(self, words) -> float:
-        odds, each = self.odds, []
+        odds, first, each = self.odds, self.heads, []
         for w in words:
+            if w[:4] not in first:
+                continue
             o = max(odds.get(w, 0.0), odds.get("^" + w[:4], 0.0), odds.get("^" + w[:5], 0.0), odds.get("^" + w[:6], 0.0))
             if o:
                 each.append(o)
@@ -252,6 +275,19 @@ class ToxicModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.offset))))
 
 
+def curve(model: ToxicModel, x: np.ndarray, y: np.ndarray, times: np.ndarray) -> None:
+    """The logistic curve of labels y over evidence x, each seen so many times, by Newton steps with a small ridge; both classes weigh the same."""
+    each = times * np.where(y == 1, max(1, times[y == 0].sum()) / max(1, times[y == 1].sum()), 1.0)
+    a, b = 0.5, -2.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g = np.array([(each * (p - y) * x).sum() + 0.1 * a, (each * (p - y)).sum() + 0.1 * b])
+        w = each * p * (1 - p) + times * 1e-9
+        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
+        a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
+    model.slope, model.offset = float(a), float(b)
+
+
 def fit(texts: list[str], labels: list[int]) -> ToxicModel:
     y = np.array(labels)
     seen, toxic = Counter(), Counter()
@@ -261,7 +297,7 @@ def fit(texts: list[str], labels: list[int]) -> ToxicModel:
     for w, n in toxic.items():
         words[w] += 2 * n  # toxic words are rare; the channel should still find them likely
     chars = CharModel(words)
-    chars.common = {w for w, n in seen.items() if n >= MIN_CLEAN}
+    chars.common = {w for w, n in seen.items() if n >= MIN_CLEAN}  # few texts: no share
     del words, seen, toxic
     restorer = Restorer(chars)
     same: dict[str, str] = {}  # one object for each word, however many texts hold it
@@ -312,16 +348,7 @@ def fit(texts: list[str], labels: list[int]) -> ToxicModel:
         model.slope, model.offset = 0.0, -30.0
         return model
     x = np.array([model.evidence(w) for w in plain])
-    # Logistic curve by Newton steps with a small ridge; both classes weigh the same.
-    each = np.where(y == 1, n0 / max(1, int((y == 1).sum())), 1.0)
-    a, b = 0.5, -2.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(each * (p - y) * x).sum() + 0.1 * a, (each * (p - y)).sum() + 0.1 * b])
-        w = each * p * (1 - p) + 1e-9
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
-    model.slope, model.offset = float(a), float(b)
+    curve(model, x, y, np.ones(len(y)))
     return model
 
 
@@ -329,12 +356,140 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def _tally(counters: list[Counter], names: list[str]) -> pd.DataFrame:
+    keys = list(set().union(*counters))
+    return pd.DataFrame({names[0]: pd.Series(keys, dtype=object)} | {name: [c[k] for k in keys] for name, c in zip(names[1:], counters)})
+
+
+def _seen(batches):
+    """Rows text, toxic -> word and how many clean and toxic texts have it, and how many clean ones as a part of letters alone."""
+    names = ["word", "clean", "toxic", "plain"]
+    clean, toxic, plain = counters = [Counter(), Counter(), Counter()]
+    for pdf in batches:
+        for text, label in zip(pdf["text"], pdf["toxic"]):
+            parts = set(_PART.findall((text or "").lower()))
+            words = set(_WORD.findall(" ".join(parts)))
+            (toxic if label else clean).update(words)
+            if not label:
+                plain.update(parts & words)
+            if len(clean) + len(toxic) >= HELD:
+                yield _tally(counters, names)
+                for c in counters:
+                    c.clear()
+    yield _tally(counters, names)
+
+
+def _grams(batches):
+    for pdf in batches:
+        yield _tally([trigrams(dict(zip(pdf["word"], pdf["n"])))], ["gram", "n"])
+
+
+def _units(w: Column) -> Column:
+    """A word's units, as units() gives them."""
+    return F.concat(F.array(w), *(F.when(F.length(w) > n, F.array(F.concat(F.lit("^"), F.substring(w, 1, n)))).otherwise(F.array().cast("array<string>")) for n in (4, 5, 6)))
+
+
+def _restored(rows: DataFrame, chars: CharModel, only: set[str] | None = None) -> DataFrame:
+    """rows: id, text -> id, words, keys: restored words of each text and the MinHash keys of all; only: those that have one of these units, without keys."""
+    shared = rows.sparkSession.sparkContext.broadcast((chars, only))
+
+    def restore(batches):
+        chars, only = shared.value
+        restorer, first = Restorer(chars), heads(only or ())
+        for pdf in batches:
+            words = [words_of(t or "", restorer) for t in pdf["text"]]
+            if only is None:
+                keys = [band_keys(w) if w else [] for w in words]
+            else:
+                words = [{w for w in found if w[:4] in first and not only.isdisjoint(units((w,)))} for found in words]
+                keys = [[] for _ in words]
+            yield pd.DataFrame({"id": pdf["id"], "words": [sorted(w) for w in words], "keys": keys})
+
+    return rows.select("id", "text").mapInPandas(restore, "id long, words array<string>, keys array<string>")
+
+
+def _groups(texts: DataFrame) -> DataFrame:
+    """texts: id, words, keys -> grp, weight, word: copies as in copies(), their weight, their distinct words."""
+    own = F.when(F.size("words") == 0, F.col("id").cast("string")).otherwise(F.sha2(F.array_join("words", " "), 256))
+    sets = cut(texts.groupBy(own.alias("own")).agg(F.min("id").alias("id"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    keyed = sets.select("id", F.explode("keys").alias("key"))
+    pairs = keyed.join(keyed.groupBy("key").agg(F.min("id").alias("head")), "key").filter("id <> head").select("id", "head").distinct()
+    pairs = pairs.join(sets.select("id", F.col("words").alias("x")), "id").join(sets.select(F.col("id").alias("head"), F.col("words").alias("y")), "head")
+    edges = cut(pairs.filter(F.size(F.array_intersect("x", "y")) >= 0.5 * F.size(F.array_union("x", "y"))).select(F.col("id").alias("a"), F.col("head").alias("b")))
+    grouped = sets.withColumn("grp", F.col("id"))
+    if not edges.isEmpty():
+        grouped = sets.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("root", "id"))
+    weight = grouped.groupBy("grp").agg((1 + F.log(F.sum("n")) / math.log(4)).alias("weight"))
+    return cut(grouped.select("grp", F.explode_outer("words").alias("word")).distinct().join(weight, "grp"))
+
+
+def _passes(n: Column, clean: Column, once: Column, n1: float, n0: int, bars: tuple[float, float]) -> Column:
+    """Whether a unit of so much weight in toxic texts and so many clean ones leans enough to toxic texts, and by more than chance."""
+    odds = F.log((n + 0.1) / (n1 + 0.2)) - F.log((clean + 0.1) / (n0 + 0.2))
+    expected = (n + clean) * n1 / (n0 + n1)
+    gain = F.when(n > expected, n * F.log(n / expected) - (n - expected)).otherwise(0.0)
+    return (odds >= MIN_ODDS) & (gain >= F.when(once, bars[1]).otherwise(bars[0]))
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> ToxicModel:
-    """Fits on at most SAMPLE labelled documents outside the held-out fold."""
+    """Fits on all labelled documents outside the held-out fold."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
-    return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    known = known.groupBy("doc_id").agg((F.max("toxic") != 0).alias("toxic"))
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids = docs.select("doc_id").join(F.broadcast(known) if few else known, "doc_id")
+    n0, found = (ids.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first())
+    rows = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id").select(F.monotonically_increasing_id().alias("id"), "text", "toxic")
+    if not found:
+        return ToxicModel({}, CharModel(Counter()), 0.0, -30.0)
+    # The channel: trigrams of all words; toxic words are rare, it should still find them likely.
+    seen = cut(rows.select("text", "toxic").mapInPandas(_seen, "word string, clean long, toxic long, plain long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "plain"))))
+    words = seen.select("word", "clean", (F.col("clean") + 2 * F.col("toxic")).alias("n"))
+    grams = words.select("word", "n").mapInPandas(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    least, many = max(MIN_CLEAN, n0 // CLEAN_SHARE), max(1, (n0 + found) // WORD_SHARE)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chars = CharModel(Counter({r["word"]: r["n"] for r in words.filter(F.col("n") > many).collect()}), Counter({r["gram"]: r["n"] for r in grams.collect()}), total, many)
+    double = F.col("word").rlike(r"(.)\1")
+    # a word without a letter twice in a row is never decoded, learned or not
+    chars.common = {r["word"] for r in words.filter((F.col("clean") >= least) & double).select("word").collect()}
+    toxic = cut(_restored(rows.filter("toxic"), chars))
+    groups = _groups(toxic)
+    n1 = max(1.0, groups.select("grp", "weight").distinct().agg(F.sum("weight")).first()[0])
+    n0 = max(1, n0)
+    found_units = groups.filter("word IS NOT NULL").select("grp", "weight", F.explode(_units(F.col("word"))).alias("unit")).distinct()
+    tally = cut(found_units.groupBy("unit").agg(F.sum("weight").alias("n"), (F.count("*") == 1).alias("once")))
+    n_tried, n_units = tally.agg(F.count_if(F.col("n") >= MIN_TOXIC), F.count("*")).first()
+    bars = (math.log(n_tried + 1) + CHANCE, math.log(n_units + 1) + CHANCE)
+    # Words that stay as they are give each unit a least number of clean texts; what can't pass by that is counted no further.
+    sure = seen.filter((F.col("plain") > 0) & (~double | (F.col("clean") >= least)))
+    sure = sure.select("plain", F.explode(_units(F.col("word"))).alias("unit")).groupBy("unit").agg(F.max("plain").alias("sure"))
+    passes = lambda clean: _passes(F.col("n"), F.coalesce(clean, F.lit(0)), F.col("once"), n1, n0, bars)
+    tried = cut(tally.filter(F.col("n") >= MIN_TOXIC).join(sure, "unit", "left").filter(passes(F.col("sure"))).select("unit", "n", "once"))
+    clean = cut(_restored(rows.filter("NOT toxic"), chars, {r["unit"] for r in tried.collect()}).filter(F.size("words") > 0).select("words"))
+    held_units = clean.select(F.explode(F.array_distinct(F.flatten(F.transform("words", _units)))).alias("unit")).groupBy("unit").agg(F.count("*").alias("clean"))
+    # a beginning counts only if most words that have it are toxic ones
+    innocent = clean.select(F.explode("words").alias("word")).distinct()
+    starts = lambda df: df.select(F.explode(_units(F.col("word"))).alias("unit")).filter(F.col("unit").startswith("^")).groupBy("unit").agg(F.count("*").alias("k"))
+    guilty = starts(groups.filter("word IS NOT NULL").select("word").distinct().join(innocent, "word", "left_anti")).withColumnRenamed("k", "guilty")
+    left = tried.join(held_units, "unit", "left").join(guilty, "unit", "left").join(starts(innocent).withColumnRenamed("k", "innocent"), "unit", "left")
+    left = left.filter(passes(F.col("clean")) & (~F.col("unit").startswith("^") | (F.coalesce("guilty", F.lit(0)) > F.coalesce("innocent", F.lit(0)))))
+    odds = {r["unit"]: min(8.0, math.log((r["n"] + 0.1) / (n1 + 0.2)) - math.log(((r["clean"] or 0) + 0.1) / (n0 + 0.2))) for r in left.collect()}
+    model = ToxicModel(odds, chars, 1.0, -4.0)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def evidence(words: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.evidence(w) for w in words], dtype="float64")
+
+    count = lambda df: {r["x"]: r["count"] for r in df.select(F.round(evidence("words"), 3).alias("x")).groupBy("x").count().collect()}
+    marked, other = count(toxic), Counter(count(clean))
+    other[0.0] += n0 - sum(other.values())
+    x, times = np.array([*marked, *other]), np.array([*marked.values(), *other.values()], np.float64)
+    curve(model, x, np.repeat([1, 0], [len(marked), len(other)]), times)
+    for df in (seen, toxic, groups, tally, tried, clean):
+        drop_cut(df)
+    return model
 
 
 def scorer(model: ToxicModel):

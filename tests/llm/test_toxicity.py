@@ -130,3 +130,22 @@ def test_copies_of_one_toxic_text_weigh_little_more_than_one():
     model = tx.fit(texts, [1] * 70 + [0] * 600)
     assert "idiot" in model.odds and not set(one) & model.odds.keys()
     assert model.score(" ".join(one)) < 0.5
+
+
+def test_training_counts_every_labelled_row(spark):
+    r = random.Random(12)
+    syllables = ["an", "the", "re", "on", "ed", "ing", "st", "er"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    rows = []
+    for i in range(7000):
+        w = [word() for _ in range(12)]
+        if i % 7 == 0:
+            w += [r.choice([*BAD, "1d10t", "l o s e r", "moorron"])]
+        rows.append((i, " ".join(w), int(i % 7 == 0)))
+    rows += [(8000 + i, "a copy of one idiot text " + str(i), 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    model = tx.train(df, df.select("doc_id", "toxic"), folds=1, held=1)
+    want = tx.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    assert model.chars.tri == want.chars.tri and model.chars.total == want.chars.total and model.chars.words == {w: n for w, n in want.chars.words.items() if n > 1}
+    assert model.odds.keys() == want.odds.keys() and all(abs(model.odds[u] - o) < 1e-9 for u, o in want.odds.items())
+    assert abs(model.slope - want.slope) < 1e-2 and abs(model.offset - want.offset) < 1e-2
