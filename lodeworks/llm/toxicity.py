@@ -53,6 +53,8 @@ MIN_TOXIC, MIN_ODDS, CHANCE, STRONGEST = 2, 2.5, 1.0, 3
 MIN_CLEAN = 3
 #: Of more texts, one in so many must hold a word that is learned as clean, and one that runs are cut into.
 CLEAN_SHARE, WORD_SHARE = 2_000, 6_000
+#: One in so many clean texts is counted before all are.
+FIRST = 8
 #: Longer parts are decoded like all others, but not kept for the next time.
 MEMO = 64
 _LETTER = r"[^\W\d_]"
@@ -60,13 +62,15 @@ _TOKEN = re.compile(r"\S+")
 _WORD = re.compile(rf"{_LETTER}+")
 _SIGN = "[" + re.escape("".join(LEET)) + "]"
 #: What the lattice decodes: letters and their stand-ins in a row.
-_PART = re.compile(rf"(?:{_LETTER}|{_SIGN})+")
+_PART = re.compile(rf"(?:{_LETTER}+|{_SIGN}+)+")
 #: Without a stand-in or a letter twice in a row a part has one path, itself.
 _OPEN = re.compile(rf"{_SIGN}|({_LETTER})\1")
 _EDGE = "!(|+*"
 #: Letters or their stand-ins one by one, with the same spaces or signs between.
 _SPACED = re.compile(rf"(?<![\w@$])(?:{_LETTER}|{_SIGN})(?:([\s.\-_*]+)(?:{_LETTER}|{_SIGN})(?:\1(?:{_LETTER}|{_SIGN}))*)(?![\w@$])")
-_CHEAP = re.compile(rf"{_SIGN}|({_LETTER})\1|(?<![\w@$]){_LETTER}[\s.\-_*]+{_LETTER}(?![\w@$])")
+#: Without this a text has no such row.
+_RUN = re.compile(rf"[\s.\-_*](?<=(?:{_LETTER}|{_SIGN}).)(?<![\w@$]..)[\s.\-_*]*(?:{_LETTER}|{_SIGN})(?:[\s.\-_*]|(?![\w@$]))", re.S)
+_CHEAP = re.compile(rf"{_SIGN}|({_LETTER})\1|{_RUN.pattern}", re.S)
 
 
 def trigrams(words) -> Counter:
@@ -167,9 +171,55 @@ def viterbi(token: str, model: CharModel, spaced: bool = False) -> str:
     return "".join(reversed(found))
 
 
+class Reach:
+    """Whether a part's restored words can begin as one of the given units does, by all paths of the lattice at once.
+
+    A path writes at least one letter for each run of a letter and perhaps none for other signs, so the beginnings
+    that are open after each character are known without any model; where none is left, nothing has to be decoded.
+    """
+
+    def __init__(self, only: set[str]):
+        self.heads = heads(only)
+        self.open = {h[:n] for h in self.heads for n in range(len(h))}
+        # What a text is searched for: parts whose first letters allow it. Beyond Latin, letters may count as signs here.
+        signs, second = re.escape("".join(LEET)) + "\x80-\xbfɐ-\U0010ffff", {}
+        for h in self.heads:
+            second.setdefault(h[0], set()).add(h[1:2])
+        ways = [f"(?<=[{signs}])"]
+        for c, after in sorted(second.items()):
+            c = re.escape(c)
+            ways.append(f"(?<={c})" if "" in after else f"(?<={c}){c}*[{signs}{re.escape(''.join(sorted(after)))}]")
+        either = f"(?:{_LETTER}|{_SIGN})"
+        self.parts = re.compile(f"[{signs}{re.escape(''.join(sorted(second)))}](?<!{either}.)(?<={either})(?:{'|'.join(ways)})(?:{_LETTER}+|{_SIGN}+)*", re.S)
+
+
+    def __call__(self, token: str, anywhere: bool = False) -> bool:
+        """anywhere: a word may begin at each character."""
+        at, before = {""}, None
+        for c in token:
+            letter = c.isalpha()
+            new = set() if letter and c != before else set(at)
+            for x in (*(c if letter else ""), *LEET.get(c, "")):
+                for s in at:
+                    s += x
+                    if s in self.heads:
+                        return True
+                    if s in self.open:
+                        new.add(s)
+            if anywhere:
+                new.add("")
+            if not new:
+                return False
+            at, before = new, c
+        return False
+
+
 class Restorer:
-    def __init__(self, model: CharModel, keep: int = 40_000):
+    """only: units that are asked for; words without any of them are left out, and what can't become one with them isn't decoded."""
+
+    def __init__(self, model: CharModel, keep: int = 40_000, only: set[str] | None = None):
         self.model, self.keep, self.known = model, keep, {}
+        self.only, self.reach = only, None if only is None else Reach(only)
 
     def _one(self, token: str) -> str:
         if len(token) > MEMO:
@@ -185,29 +235,45 @@ class Restorer:
         words = viterbi(token, self.model, spaced=True).split()
         return {*words, *self.model.cut("".join(words)), self._one(token)}
 
-    def words(self, text: str) -> set[str]:
-        """The words of the restored text. Signs at a part's ends may be letters or not: both readings count."""
-        out, plain = set(), []
-        for m in _SPACED.finditer(text):
-            out |= self._run("".join(m.group(0).split(m.group(1))))
-        for t in set(_PART.findall(text)):
+    def _read(self, parts) -> set[str]:
+        """The words of parts. Signs at a part's ends may be letters or not: both readings count."""
+        out, plain, reach = set(), [], self.reach
+        for t in parts:
             if t in self.model.common or not _OPEN.search(t):
                 plain.append(t)
                 continue
-            out.add(self._one(t))
+            if reach is None or reach(t):
+                out.add(self._one(t))
             bare = t.strip(_EDGE)
             if bare != t:
                 if bare in self.model.common or not _OPEN.search(bare):
                     plain.append(bare)
-                else:
+                elif reach is None or reach(bare):
                     out.add(self._one(bare))
         out.update(plain)  # letters alone
         return out
 
+    def _asked(self, words: set[str]) -> set[str]:
+        first, only = self.reach.heads, self.only
+        return {w for w in words if w[:4] in first and not only.isdisjoint(units((w,)))}
+
+    def words(self, text: str) -> set[str]:
+        """The words of the restored text."""
+        out = set()
+        for m in _SPACED.finditer(text) if _RUN.search(text) else ():
+            token = "".join(m.group(0).split(m.group(1)))
+            if self.reach is None:
+                out |= self._run(token)
+            elif self.reach(token, anywhere=True):
+                out |= self._asked(self._run(token))
+        if self.reach is None:
+            return out | self._read(set(_PART.findall(text)))
+        return out | self._asked(self._read(set(self.reach.parts.findall(text))))
+
 
 def words_of(text: str, restorer: Restorer | None) -> set[str]:
     low = text.lower()
-    if restorer is not None and _CHEAP.search(low):
+    if restorer is not None and (restorer.only is not None or _CHEAP.search(low)):
         return restorer.words(low)
     return set(_WORD.findall(low))
 
@@ -270,7 +336,7 @@ class ToxicModel:
 
     def score(self, text: str | None) -> float:
         if self.restorer is None:
-            self.restorer = Restorer(self.chars)
+            self.restorer = Restorer(self.chars, only=self.odds.keys())
         x = self.evidence(words_of(text or "", self.restorer))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.offset))))
 
@@ -368,7 +434,8 @@ def _seen(batches):
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["toxic"]):
             parts = set(_PART.findall((text or "").lower()))
-            words = set(_WORD.findall(" ".join(parts)))
+            words = {p for p in parts if p.isalpha()}
+            words.update(_WORD.findall(" ".join(parts - words)))
             (toxic if label else clean).update(words)
             if not label:
                 plain.update(parts & words)
@@ -389,25 +456,49 @@ def _units(w: Column) -> Column:
     return F.concat(F.array(w), *(F.when(F.length(w) > n, F.array(F.concat(F.lit("^"), F.substring(w, 1, n)))).otherwise(F.array().cast("array<string>")) for n in (4, 5, 6)))
 
 
-def _restored(rows: DataFrame, chars: CharModel, only: set[str] | None = None) -> DataFrame:
-    """rows: id, text -> id, words, keys: restored words of each text and the MinHash keys of all; only: those that have one of these units, without keys."""
-    shared = rows.sparkSession.sparkContext.broadcast((chars, only))
+def _restored(rows: DataFrame, chars: CharModel) -> DataFrame:
+    """rows: id, text -> id, words, keys: restored words of each text and their MinHash keys."""
+    shared = rows.sparkSession.sparkContext.broadcast(chars)
 
     def restore(batches):
-        chars, only = shared.value
-        restorer, first = Restorer(chars), heads(only or ())
+        restorer = Restorer(shared.value)
         for pdf in batches:
             words = [words_of(t or "", restorer) for t in pdf["text"]]
-            if only is None:
-                keys = [band_keys(w) if w else [] for w in words]
-            else:
-                words = [{w for w in found if w[:4] in first and not only.isdisjoint(units((w,)))} for found in words]
-                keys = [[] for _ in words]
-            yield pd.DataFrame({"id": pdf["id"], "words": [sorted(w) for w in words], "keys": keys})
+            yield pd.DataFrame({"id": pdf["id"], "words": [sorted(w) for w in words], "keys": [band_keys(w) if w else [] for w in words]})
 
     return rows.select("id", "text").mapInPandas(restore, "id long, words array<string>, keys array<string>")
 
 
+def _bearing(rows: DataFrame, chars: CharModel, only: set[str], counts: bool = False) -> DataFrame:
+    """rows: text -> words, unit, word, n. Three kinds of rows: the words of a text that have one of the units `only`, if any;
+    a unit and how many texts of a part of the rows have it; a word that a part of the rows has. counts: the second kind alone."""
+    shared = rows.sparkSession.sparkContext.broadcast((chars, only))
+
+    def told(held: Counter, seen: set[str]) -> pd.DataFrame:
+        u, w = list(held), list(seen)
+        n = len(u) + len(w)
+        return pd.DataFrame({"words": pd.Series([None] * n, dtype=object), "unit": pd.Series(u + [None] * len(w), dtype=object), "word": pd.Series([None] * len(u) + w, dtype=object), "n": pd.Series([held[x] for x in u] + [0] * len(w), dtype="int64")})
+
+    def bear(batches):
+        chars, only = shared.value
+        restorer, held, seen = Restorer(chars, only=only), Counter(), set()
+        for pdf in batches:
+            found = [w for t in pdf["text"] if (w := words_of(t or "", restorer))]
+            for words in found:
+                held.update(units(words) & only)
+                if not counts:
+                    seen |= words
+            if not counts:
+                none = pd.Series([None] * len(found), dtype=object)
+                yield pd.DataFrame({"words": pd.Series([sorted(w) for w in found], dtype=object), "unit": none, "word": none, "n": pd.Series([0] * len(found), dtype="int64")})
+            if len(held) + len(seen) >= HELD:
+                yield told(held, seen)
+                held, seen = Counter(), set()
+        yield told(held, seen)
+
+    return rows.select("text").mapInPandas(bear, "words array<string>, unit string, word string, n long")
+
+
 def _groups(texts: DataFrame) -> DataFrame:
     """texts: id, words, keys -> grp, weight, word: copies as in copies(), their weight, their distinct words."""
     own = F.when(F.size("words") == 0, F.col("id").cast("string")).otherwise(F.sha2(F.array_join("words", " "), 256))
@@ -440,7 +531,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = docs.select("doc_id").join(F.broadcast(known) if few else known, "doc_id")
     n0, found = (ids.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first())
-    rows = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id").select(F.monotonically_increasing_id().alias("id"), "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id").select(F.monotonically_increasing_id().alias("id"), "text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(FIRST)) == 0).alias("first"))
     if not found:
         return ToxicModel({}, CharModel(Counter()), 0.0, -30.0)
     # The channel: trigrams of all words; toxic words are rare, it should still find them likely.
@@ -466,10 +557,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     sure = sure.select("plain", F.explode(_units(F.col("word"))).alias("unit")).groupBy("unit").agg(F.max("plain").alias("sure"))
     passes = lambda clean: _passes(F.col("n"), F.coalesce(clean, F.lit(0)), F.col("once"), n1, n0, bars)
     tried = cut(tally.filter(F.col("n") >= MIN_TOXIC).join(sure, "unit", "left").filter(passes(F.col("sure"))).select("unit", "n", "once"))
-    clean = cut(_restored(rows.filter("NOT toxic"), chars, {r["unit"] for r in tried.collect()}).filter(F.size("words") > 0).select("words"))
-    held_units = clean.select(F.explode(F.array_distinct(F.flatten(F.transform("words", _units)))).alias("unit")).groupBy("unit").agg(F.count("*").alias("clean"))
+    # So do the counts of some of the clean texts, restored; all clean texts are then asked for the units that are left.
+    some = _bearing(rows.filter("NOT toxic AND first"), chars, {r["unit"] for r in tried.collect()}, counts=True).groupBy("unit").agg(F.sum("n").alias("some"))
+    tested, tried = tried, cut(tried.join(some, "unit", "left").filter(passes(F.col("some"))).select("unit", "n", "once"))
+    clean = cut(_bearing(rows.filter("NOT toxic"), chars, {r["unit"] for r in tried.collect()}))
+    held_units = clean.filter("unit IS NOT NULL").groupBy("unit").agg(F.sum("n").alias("clean"))
     # a beginning counts only if most words that have it are toxic ones
-    innocent = clean.select(F.explode("words").alias("word")).distinct()
+    innocent = cut(clean.filter("word IS NOT NULL").select("word").distinct())
     starts = lambda df: df.select(F.explode(_units(F.col("word"))).alias("unit")).filter(F.col("unit").startswith("^")).groupBy("unit").agg(F.count("*").alias("k"))
     guilty = starts(groups.filter("word IS NOT NULL").select("word").distinct().join(innocent, "word", "left_anti")).withColumnRenamed("k", "guilty")
     left = tried.join(held_units, "unit", "left").join(guilty, "unit", "left").join(starts(innocent).withColumnRenamed("k", "innocent"), "unit", "left")
@@ -483,11 +577,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
         return pd.Series([shared.value.evidence(w) for w in words], dtype="float64")
 
     count = lambda df: {r["x"]: r["count"] for r in df.select(F.round(evidence("words"), 3).alias("x")).groupBy("x").count().collect()}
-    marked, other = count(toxic), Counter(count(clean))
+    marked, other = count(toxic), Counter(count(clean.filter("words IS NOT NULL")))
     other[0.0] += n0 - sum(other.values())
     x, times = np.array([*marked, *other]), np.array([*marked.values(), *other.values()], np.float64)
     curve(model, x, np.repeat([1, 0], [len(marked), len(other)]), times)
-    for df in (seen, toxic, groups, tally, tried, clean):
+    for df in (seen, toxic, groups, tally, tested, tried, clean, innocent):
         drop_cut(df)
     return model
 

@@ -149,3 +149,20 @@ def test_training_counts_every_labelled_row(spark):
     assert model.chars.tri == want.chars.tri and model.chars.total == want.chars.total and model.chars.words == {w: n for w, n in want.chars.words.items() if n > 1}
     assert model.odds.keys() == want.odds.keys() and all(abs(model.odds[u] - o) < 1e-9 for u, o in want.odds.items())
     assert abs(model.slope - want.slope) < 1e-2 and abs(model.offset - want.offset) < 1e-2
+
+
+def test_only_parts_that_can_become_an_asked_unit_are_decoded(model, monkeypatch):
+    r = random.Random(21)
+    signs = "".join(tx.LEET) + "aeioumrnlst"
+    made = ["".join(r.choice(signs) for _ in range(r.randint(1, 9))) for _ in range(4000)]
+    made += ["".join(c * r.randint(1, 3) for c in r.choice(BAD)) + r.choice(["", "!", "ab", "²", "日"]) for _ in range(400)]
+    made += [r.choice([" ", ". ", "_", "-"]).join(x) for x in made[::40]] + ["²idiot", "m²oron", "日idiot", "(moron)", "x_1d10t", "—m0ron"]
+    texts = [" ".join(r.sample(made, 12)) for _ in range(800)] + made[-120:]
+    only, whole = model.odds.keys() | {"^am", "an"}, tx.Restorer(model.chars)
+    asked, decoded, way = tx.Restorer(model.chars, only=only), [], tx.viterbi
+    want = [{w for w in tx.words_of(t, whole) if not only.isdisjoint(tx.units((w,)))} for t in texts]
+    monkeypatch.setattr(tx, "viterbi", lambda token, *a, **b: decoded.append(token) or way(token, *a, **b))
+    assert [tx.words_of(t, asked) for t in texts] == want and any(want)
+    decoded.clear()
+    assert model.score("bookkeeper 4ccess cell 2200 wiiide b00k seen") < 0.5 and not decoded
+    assert model.score("m_o_r_o_n") >= 0.5
