@@ -8,13 +8,17 @@
    at least 1 + S whole parts. Each set leaves out the digests of its S most frequent parts. In any one
    order of all digests the first that both sets share has S shared ones behind it, so neither leaves
    it out. The order is by counts of all digests of all documents in SKETCH counters (a fixed size),
-   then by digest; collisions there cost time, never a link. Digests go to the machines in hash ranges.
-3. A digest that up to NEAR nodes share gives each of their pairs, so at most NEAR - 1 a node, and such a
-   pair goes on only if the two bitmap signatures allow a link: bits of one side that the other lacks
-   are elements that it lacks. Most pairs are strangers with one passage in common; were they kept, they
-   would chain nearly all documents into one group. A digest that more share keeps them all together,
-   and of what a range keeps together only a spanning forest is handed on. A map task thins digests that
-   many of its documents share to NEAR + 1 nodes, so one that a third of all documents share costs few rows.
+   then by digest; collisions there cost time, never a link. Digests go to the machines by tile, and in
+   hash ranges of it, so that a node is named in few ranges. With its name go its size and parities: for
+   each of some buckets whether it holds an odd number of the set's elements. Where two sets' parities
+   differ, at least one element is in one set alone, so they bound what the sets may have in common.
+3. A digest that up to NEAR nodes share gives each of their pairs, so at most NEAR - 1 a node. Most are
+   strangers with one passage in common, more of them with each document; parities and sizes part nearly all of
+   them in the range itself, so that only a pair that may be a link becomes a row, once a range. It goes on only
+   if the two bitmap signatures allow a link, too: bits of one side that the other lacks are elements that it
+   lacks. A digest that more share keeps them all together, and of what a range keeps together only a spanning
+   forest is handed on. A map task thins digests that many of its documents share to NEAR + 1 nodes, so one that
+   a third of all documents share costs few rows.
 4. Components of these pairs are groups. A group is laid out in tiles by size band, large bands in
    several by hash. Tiles of bands that can hold links meet in pairs, first by size and signature alone: groups
    become what signatures connect, and only the sets of these travel. In a pair of tiles, bitmap
@@ -61,6 +65,8 @@ THIN = 1_000_000
 BITS_EACH, BITS_MOST = 2, 1 << 14
 #: Bytes of words that are hashed by place; longer ones by a digest of their own.
 LONG_WORD = 64
+#: Parities of a set for each element in which linked sets may differ, at least.
+PARITIES = 4
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -175,6 +181,10 @@ class Bands:
     def spare(self, tile: int) -> int:
         return SPARE + self.differ(tile) // SPARE_SHARE
 
+    def parities(self, tile: int) -> int:
+        """Bits of a set's parities in a tile: strangers differ in about half of them, which is to be well beyond what links may differ in."""
+        return max(64, 1 << (PARITIES * (self.differ(tile) + 1) - 1).bit_length())
+
 
 def _tile_digests(x: np.ndarray, bands: Bands):
     """For each of a set's two tiles: the digests of all parts, and how many of them may be left out."""
@@ -194,7 +204,7 @@ def _counter(digests: np.ndarray) -> np.ndarray:
 
 
 def part_digests(x: np.ndarray, bands: Bands, counts: np.ndarray | None = None) -> np.ndarray:
-    """Digests of a set's parts in its two tiles, without each tile's most frequent ones."""
+    """Digests of a set's parts in its two tiles, one tile after the other, without each tile's most frequent ones."""
     out = []
     for d, spare in _tile_digests(x, bands):
         order = np.lexsort((d, counts[_counter(d)])) if counts is not None else np.argsort(d)
@@ -202,6 +212,12 @@ def part_digests(x: np.ndarray, bands: Bands, counts: np.ndarray | None = None)
     return np.concatenate(out)
 
 
+def parities(x: np.ndarray, bits: int) -> bytes:
+    """For each of `bits` buckets of hashes whether the set has an odd number of elements there."""
+    odd = np.bincount(((x >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def node_of(x: np.ndarray) -> int:
     """A set's name: equal sets have equal ones. Different sets that share one cost time, never a link."""
     return int(_stir(np.bitwise_xor.reduce(_stir(x ^ np.uint64(5)))[None] + np.uint64(len(x))).view(np.int64)[0])
@@ -261,8 +277,11 @@ def _forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def ranged(digests: np.ndarray, nodes: np.ndarray, ranges: int) -> pd.DataFrame:
-    """(digest, node) as a row for each range of digests; of a digest that more than NEAR nodes share the rest becomes pairs that stay together, as a row without digests."""
+def ranged(digests: np.ndarray, nodes: np.ndarray, ranges: int, begin: int = 0, about: tuple | None = None) -> pd.DataFrame:
+    """(digest, node) as a row for each range of digests, numbered from `begin`; of a digest that more than NEAR nodes share the rest becomes pairs that stay together, as a row without digests.
+
+    about: names of the nodes in order, their sizes and their parities, one row a node, which go with a node's name.
+    """
     d, n, first, many = _by_digest(digests, nodes)
     nth = np.arange(len(d)) - first
     over = nth > NEAR
@@ -276,27 +295,49 @@ def ranged(digests: np.ndarray, nodes: np.ndarray, ranges: int) -> pd.DataFrame:
     for i in np.nonzero(np.diff(cuts))[0].tolist():
         mine = n[cuts[i] : cuts[i + 1]]
         start = np.nonzero(np.append(True, mine[1:] != mine[:-1]))[0]
-        rows.append((i, d[cuts[i] : cuts[i + 1]].tobytes(), mine[start].tobytes(), np.diff(np.append(start, len(mine))).astype(np.uint32).tobytes()))
+        known = [b"", b""]
+        if about is not None:
+            at = np.searchsorted(about[0], mine[start])
+            known = [of[at].tobytes() for of in about[1:]]
+        rows.append((begin + i, d[cuts[i] : cuts[i + 1]].tobytes(), mine[start].tobytes(), np.diff(np.append(start, len(mine))).astype(np.uint32).tobytes(), *known))
     if len(kept):
-        rows.append((int(kept[0, 0] % ranges), b"", kept.tobytes(), b""))
-    return pd.DataFrame(rows, columns=["part", "digests", "nodes", "counts"])
+        rows.append((begin + int(kept[0, 0] % ranges), b"", kept.tobytes(), b"", b"", b""))
+    return pd.DataFrame(rows, columns=["part", "digests", "nodes", "counts", "sizes", "parities"])
 
 
-RANGED = "part long, digests binary, nodes binary, counts binary"
+RANGED = "part long, digests binary, nodes binary, counts binary, sizes binary, parities binary"
 
 
-def _thinner(words: int, bands: Bands, ranges: int, counts=None):
-    """Documents become digests by range, and, as rows without digests, pairs that stay together."""
+def _ranges(classes: DataFrame, bands: Bands, least: int) -> dict[int, tuple[int, int]]:
+    """For each tile that has sets its first range and the number of its ranges, about `least` ranges or more in all."""
+    weight = {}
+    for band, rows in classes.groupBy(_band(bands)).agg(F.sum("rows")).collect():
+        for tile in range(max(0, band - 1), band + 1):
+            # digests of 4 bytes, and what goes with a node's name
+            each = bands.parts(tile) - bands.spare(tile) + 5 + bands.parities(tile) / 32
+            weight[tile] = weight.get(tile, 0) + rows * each
+    one, out, begin = min(RANGE, sum(weight.values()) / least), {}, 0
+    for tile in sorted(weight):
+        out[tile] = begin, math.ceil(weight[tile] / one)
+        begin += out[tile][1]
+    return out
+
+
+def _thinner(words: int, bands: Bands, ranges: dict[int, tuple[int, int]], counts=None):
+    """Documents become digests by tile and range, and, as rows without digests, pairs that stay together."""
 
     def thin(batches):
         shingler = Shingler(words)
-        held, names, size = [], {}, 0
+        held, names, size = {}, set(), 0
 
         def flush():
             nonlocal held, names, size
-            if held:
-                yield ranged(np.concatenate(held), np.repeat(np.array(list(names), np.int64), [len(h) for h in held]), ranges)
-            held, names, size = [], {}, 0
+            for tile, rows in held.items():
+                rows.sort(key=lambda r: r[0])
+                named = np.array([r[0] for r in rows], np.int64)
+                about = named, np.array([r[1] for r in rows], np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+                yield ranged(np.concatenate([r[3] for r in rows]), np.repeat(named, [len(r[3]) for r in rows]), ranges[tile][1], ranges[tile][0], about)
+            held, names, size = {}, set(), 0
 
         for pdf in batches:
             for x in shingler(pdf["text"].tolist()):
@@ -305,9 +346,14 @@ def _thinner(words: int, bands: Bands, ranges: int, counts=None):
                 node = node_of(x)
                 if node in names:
                     continue
-                names[node] = None
+                names.add(node)
                 d = part_digests(x, bands, counts.value if counts is not None else None)
-                held.append(d)
+                band, rest = int(bands.of(len(x))), d
+                if band:
+                    own = bands.parts(band - 1) - bands.spare(band - 1)
+                    held.setdefault(band - 1, []).append((node, len(x), parities(x, bands.parities(band - 1)), d[:own]))
+                    rest = d[own:]
+                held.setdefault(band, []).append((node, len(x), parities(x, bands.parities(band)), rest))
                 size += len(d)
                 if size >= THIN:
                     yield from flush()
@@ -322,6 +368,7 @@ def _array(column, i: int, kind) -> np.ndarray:
     return np.frombuffer(found, kind) if found is not None and found.size else np.zeros(0, kind)
 
 
+_KINDS = np.uint32, np.int64, np.uint32, np.int64, np.uint64
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kept", pa.bool_())])
 
 
@@ -347,33 +394,71 @@ def _pairs_of(digests: np.ndarray, nodes: np.ndarray, kept: np.ndarray) -> tuple
     return kept, near
 
 
-def _pairer(batches):
-    """Rows of one range after another become candidate pairs."""
+def _unsaid(pairs: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are not in told, and told with them; beyond SLICE it begins anew, which costs repeated rows."""
+    if not len(pairs):
+        return pairs, told
+    both, first = np.unique(np.concatenate([told, pairs]), axis=0, return_index=True)
+    return both[first >= len(told)], both if len(both) <= SLICE else both[:0]
+
+
+class Known:
+    """Sizes and parities of the nodes of one range, by name."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
+        self.names, first, at = np.unique(nodes, return_index=True, return_inverse=True)
+        self.sizes, self.maps = sizes[first], maps[first]
+        # sets that share a name are never parted from others
+        self.several = np.zeros(len(first), bool)
+        self.several[at[(sizes != self.sizes[at]) | (maps != self.maps[at]).any(1)]] = True
+
+    def may_link(self, pairs: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The pairs that sizes and parities don't rule out: two sets differ in the difference of their sizes, and in an element for each parity that differs."""
+        out, each = [pairs[:0]], max(1, _SPREAD // (8 * self.maps.shape[1]))
+        for i in range(0, len(pairs), each):
+            some = pairs[i : i + each]
+            a, b = np.searchsorted(self.names, some).T
+            differ = np.maximum(np.bitwise_count(self.maps[a] ^ self.maps[b]).sum(1).astype(np.int64), np.abs(self.sizes[a] - self.sizes[b]))
+            out.append(some[((num + den) * differ <= (den - num) * (self.sizes[a] + self.sizes[b])) | self.several[a] | self.several[b]])
+        return np.concatenate(out)
+
+
+def _pairer(batches, num: int = 0, den: int = 1):
+    """Rows of one range after another become candidate pairs; where parities came with the nodes, those that may be links at num / den."""
 
     def out(held):
         none = np.zeros(0, np.int64)
-        kept = np.concatenate([none, *(n for d, n, _ in held if not len(d))]).reshape(-1, 2)
-        slices = np.uint64(max(1, -(-sum(len(d) for d, _, _ in held) // SLICE)))
+        kept = np.concatenate([none, *(h[1] for h in held if not len(h[0]))]).reshape(-1, 2)
+        held = [h for h in held if len(h[0])]
+        slices = np.uint64(max(1, -(-sum(len(h[0]) for h in held) // SLICE)))
+        known = None
+        if held and len(held[0][4]):
+            known = Known(*(np.concatenate([h[k] for h in held]) for k in (1, 3)), np.concatenate([h[4].reshape(len(h[1]), -1) for h in held]))
+        hung, told = none, none.reshape(-1, 2)
         for i in range(int(slices)):
             digests, nodes = [np.zeros(0, np.uint32)], [none]
-            for d, n, c in held:
+            for d, n, c, *_ in held:
                 mine = (d * slices) >> np.uint64(32) == i
                 digests.append(d[mine])
-                nodes.append(np.repeat(n, c)[mine] if len(d) else none)
+                nodes.append(np.repeat(n, c)[mine])
             kept, near = _pairs_of(np.concatenate(digests), np.concatenate(nodes), kept)
-            both = np.concatenate([kept, near])
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(kept))], schema=_PAIRS)
-            kept = none.reshape(-1, 2)
+            if known is not None:
+                near = known.may_link(near, num, den)
+            # what an earlier slice of the range has said is not said again
+            new = kept[~np.isin(kept[:, 1], hung)]
+            hung = kept[:, 1]
+            near, told = _unsaid(near, told)
+            both = np.concatenate([new, near])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(new))], schema=_PAIRS)
 
     key, held = None, []
     for batch in batches:
-        parts, digests, nodes, counts = (batch.column(i) for i in range(4))
-        for i, part in enumerate(parts.to_pylist()):
+        for i, part in enumerate(batch.column(0).to_pylist()):
             if part != key and held:
                 yield from out(held)
                 held = []
             key = part
-            held.append((_array(digests, i, np.uint32), _array(nodes, i, np.int64), _array(counts, i, np.uint32)))
+            held.append(tuple(_array(batch.column(k), i, kind) for k, kind in enumerate(_KINDS, 1)))
     if held:
         yield from out(held)
 
@@ -647,16 +732,19 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
 
     def candidates(usable, classes, total):
         counts = spark.sparkContext.broadcast(_digest_counts(sized))
-        each = 4.5 * (den - num) / (den + num)  # digests for each element, about: two tiles, each as wide as two bands
-        ranges = max(spark.sparkContext.defaultParallelism, math.ceil(total * each / RANGE))
-        return paired(usable.mapInPandas(_thinner(words, wide, ranges, counts), RANGED), ranges)
+        ranges = _ranges(classes, wide, spark.sparkContext.defaultParallelism)
+        return paired(usable.mapInPandas(_thinner(words, wide, ranges, counts), RANGED), sum(n for _, n in ranges.values()), num, den)
 
     return linked(docs, sized.filter("row IS NULL"), words, num, den, candidates)
 
 
-def paired(digests: DataFrame, ranges: int) -> DataFrame:
+def paired(digests: DataFrame, ranges: int, num: int = 0, den: int = 1) -> DataFrame:
     """Rows of ranged() as candidate pairs a, b; `kept` ones are as good as links of their group, the others are looked at one by one."""
-    return digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairer, "a long, b long, kept boolean")
+
+    def pair(batches):
+        return _pairer(batches, num, den)
+
+    return digests.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(pair, "a long, b long, kept boolean")
 
 
 def linked(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, candidates, more: tuple[str, ...] = ()) -> DataFrame:
@@ -716,10 +804,14 @@ def _narrowed(classes: DataFrame, groups: DataFrame, num: int, den: int, bands:
     return None if near.isEmpty() else cut(near)
 
 
+def _band(bands: Bands):
+    """The band of size n."""
+    return F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bands.low)}), x -> x <= n)) - 1")
+
+
 def _laid_out(member: DataFrame, bands: Bands) -> DataFrame:
     """member: id, grp, n -> id, k, grp, side, alone, whole: where each meets others, by group or by pair of tiles of a large group."""
-    band = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bands.low)}), x -> x <= n)) - 1")
-    member = cut(member.withColumn("band", band))
+    member = cut(member.withColumn("band", _band(bands)))
     shape = member.groupBy("grp", "band").agg(F.sum("n").alias("n"))
     whole = shape.groupBy("grp").agg(F.sum("n").alias("all"))
     shape = cut(shape.join(whole, "grp").withColumn("tiles", F.when(F.col("all") <= TILE, 0).otherwise(F.ceil(F.col("n") / TILE).cast("int"))).select("grp", "band", "tiles"))

@@ -166,3 +166,53 @@ def test_slices_of_a_range_give_the_same_pairs(monkeypatch):
         found.append({tuple(sorted(p)) for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
         assert len(batches) == (1 if most == 10**6 else 9)
     assert found[0] == found[1]
+
+
+def test_strangers_with_a_passage_in_common_are_no_rows(spark, monkeypatch):
+    made, paired = [], jj.paired
+    monkeypatch.setattr(jj, "paired", lambda *a, **k: made.append(paired(*a, **k)) or made[-1])
+    for each in (2, 8):
+        r = random.Random(each)
+        word = lambda: f"v{r.randrange(10**6)}"
+        passages = [[word() for _ in range(60)] for _ in range(12)]
+        rows = [" ".join([*passages[i % 12], *(word() for _ in range(40))]) for i in range(12 * each)]
+        rows = list(enumerate([*rows, *(f"{t} end" for t in rows[::4])]))
+        got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 4, 5)
+        assert sorted(tuple(x) for x in got.collect()) == brute(rows, 5, 4, 5)
+        # a quarter has a copy
+        assert made[-1].select("a", "b").distinct().count() == 3 * each
+
+
+def test_parities_and_sizes_never_part_a_link():
+    rng = np.random.default_rng(6)
+    for num, den in ((4, 5), (9, 10)):
+        bands = jj.Bands(num, den, 1 << 40)
+        for n in (1, 5, 33, 400, 3000):
+            for share in (0.0, 0.5, 0.8, 0.9, 0.95, 1.0):
+                a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+                b = np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 2**63, max(1, n // 30)).astype(np.uint64)]))
+                tile = int(min(bands.of(len(a)), bands.of(len(b))))
+                maps = np.stack([np.frombuffer(jj.parities(v, bands.parities(tile)), np.uint64) for v in (a, b)])
+                may = len(jj.Known(np.array([-7, 3]), np.array([len(a), len(b)]), maps).may_link(np.array([[-7, 3], [3, -7]]), num, den))
+                i = len(np.intersect1d(a, b))
+                assert may == 2 or den * i < num * (len(a) + len(b) - i)
+                assert may == 0 or share > 0.5
+    # two sets of one name: what parts one of them must not part the other
+    known = jj.Known(np.array([1, 2, 1]), np.array([50, 50, 50]), np.array([[0], [0], [2**40 - 1]], np.uint64))
+    assert known.may_link(np.array([[1, 2]]), 4, 5).tolist() == [[1, 2]]
+
+
+def test_slices_of_a_range_say_nothing_twice(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    digests, nodes = rng.integers(0, 2**63, 200).astype(np.uint64).repeat(12), rng.integers(0, 400, 2400)
+    rows = pa.RecordBatch.from_pandas(jj.ranged(digests, nodes, 1), preserve_index=False)
+    labels = []
+    for most in (10**6, 100):
+        monkeypatch.setattr(jj, "SLICE", most)
+        pairs = np.concatenate([np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in jj._pairer([rows])])
+        kept = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in jj._pairer([rows])])
+        assert kept.sum() < 400 and len(np.unique(pairs, axis=0)) == len(pairs)
+        labels.append(dict(zip(*(x.tolist() for x in jj._forest(pairs)))))
+    assert labels[0] == labels[1]
